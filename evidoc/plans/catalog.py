@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from evidoc.plans import zone_queries
+
+_ALL = {**zone_queries.QUERIES}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for name, (query, _) in _ALL.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in _ALL.items() if sql is not None}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Machine-readable lines of all holders, built and parsed."""
+    return zone_queries.td3_parse(spark, sf_dir)
