@@ -51,8 +51,10 @@ def same_transliterated(a: Column, b: Column) -> Column:
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
-    text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-    return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull() & (year > 0), F.try_to_date(text, "yyyy-MM-dd"))
+    """The date of three integers, or null."""
+    padded = lambda n, k: F.lpad(n.cast("string"), k, "0")
+    text = F.concat(padded(year, 4), F.lit("-"), padded(month, 2), F.lit("-"), padded(day, 2))
+    return let(text, lambda t: F.when(t > "0001", F.try_to_date(t, "yyyy-MM-dd")))
 
 
 def _year(raw: Column) -> Column:
@@ -69,17 +71,21 @@ TWO_MONTHS = r"(?U)\b([0-9]{1,2})\s+(\w{3,4})\s*/\s*(\w{3,4})\s+([0-9]{2,4})\b"
 def visual_date(s: Column) -> Column:
     """The date in a piece of visual text, or null: day first, year first, or with month names; a
     shape whose date does not exist gives way to the next. Two-digit years below 50 are 20xx."""
-    text, up = F.trim(s), F.upper(F.trim(s))
     months = literal_map(MONTHS)
     part = lambda source, shape, k: F.regexp_extract(source, shape, k)
     number = lambda source, shape, k: part(source, shape, k).try_cast("int")
     month = lambda token: F.coalesce(F.try_element_at(months, token), F.try_element_at(months, F.substring(token, 1, 3)))
     three = lambda token: F.try_element_at(months, F.substring(token, 1, 3))
-    two_year = _year(number(up, TWO_MONTHS, 4))
-    return F.coalesce(
-        _date(number(text, DAY_FIRST, 3), number(text, DAY_FIRST, 2), number(text, DAY_FIRST, 1)),
-        _date(number(text, YEAR_FIRST, 1), number(text, YEAR_FIRST, 2), number(text, YEAR_FIRST, 3)),
-        _date(_year(number(up, MONTH_NAME, 3)), month(part(up, MONTH_NAME, 2)), number(up, MONTH_NAME, 1)),
-        _date(two_year, three(part(up, TWO_MONTHS, 2)), number(up, TWO_MONTHS, 1)),
-        _date(two_year, three(part(up, TWO_MONTHS, 3)), number(up, TWO_MONTHS, 1)),
-    )
+
+    def tried(x: Column) -> Column:
+        text, up = x["text"], x["up"]
+        year = lambda shape, k: let(number(up, shape, k), _year)
+        return F.coalesce(
+            _date(number(text, DAY_FIRST, 3), number(text, DAY_FIRST, 2), number(text, DAY_FIRST, 1)),
+            _date(number(text, YEAR_FIRST, 1), number(text, YEAR_FIRST, 2), number(text, YEAR_FIRST, 3)),
+            _date(year(MONTH_NAME, 3), month(part(up, MONTH_NAME, 2)), number(up, MONTH_NAME, 1)),
+            _date(year(TWO_MONTHS, 4), three(part(up, TWO_MONTHS, 2)), number(up, TWO_MONTHS, 1)),
+            _date(year(TWO_MONTHS, 4), three(part(up, TWO_MONTHS, 3)), number(up, TWO_MONTHS, 1)),
+        )
+
+    return let(F.struct(F.trim(s).alias("text"), F.upper(F.trim(s)).alias("up")), tried)

@@ -79,27 +79,32 @@ def sex_of(value: Column) -> Column:
 
 def normalized(field: Column, value: Column) -> Column:
     """A field's value without surrounding punctuation; dates as ISO, numbers without blanks."""
-    value = F.regexp_replace(value, r"^[ :./\-\t]+|[ :./\-\t]+$", "")
-    return (
-        F.when(field.isin(*DATES), F.coalesce(visual_date(value).cast("string"), F.lit("")))
-        .when(field == "passport_number", F.upper(F.replace(value, F.lit(" "), F.lit(""))))
-        .when(field == "sex", sex_of(value))
-        .otherwise(value)
+    bare = F.regexp_replace(value, r"^[ :./\-\t]+|[ :./\-\t]+$", "")
+    return let(
+        bare,
+        lambda v: F.when(field.isin(*DATES), F.coalesce(visual_date(v).cast("string"), F.lit("")))
+        .when(field == "passport_number", F.upper(F.replace(v, F.lit(" "), F.lit(""))))
+        .when(field == "sex", sex_of(v))
+        .otherwise(v),
     )
 
 
 def acceptable(field: Column, value: Column) -> Column:
     """Whether a normalised value can be the field's."""
-    ok = (
-        F.when(field == "passport_number", F.trim(value).rlike(NUMBER))
-        .when(field == "sex", F.trim(value).rlike("^[MFXmfx]$"))
-        .when(field.isin(*DATES), visual_date(value).isNotNull())
-        .when(field == "nationality", value.rlike(r"^[\p{L} /\-().]{2,60}$"))
-        .when(field.isin("surname", "given_names"), value.rlike(NAME_LETTER))
-        .when(field == "place_of_birth", value.rlike("[A-Za-z]") & (F.length(value) >= 2))
-        .otherwise(F.lit(True))
-    )
-    return (value != "") & ok
+
+    def ok(v: Column) -> Column:
+        own = (
+            F.when(field == "passport_number", v.rlike(NUMBER))
+            .when(field == "sex", v.rlike("^[MFX]$"))
+            .when(field.isin(*DATES), v.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"))
+            .when(field == "nationality", v.rlike(r"^[\p{L} /\-().]{2,60}$"))
+            .when(field.isin("surname", "given_names"), v.rlike(NAME_LETTER))
+            .when(field == "place_of_birth", v.rlike("[A-Za-z]") & (F.length(v) >= 2))
+            .otherwise(F.lit(True))
+        )
+        return (v != "") & own
+
+    return let(value, ok)
 
 
 def marked(boxes: DataFrame, labels: Mapping[str, Sequence[str]] = LABELS) -> DataFrame:
