@@ -120,7 +120,7 @@ def zone_presence(glyphs: DataFrame) -> DataFrame:
     found = bounds.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
     every = glyphs.select("doc_id").distinct().join(best, "doc_id", "left").join(found, "doc_id", "left")
     total = F.col("best") * (0.7 + 0.3 * F.least(F.lit(1.0), F.col("lines") / 2.0))
-    return every.select("doc_id", F.coalesce(F.col("lines"), F.lit(0)).alias("lines"), F.coalesce(F.least(F.lit(1.0), total), F.lit(0.0)).alias("presence"))
+    return every.select("doc_id", F.coalesce(F.col("lines"), F.lit(0)).alias("lines"), F.least(F.lit(1.0), F.coalesce(total, F.lit(0.0))).alias("presence"))
 
 
 def candidate_crops(pages: DataFrame) -> DataFrame:

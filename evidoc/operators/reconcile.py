@@ -95,11 +95,12 @@ def implausible(birth: Column, issue: Column, expiry: Column) -> Column:
 def overall_confidence(
     weighted: Column, review: Column, acceptable: Column, glare: Column, blur_score: Column, zone_valid: Column
 ) -> Column:
-    """The confidence of a document from its weighted evidence and its circumstances."""
+    """The confidence of a document from its weighted evidence and its circumstances, to three
+    digits; what is a hair below a half goes up, so that the order of a sum does not matter."""
     score = F.when(review, F.least(weighted, F.lit(0.60))).otherwise(weighted)
     score = F.when(~acceptable, score * 0.70).when(glare | (blur_score < 0.5), score * 0.88).otherwise(score)
     score = F.when(zone_valid, F.least(F.lit(1.0), score * 1.05)).otherwise(F.least(score, F.lit(0.75)))
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(0.999), score)), 3)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(0.999), score)) + 1e-9, 3)
 
 
 def documents(evidence_rows: DataFrame, quality: DataFrame, zones: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:

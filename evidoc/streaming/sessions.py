@@ -14,7 +14,8 @@ from evidoc.settings import DEFAULTS
 
 def alive(created_at: Column, now: Column, ttl_seconds: int = DEFAULTS.session_ttl_seconds) -> Column:
     """Whether a session lives: exactly ``ttl_seconds`` old still does."""
-    return F.unix_micros(now) - F.unix_micros(created_at) <= ttl_seconds * 1_000_000
+    micros = lambda t: F.unix_micros(t.cast("timestamp"))
+    return micros(now) - micros(created_at) <= ttl_seconds * 1_000_000
 
 
 def purge(sessions: DataFrame, now: Column, ttl_seconds: int = DEFAULTS.session_ttl_seconds) -> DataFrame:
