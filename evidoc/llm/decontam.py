@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidoc.llm.common import WORD_BYTES, cut, fresh, per_row
+from evidoc.llm.common import LOWER, UPPER, WORD_BYTES, cut, fresh, per_row
 
 #: Words of benchmark text in one block of test strings. What goes to the executors at once never
 #: exceeds one block (some 100 MB of tables); a larger benchmark takes further passes.
@@ -173,3 +173,29 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
         names.append(fresh([*taken, *names], base))
     found = find(docs, benchmark, taken, tuple(names), window=window)
     return found.filter(F.size(names[1]) == 0).select(*[f"`{c}`" for c in taken])
+
+
+def sql(window: int = 10) -> str:
+    """The report by joining every window of a document with those of the items."""
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents
+), i AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, w, least({window}, len(w)) AS m FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) > 0
+), iw AS (
+  SELECT DISTINCT item, m, array_to_string(w[p : p + m - 1], ' ') AS s FROM (SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM i)
+), dw AS (
+  SELECT r, m, p, array_to_string(w[p : p + m - 1], ' ') AS s
+  FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM iw))
+), hits AS (
+  SELECT r, p, iw.m, item FROM dw JOIN iw ON dw.m = iw.m AND dw.s = iw.s
+), covered AS (
+  SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + m)) AS q FROM hits) GROUP BY r
+), found AS (
+  SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(f.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  c.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered c ON d.r = c.r LEFT JOIN found f ON d.r = f.r
+"""

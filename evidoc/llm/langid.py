@@ -128,11 +128,12 @@ class CrossParser:
             state = np.full(steps.shape[1], root, dtype=np.int32)
             count = np.zeros(steps.shape[1], dtype=np.int32)
             for c in steps:
-                state = self.table[state + c]
+                last, state = state, self.table[state + c]
                 stuck = np.flatnonzero(state < 0)
                 if len(stuck):
-                    count[stuck] += 1
                     again = self.table[root + c[stuck]]
+                    # The match so far is a phrase, and so is a letter that the language lacks.
+                    count[stuck] += (last[stuck] != root).astype(np.int32) + (again < 0)
                     state[stuck] = np.where(again < 0, root, again)
             count += state != root
             out[:, k] = np.bincount(owner, weights=count, minlength=len(texts))

@@ -151,7 +151,7 @@ def _rules() -> list[Rule]:
     add("proprietary", "unauthorized", "unauthorized (copying|reproduction|distribution|use)( of this (file|document|work))?", priority=75)
     add("proprietary", "permission", "(may not be|no part of this [a-z]+ may be) (reproduced|copied|distributed)[a-z ]{0,80} without( the)?( prior)?( written)? permission", priority=75)
     add("reserved-some", "reserved", "some rights reserved", priority=70)
-    add("no-warranty", "warranty", "without (any )?warranty( of any kind)?", "without warranties or conditions of any kind", priority=50)
+    add("no-warranty", "warranty", "without (any )?warranty( of any kind)?", priority=50)
     add("no-warranty", "warranties", "without warranties( or conditions)? of any kind", priority=50)
     add("eula", "agreement", "end user licen[cs]e agreement", priority=80)
     add("royalty-free", "royalty", "royalty free licen[cs]e", priority=60)

@@ -2,9 +2,9 @@
 
 Documents are tokenised and cut into pieces of at most ``capacity`` tokens. The histogram of piece
 lengths (at most ``capacity`` numbers) is all that the driver sees. Patterns of one to three lengths
-that fill a sequence exactly are enumerated, their repeat counts are fitted to the histogram by
-non-negative least squares, rounded, and taken as far as the histogram has pieces; what is left is
-packed by best-fit decreasing, again on the histogram. The plan gives, per length, intervals of
+that fill a sequence exactly, or nearly where few do, are enumerated, their repeat counts are fitted
+to the histogram by non-negative least squares, rounded, and taken as far as the histogram has
+pieces; what is left is packed by best-fit decreasing, again on the histogram. The plan gives, per length, intervals of
 ranks; pieces get their rank in a distributed way and look their place up.
 
 Defined results: a null text is an empty one and makes a piece of the end id alone; strings of
@@ -139,22 +139,34 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
 # --- the plan: patterns, least squares, rounding, residuals -----------------------------------
 
 
+#: Patterns that each length is the longest of, at least, where sequences cannot be filled exactly.
+NEAR = 64
+#: What a sequence's free tokens cost in the fit, as a share of the mean count per length.
+FREE_COST = 2.0
+#: Parts of the fitted counts that are tried; of the plans the one with the fewest sequences is taken.
+SHARES = (1.0, 0.5, 0.0)
+
+
 def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Sorted length triples (0: unused) from ``lengths`` that sum to ``capacity``."""
+    """Sorted length triples (0: unused) from ``lengths`` that fill ``capacity``: exactly, and, for a
+    longest length with fewer than ``NEAR`` such triples, the nearest ones below."""
     have = np.zeros(capacity + 1, dtype=bool)
     have[lengths] = True
     have[0] = True
+    below = np.maximum.accumulate(np.where(have, np.arange(capacity + 1), 0))  # the largest length up to each
     found = []
     for a in np.flatnonzero(have[1:]) + 1:
-        b = np.arange(max(0, (capacity - a + 1) // 2), min(a, capacity - a) + 1)
-        c = capacity - a - b
-        ok = have[b] & have[c] & (c <= b)
-        found.append(np.stack([np.full(ok.sum(), a), b[ok], c[ok]], axis=1))
-    return np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64)
+        b = np.flatnonzero(have[: min(a, capacity - a) + 1])
+        c = below[np.minimum(b, capacity - a - b)]
+        free = capacity - a - b - c
+        keep = np.argsort(free, kind="stable")[: max(NEAR, int((free == 0).sum()))]
+        found.append(np.stack([np.full(len(keep), a), b[keep], c[keep]], axis=1))
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), dtype=np.int64)
 
 
 def fit(table: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |A x - h|, by accelerated projected gradients.
+    """Repeat counts x >= 0 that minimise |A x - h|, and a little the tokens left free, by
+    accelerated projected gradients.
 
     Column p of A counts how often pattern p has each length; ``histogram[0]`` must be 0.
     """
@@ -162,6 +174,8 @@ def fit(table: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.ndarr
         return np.zeros(0)
     flat, used = table.ravel(), (table > 0).ravel()
     size = len(histogram)
+    free = 1 - table.sum(axis=1) / (size - 1)
+    cost = FREE_COST * histogram.sum() / max(1, np.count_nonzero(histogram)) * free
 
     def forward(x):
         return np.bincount(flat, weights=np.repeat(x, 3) * used, minlength=size)
@@ -177,7 +191,7 @@ def fit(table: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.ndarr
     x = y = np.zeros(len(table))
     t = 1.0
     for _ in range(rounds):
-        new = np.maximum(0, y - step * backward(forward(y) - histogram))
+        new = np.maximum(0, y - step * (backward(forward(y) - histogram) + cost))
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / s * (new - x)
         x, t = new, s
@@ -224,20 +238,29 @@ def best_fit_decreasing(left: dict[int, int], capacity: int) -> list[tuple[tuple
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, how many such sequences), which use the histogram up exactly."""
+    """(lengths in a sequence, how many such sequences), which use the histogram up exactly.
+
+    Where few lengths fill sequences exactly, fitted patterns can take what larger pieces need beside
+    them; so half of the counts and none are tried too (then all pieces are residuals).
+    """
     h = np.zeros(capacity + 1)
     for length, count in histogram.items():
         h[length] = count
-    left = h.astype(np.int64)
-    out = []
-    if left[capacity]:
-        out.append(((capacity,), int(left[capacity])))
-        left[capacity] = h[capacity] = 0
+    alone = [((capacity,), int(h[capacity]))] if h[capacity] else []
+    h[capacity] = 0
     table = patterns(np.flatnonzero(h), capacity)
-    wanted = rounded(fit(table, h))
-    for k in np.argsort(-wanted, kind="stable"):
+    counts = fit(table, h)
+    plans = [_filled(table, rounded(share * counts), h.astype(np.int64), capacity) for share in SHARES]
+    return alone + min(plans, key=lambda made: sum(n for _, n in made))
+
+
+def _filled(table: np.ndarray, wanted: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns as often as ``wanted`` and as the pieces ``left`` allow, the rest by best fit."""
+    out = []
+    free = capacity - table.sum(axis=1)
+    for k in np.lexsort((-wanted, free)):  # the fullest first, of these the most frequent
         if not wanted[k]:
-            break
+            continue
         own = [int(v) for v in table[k] if v]
         times = min(int(wanted[k]), *(int(left[v]) // own.count(v) for v in own))
         if times > 0:

@@ -73,4 +73,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others hash with XXH64, tokenise, schedule or train, which this SQL has no functions for; tests
+#: hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": warc.sql(),
+    "op6_decontamination": decontam.sql(),
+    "op10_url_filters": urlfilter.sql(),
+}

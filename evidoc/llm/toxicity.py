@@ -13,7 +13,7 @@ the one of best F1 among the out-of-fold predictions.
 
 Defined results: null, empty and wordless texts have probability 0 and are not toxic; labels of a
 repeated doc_id count as positive if any row's is; null labels count as 0; with no labelled row of
-either class a category has the probability of its share; repeated documents get rows of their own;
+either class a category has the probability of its share, and without a positive one nothing is toxic; repeated documents get rows of their own;
 extra columns are ignored.
 """
 
@@ -138,8 +138,10 @@ def chosen_features(texts: list[set[bytes]], labels: np.ndarray, most: int) -> d
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap below which F1 is best."""
-    if not 0 < y.sum() < len(y):
+    """The middle of the gap below which F1 is best; out of reach where no row is positive."""
+    if not y.any():
+        return 2.0
+    if y.all():
         return 0.5
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])

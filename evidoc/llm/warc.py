@@ -274,3 +274,18 @@ def report(pages: DataFrame, folder: str) -> DataFrame:
     what they hold."""
     write(pages, folder)
     return read(pages.sparkSession, folder).select(*RECORDS.names[:5])
+
+
+def sql() -> str:
+    """The report by a window over equal payloads."""
+    return f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), f AS (
+  SELECT page_id, strlen(payload) AS bytes, sha256(payload) AS digest, min(page_id) OVER (PARTITION BY payload) AS original FROM p
+)
+SELECT page_id, bytes AS payload_bytes, digest AS payload_digest,
+  CASE WHEN bytes >= {MIN_REVISIT} AND page_id > original THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN bytes >= {MIN_REVISIT} AND page_id > original THEN original END AS refers_to
+FROM f
+"""
