@@ -14,12 +14,16 @@ columns are ignored; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import re
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,34 +33,71 @@ from evidoc.llm.common import ROWS_PER_STEP, cut, values
 
 CAPACITY = 1024
 END_ID = 2
-#: Chunks of text in a generation of what a Python worker remembers the ids of (about 80 MB).
-REMEMBERED = 400_000
+#: Chunks of text in a generation of what a Python worker remembers the ids of (about 160 MB).
+REMEMBERED = 800_000
 
 #: White space as the tokenizer's pattern has it (Unicode White_Space).
 OTHER_SPACE = "\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = " \n" + OTHER_SPACE
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: What text has unless each white space in it is a lone blank or line feed between other characters.
-UNEVEN = re.compile(f"[{SPACE}][{SPACE}]|[{OTHER_SPACE}]|\x00")
+#: Text that has one of these, or other white space than ASCII's, is not cut at each blank.
+UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x00")
+WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: What a byte-level pre-tokenizer cuts text into. Fixed value.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else one
+    of those from U+0100 on, in turn."""
+    letters = {b: chr(b) for b in (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))}
+    for b in range(0x100):
+        letters.setdefault(b, chr(0x100 + len([x for x in letters if ord(letters[x]) >= 0x100])))
+    return letters
 
 
 class Memory(dict):
     """Ids of chunks, in two generations: when the younger one is full it becomes the older one, and
-    what is not asked for again goes with that."""
+    what is not asked for again goes with that.
+
+    A new chunk's parts are looked up before the tokenizer's model is asked for them. Tokenizers that
+    are not byte-level BPE without a prefix or normalizer are asked for whole chunks.
+    """
 
     def __init__(self, tokenizer):
         self.tokenizer, self.older = tokenizer, {}
+        kind = json.loads(tokenizer.to_str())
+        before = kind["pre_tokenizer"] or {}
+        plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.model = tokenizer.model if plain and not kind["normalizer"] else None
+        self.letters = byte_letters()
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.get(chunk)
         if ids is None:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            if self.model is None:
+                ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            else:
+                parts = self.parts(chunk)
+                ids = self.part(chunk) if len(parts) == 1 else b"".join(map(self.__getitem__, parts))
         self[chunk] = ids
         return ids
 
+    @staticmethod
+    def parts(chunk: str) -> list[str]:
+        """What PARTS finds; a word with or without common marks behind it is told without it."""
+        core = chunk.rstrip(".,;:!?")
+        if core[core[:1] == " " :].isalpha():
+            return [core] if len(core) == len(chunk) else [core, chunk[len(core) :]]
+        return PARTS.findall(chunk)
+
+    def part(self, text: str) -> bytes:
+        found = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
+        return array("I", [t.id for t in found]).tobytes() if sys.byteorder == "little" else np.array([t.id for t in found], dtype="<u4").tobytes()
+
     def age(self) -> None:
         if len(self) > REMEMBERED:
-            self.older = dict(self)
+            self.older = self.copy()
             self.clear()
 
 
@@ -82,7 +123,7 @@ class Encoder:
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        if UNEVEN.search(text):
+        if any(x in text for x in UNEVEN) or not text.isascii() and WIDE_SPACE.search(text):
             return CHUNK.findall(text)
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
 

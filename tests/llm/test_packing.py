@@ -42,7 +42,7 @@ def test_chunks_give_the_ids_of_whole_texts():
     tokenizer = Tokenizer.from_file(PATH)
     tokenizer.encode_special_tokens = True
     encoder, r = packing.Encoder(PATH), random.Random(4)
-    parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\u2003", "\u3000", "\x00", "a", "Word", "don't", "12", "...", "é", "漢", "<|endoftext|>", "'s", "_", "\u200b"]
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\u2003", "\u3000", "\x00", "a", "Word", "don't", "12", "...", "é", "漢", "<|endoftext|>", "'s", "_", "\u200b", " word.", "naïve,", "?!", " x1;", "ſ", "’", ":", " ."]
     for _ in range(3000):
         text = "".join(r.choice(parts) for _ in range(r.randrange(12)))
         assert encoder.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(text)
