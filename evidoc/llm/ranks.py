@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a cell that the choice of cells aims at.
-CELL_ROWS = 20_000
+CELL_ROWS = 1_000
 
 
 def cells(count: Column) -> Column:
