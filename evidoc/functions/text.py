@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from evidoc.functions.refdata import MONTHS, SYMBOLS_FROM, SYMBOLS_TO
 
 
+def sql_literal(value: str | int | float) -> str:
+    return str(value) if not isinstance(value, str) else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_map(values: dict[str, object]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    """A constant map, parsed from one piece of SQL (a column per literal is slow to put together)."""
+    return F.expr("map(" + ", ".join(sql_literal(x) for pair in values.items() for x in pair) + ")")
 
 
 def let(value: Column, body) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidoc.functions.refdata import LABELS, SEX_TOKENS
-from evidoc.functions.text import let, literal_map, visual_date
+from evidoc.functions.text import let, literal_map, sql_literal, visual_date
 
 #: Shapes of document numbers and of names.
 NUMBER = r"^(?=[A-Z0-9]{6,12}$)(?=.*[0-9])[A-Z0-9]+$"
@@ -44,7 +44,8 @@ def label_matches(text: Column, labels: Mapping[str, Sequence[str]] = LABELS) ->
     label stands as whole words, in any case."""
     pairs = sorted(((field, label) for field, own in labels.items() for label in own), key=lambda x: -len(x[1]))
     plain = lambda x: x.replace("İ", "i").lower().replace("ı", "i")
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(plain(v)).alias("label"), F.lit(len(v)).alias("n"), F.lit(f).alias("field")) for k, (f, v) in enumerate(pairs)])
+    rows = [f"named_struct('k', {k}, 'label', {sql_literal(plain(v))}, 'n', {len(v)}, 'field', {sql_literal(f)})" for k, (f, v) in enumerate(pairs)]
+    table = F.expr(f"array({', '.join(rows)})")
     any_label = r"(?U)(?<!\w)(?:" + "|".join(sorted({re.sub(r"([^\w ])", r"\\\1", plain(v)) for _, v in pairs}, key=lambda x: (-len(x), x))) + r")(?!\w)"
     none = F.array().cast("array<struct<start:int,stop:int,field:string>>")
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from evidoc.functions.refdata import WEIGHTS
 from evidoc.operators import imaging, reconcile, review
 from evidoc.operators.mrz import parse, resolve_date
+from evidoc.plans import process
 from evidoc.plans.bridge import LINES, holders, lines, table
 from evidoc.plans.zone_queries import _sql_date
-from evidoc.sources import uploads
+from evidoc.sources import samples, uploads
 from evidoc.streaming import sessions
 
 c = F.col
@@ -262,6 +263,46 @@ WITH {LINES}
 SELECT doc_id, 'passport_' || number || '.json' AS file, '{{"doc_id":' || doc_id || ',"number":"' || number || '","surname":"' || surname || '","sex":"' || sex || '"}}' AS json FROM lines"""
 
 
+def sample_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample pages of all holders, in four variants, through the whole path."""
+    day = lambda name, expiry: F.upper(F.date_format(resolve_date(c(name), expiry), "dd MMM / MMM yyyy"))
+    own = holders(spark, sf_dir).withColumns({
+        "birth_text": day("birth", False), "expiry_text": day("expiry", True), "issue_text": F.lit("20 AUG / AOU 1990"), "place": F.lit("BURSA"), "authority": F.lit("ANKARA"),
+        "variant": F.element_at(F.array(*[F.lit(v) for v in ("clean", "skewed", "blurry", "glare")]), (c("doc_id") % 4 + 1).cast("int")),
+    })
+    rows = process.process(samples.boxes(own), samples.measurements(own))
+    fields = ("passport_number", "surname", "given_names", "date_of_birth", "expiry_date", "sex", "nationality", "date_of_issue", "place_of_birth", "issuing_authority")
+    return rows.select("doc_id", *fields, "review", "overall", F.size("warnings").alias("n_warnings"))
+
+
+# A filler for the sex is printed as such and read as X in the zone alone.
+SAMPLE_RECORDS = f"""
+WITH {LINES}, d AS (
+  SELECT *, {_sql_date('birth', False)} AS b, {_sql_date('expiry', True)} AS e, sex <> '<' AS sexed FROM lines
+), w AS (
+  SELECT *, 0.25 * 0.999 + 4 * 0.15 * 0.999 + 0.05 * 0.999 + CASE WHEN sexed THEN 0.05 * 0.999 ELSE 0.05 * 0.75 END + 2 * 0.025 * 0.95 AS s FROM d
+), t AS (
+  SELECT *, s * CASE doc_id % 4 WHEN 2 THEN 0.70 WHEN 3 THEN 0.88 ELSE 1 END * 1.05 AS x FROM w
+)
+SELECT doc_id, number AS passport_number, surname, given_names, b AS date_of_birth, e AS expiry_date, CASE WHEN sexed THEN sex ELSE 'X' END AS sex, nationality,
+  '1990-08-20' AS date_of_issue, 'BURSA' AS place_of_birth, 'ANKARA' AS issuing_authority, false AS review, round(least(0.999, x) + 1e-9, 3)::DOUBLE AS overall,
+  CAST(CASE WHEN doc_id % 4 >= 2 THEN 1 ELSE 0 END AS INTEGER) AS n_warnings
+FROM t"""
+
+
+def upload_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, types and lengths of files, from parts, before they are sent."""
+    endings = ("scan.JPG", "scan.jpeg", "page.heif", "page.pdf", "notes.txt", "noending")
+    kinds = ("image/jpeg", "", "application/octet-stream", "text/plain")
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", pick(endings, c("p_partkey")).alias("name"), pick(kinds, c("p_partkey")).alias("media_type"), (c("p_partkey") % 7 * 3_000_000).alias("length"))
+    return rows.select("p_partkey", uploads.sendable(c("name"), c("media_type"), c("length")).alias("sendable"))
+
+
+UPLOAD_GATE = """
+SELECT p_partkey, p_partkey % 7 BETWEEN 1 AND 5 AND (p_partkey % 6 <= 3 OR p_partkey % 4 = 0) AS sendable FROM part"""
+
+
 # --- decisions about images, from measurements that the tables' numbers stand for -----------------
 
 
@@ -426,6 +467,8 @@ SELECT c_custkey AS doc_id, CAST(CASE WHEN x IS NULL THEN 77 ELSE greatest(0, x
 FROM customer LEFT JOIN k ON k.doc_id = c_custkey AND k = 1"""
 
 QUERIES = {
+    "sample_records": (sample_records, SAMPLE_RECORDS),
+    "upload_gate": (upload_gate, UPLOAD_GATE),
     "reconcile_fields": (reconcile_fields, RECONCILE_FIELDS),
     "overall_confidence": (overall_confidence, _overall_sql()),
     "quality_flags": (quality_flags, QUALITY_FLAGS),

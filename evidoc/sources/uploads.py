@@ -11,6 +11,17 @@ from evidoc.settings import DEFAULTS
 HEIF_BRANDS = ("heic", "heix", "hevc", "heim", "mif1", "msf1")
 
 
+#: Media types and file endings that may be sent.
+MEDIA_TYPES = ("image/jpeg", "image/png", "image/webp", "image/heic", "image/heif", "application/pdf")
+ENDINGS = ("jpg", "jpeg", "png", "webp", "heic", "heif", "pdf")
+
+
+def sendable(name: Column, media: Column, length: Column, limit: int = DEFAULTS.max_upload_bytes) -> Column:
+    """Whether a file may be sent: not empty, within the limit, of a known type or ending."""
+    ending = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+    return F.coalesce(length.between(1, limit) & (media.isin(*MEDIA_TYPES) | ending.isin(*ENDINGS)), F.lit(False))
+
+
 def media_type(content: Column) -> Column:
     """The media type that a file's leading bytes tell, or null (also for fewer than 12 bytes)."""
     is_ = lambda start, hexed: F.hex(F.substring(content, start, len(hexed) // 2)) == hexed

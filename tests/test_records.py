@@ -146,3 +146,17 @@ def test_edits_of_a_null_value_and_of_renamed_keys(spark):
     edits = spark.createDataFrame([(1, "date_of_issue", "2021-01-01", 1), (1, "sex", "F", 1), (1, "sex", None, 2)], "doc_id long, key string, value string, ord int")
     got = {r["key"]: (r["value"], r["edited"]) for r in review.overlay(record, edits).collect()}
     assert got == {"issue_date": ("2021-01-01", True), "sex": (None, True)}
+
+
+def test_unknown_variants_are_clean(spark):
+    from evidoc.sources import samples
+
+    rows = samples.measurements(spark.createDataFrame([(1, "clean"), (2, "blurry"), (3, "torn")], "doc_id long, variant string")).collect()
+    assert [(r["variance"], r["glare_ratio"]) for r in rows] == [(400.0, 0.0), (20.0, 0.0), (400.0, 0.0)]
+
+
+def test_sendable_files(spark):
+    lit = F.lit
+    cases = [("a.heif", "", 5, True), ("a.txt", "image/png", 5, True), ("a.txt", "text/plain", 5, False), ("a.pdf", "", 0, False), ("a.pdf", "", 15 * 1024 * 1024, True), ("a.pdf", "", 15 * 1024 * 1024 + 1, False)]
+    got = spark.range(1).select(*[uploads.sendable(lit(n), lit(m), lit(k)) for n, m, k, _ in cases]).first()
+    assert list(got) == [w for *_, w in cases]
