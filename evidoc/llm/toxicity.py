@@ -19,7 +19,6 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -46,9 +45,9 @@ def tokens(text: bytes | None) -> set[bytes]:
 class Rows:
     """Documents as rows of feature numbers (compressed sparse rows)."""
 
-    def __init__(self, rows: list[list[int]], width: int):
+    def __init__(self, rows: list[np.ndarray], width: int):
         self.n, self.width = len(rows), width
-        self.at = np.array([f for r in rows for f in r], dtype=np.int64)
+        self.at = np.concatenate([np.zeros(0, dtype=np.int32), *rows])
         self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
         self.norm = 1 / np.sqrt(np.maximum(1, np.bincount(self.row, minlength=self.n)))[self.row] if self.n else np.zeros(0)
 
@@ -104,7 +103,7 @@ class Chain:
 
     def rows(self, texts: list[bytes | None]) -> Rows:
         get = self.features.keys()
-        return Rows([sorted(self.features[t] for t in tokens(x) & get) for x in texts], len(self.features))
+        return Rows([np.array(sorted(self.features[t] for t in tokens(x) & get), dtype=np.int32) for x in texts], len(self.features))
 
     def predict(self, texts: list[bytes | None]) -> np.ndarray:
         """Probabilities (documents by categories)."""
@@ -117,23 +116,24 @@ class Chain:
         return out
 
 
-def chosen_features(texts: list[set[bytes]], labels: np.ndarray, most: int) -> dict[bytes, int]:
+def chosen_features(texts: list[bytes], labels: np.ndarray, most: int) -> dict[bytes, int]:
     """The ``most`` tokens of at least three documents with the largest chi-square of any category."""
     n = len(texts)
-    all_docs = Counter(t for own in texts for t in own)
-    names = [t for t, c in all_docs.items() if 3 <= c]
-    if not names:
+    numbers: dict[bytes, int] = {}
+    # Tokens as numbers: the driver holds no token twice.
+    owned = [np.array([numbers.setdefault(t, len(numbers)) for t in tokens(x)], dtype=np.int32) for x in texts]
+    if not numbers:
         return {}
-    seen = np.array([all_docs[t] for t in names], dtype=float)
-    best = np.zeros(len(names))
+    flat, row = np.concatenate(owned), np.repeat(np.arange(n), [len(x) for x in owned])
+    seen = np.bincount(flat, minlength=len(numbers)).astype(float)
+    best = np.zeros(len(numbers))
     for y in labels.T:
-        own = Counter(t for s, flag in zip(texts, y, strict=True) if flag for t in s)
-        a = np.array([own[t] for t in names], dtype=float)
         pos = y.sum()
         want = seen * pos / n
         spread = np.maximum(1e-9, want * (1 - pos / n) * (1 - seen / n))
-        best = np.maximum(best, (a - want) ** 2 / spread)
-    order = sorted(range(len(names)), key=lambda k: (-best[k], names[k]))[:most]
+        best = np.maximum(best, (np.bincount(flat, weights=y[row], minlength=len(numbers)) - want) ** 2 / spread)
+    names = list(numbers)
+    order = sorted(np.flatnonzero(seen >= 3).tolist(), key=lambda k: (-best[k], names[k]))[:most]
     return {names[k]: i for i, k in enumerate(order)}
 
 
@@ -152,7 +152,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(texts: list[bytes], labels: np.ndarray, names: tuple[str, ...], features: int = FEATURES, folds: int = FOLDS) -> Chain:
-    chain = Chain(names, chosen_features([tokens(t) for t in texts], labels, features))
+    chain = Chain(names, chosen_features(texts, labels, features))
     x = chain.rows(texts)
     fold = np.arange(len(texts)) % folds  # rows come in the order of a hash
     earlier = np.zeros((len(texts), 0))
