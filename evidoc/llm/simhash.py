@@ -236,8 +236,12 @@ def deduplicate(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> Da
     Rows that repeat a doc_id are copies of one document; one of them stays.
     """
     keep = list(docs.columns)
-    text_free = group(docs.select("doc_id", "text"), ["doc_id"], bits, shingle)
-    chosen = text_free.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(fresh(keep, "__kept"))).distinct()
-    name = chosen.columns[0]
-    joined = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen[name]), "left_semi")
-    return joined.dropDuplicates(["doc_id"]).select(*[f"`{c}`" for c in keep])
+    placed = group(docs.select("doc_id", "text"), ["doc_id"], bits, shingle)
+    name = fresh(keep, "__kept")
+    chosen = placed.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    # The join and the dropping of repeated rows share one shuffle by doc_id.
+    named = docs.join(chosen, docs["doc_id"] == chosen[name], "left_semi").dropDuplicates(["doc_id"])
+    nobody = chosen.filter(F.col(name).isNull()).limit(1)
+    nameless = docs.filter("doc_id is null").limit(1)
+    nameless = nameless.join(F.broadcast(nobody), nameless["doc_id"].eqNullSafe(nobody[name]), "left_semi")
+    return named.select(*[f"`{c}`" for c in keep]).unionByName(nameless.select(*[f"`{c}`" for c in keep]))

@@ -69,6 +69,28 @@ def test_links_reach_all_close_pairs(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
 
 
+def test_components_of_hubs_chains_and_cycles(spark):
+    import random
+
+    r = random.Random(3)
+    edges = [(0, k) for k in range(1, 900)] + [(k, k + 1) for k in range(1000, 1040)] + [(2000 + k, 2000 + (k + 1) % 30) for k in range(30)]
+    edges += [(3000 + r.randrange(200), 3000 + r.randrange(200)) for _ in range(150)] + [(950, 940), (940, 5), (7, 7), (1, 0)]
+    parent = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            ra, rb = root(a), root(b)
+            parent[max(ra, rb)] = min(ra, rb)
+    frame = spark.createDataFrame(edges, "x long, y long")
+    got = {n["node"]: n["root"] for n in components.components(frame, "x", "y").collect()}
+    assert got == {x: root(x) for x in parent}
+
+
 def test_segments_cover_all_bits():
     assert [w for _, w in simhash.segments(4)] == [21, 21, 22] and sum(w for _, w in simhash.segments(4)) == 64
 
@@ -88,3 +110,10 @@ def test_empty(spark, empty):
 def test_a_majority_is_over_half():
     assert simhash.fingerprint(b"a b c d e") == naive("a b c d e") and np.bitwise_count(np.uint64(simhash.fingerprint(b"w"))) > 0
     assert simhash.fingerprint(None) == simhash.fingerprint(b"") == 0
+
+
+def test_rows_without_ids_are_one_document(spark, docs):
+    nameless = docs.filter("doc_id is null").union(docs.filter("doc_id is null"))
+    assert simhash.deduplicate(nameless).count() == 1
+    far = nameless.union(docs.filter("doc_id = 10"))
+    assert sorted(str(r["doc_id"]) for r in simhash.deduplicate(far).collect()) == ["10", "None"]
