@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -211,13 +211,17 @@ def links(fps: DataFrame, bits: int = BITS, large: int = LARGE) -> DataFrame:
     return made.union(_links(again.repartition("key").sortWithinPartitions("key"), bits, None).select("a", "b"))
 
 
+def rooted(nodes: DataFrame, bits: int = BITS) -> DataFrame:
+    """``nodes``, which has each fingerprint ``fp`` once, and the ``root`` of its component."""
+    roots = components(links(nodes.select("fp"), bits), "a", "b")
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select(*[nodes[c] for c in nodes.columns], F.coalesce("root", "fp").alias("root"))
+
+
 def group(docs: DataFrame, keep: list[str], bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """Columns ``keep`` (``doc_id`` among them), ``fp`` and ``component_id``, the smallest doc_id
     that links reach."""
     marked = cut(fingerprints(docs, keep, "fp", shingle=shingle))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(links(nodes.select("fp"), bits), "a", "b")
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    named = rooted(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), bits)
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = named.join(lowest, "root").select("fp", "component_id")
     return marked.join(ids, "fp")
@@ -230,18 +234,33 @@ def report(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFra
     )
 
 
+def row_key() -> Column:
+    """A digest that rows have in common only if both their id and their text are the same."""
+    name = F.col("doc_id").cast("string")
+    size = F.coalesce(F.length(name), F.lit(-1)).cast("string")
+    return F.md5(F.concat(size, F.lit(":"), F.coalesce(name, F.lit("")), F.coalesce(F.concat(F.lit(":"), F.col("text")), F.lit(""))))
+
+
 def deduplicate(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
-    """The documents, all columns, of which each names its component: one of each group stays.
+    """One document, with all columns, of each component: that of the smallest doc_id (none comes
+    last), and of several texts under that id the one of the smallest digest.
 
-    Rows that repeat a doc_id are copies of one document; one of them stays.
+    An id names no text by itself: rows of different texts under one id, or without ids, stay or go
+    by their own components. Rows of the same id and text are one document.
     """
     keep = list(docs.columns)
-    placed = group(docs.select("doc_id", "text"), ["doc_id"], bits, shingle)
-    name = fresh(keep, "__kept")
-    chosen = placed.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    # The join and the dropping of repeated rows share one shuffle by doc_id.
-    named = docs.join(chosen, docs["doc_id"] == chosen[name], "left_semi").dropDuplicates(["doc_id"])
-    nobody = chosen.filter(F.col(name).isNull()).limit(1)
-    nameless = docs.filter("doc_id is null").limit(1)
-    nameless = nameless.join(F.broadcast(nobody), nameless["doc_id"].eqNullSafe(nobody[name]), "left_semi")
-    return named.select(*[f"`{c}`" for c in keep]).unionByName(nameless.select(*[f"`{c}`" for c in keep]))
+    marked = cut(fingerprints(docs.select("doc_id", "text", row_key().alias("key")), ["doc_id", "key"], "fp", shingle=shingle))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
+    named = rooted(marked.groupBy("fp").agg(F.min(order).alias("first")), bits)
+    name, own = fresh(keep, "__kept"), fresh(keep, "__row")
+    chosen = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias(name))
+
+    def kept(rows: DataFrame) -> DataFrame:
+        return rows.join(chosen, rows[own] == chosen[name], "left_semi")
+
+    rows = docs.withColumn(own, row_key())
+    # The join and the dropping of repeated rows share one shuffle. Rows without ids can repeat
+    # without end, so theirs are dropped before it too.
+    with_id = kept(rows.filter("doc_id is not null")).dropDuplicates([own])
+    without = kept(rows.filter("doc_id is null").dropDuplicates([own]))
+    return with_id.unionByName(without).select(*[f"`{c}`" for c in keep])

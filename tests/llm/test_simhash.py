@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from evidoc.llm import components, simhash
+from tests.llm.conftest import prose
 
 
 def naive(text):
@@ -117,3 +118,12 @@ def test_rows_without_ids_are_one_document(spark, docs):
     assert simhash.deduplicate(nameless).count() == 1
     far = nameless.union(docs.filter("doc_id = 10"))
     assert sorted(str(r["doc_id"]) for r in simhash.deduplicate(far).collect()) == ["10", "None"]
+
+
+def test_different_texts_without_ids_or_under_one_id_all_stay(spark):
+    one, two, three, four, five = (prose(seed, 80) for seed in range(90, 95))
+    rows = [(None, one), (None, two), (None, two), (None, three), (1, three), (5, four), (5, one + " " + five), (5, two), (9, four)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in simhash.deduplicate(docs).collect()))
+    # ``two`` is both without an id and under 5: the one with an id stays
+    assert got == sorted([(0, one), (1, three), (5, four), (5, one + " " + five), (5, two)])
