@@ -2,14 +2,15 @@
 
 Per language, a suffix automaton of labelled text is built. A text is parsed against each automaton
 into phrases, each the longest match that the language's text has for what follows; a language that
-is the text's own needs few phrases. The number of phrases times log2 of the length of the labelled
-text, over the length of the text, estimates the cross entropy in bits a character; the language
-with the lowest estimate wins.
+is the text's own needs few phrases. The number of phrases times log2 of the length of the longest
+labelled text, over the length of the text, estimates the cross entropy in bits a character; the
+language with the lowest estimate wins. All languages share that one scale, and a letter that a
+language lacks is a phrase, so a language with little labelled text has no cheaper phrases.
 
 Texts are lower-cased and runs of anything but letters become one blank. Parsing starts anew every
 ``BLOCK`` characters, so that all blocks of a batch are walked side by side with numpy; whole texts
 are parsed. Labelled text is a bounded sample: ``SAMPLE_DOCS`` documents a language by the smallest
-hash of their ids, ``SAMPLE_CHARS`` characters a language in all.
+hash of their ids among texts with a letter, ``SAMPLE_CHARS`` characters a language in all.
 
 Defined results: null text and text without a letter are ``und`` with score 0; ties go to the
 language whose name sorts first; with no labelled row everything is ``und``; labels outside
@@ -100,7 +101,7 @@ class CrossParser:
             self.roots.append(first * self.width)
             first += len(states)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        self.scale = np.array([np.log2(max(2, len(texts[name]))) for name in self.languages])
+        self.scale = np.log2(max([2, *map(len, texts.values())]))
 
     def encode(self, text: str) -> np.ndarray:
         """Codes of a lower-cased text, runs of blanks as one."""
@@ -156,7 +157,7 @@ class CrossParser:
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> CrossParser:
     """Build the automata from documents that are labelled and not held out."""
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(sample_docs))
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out()).select(
         "doc_id", "lang", salt.alias("salt"), F.xxhash64("doc_id", F.lit(1)).alias("h")
     )
     # One document of each language and salt: the ids first (no text is read), then the few texts.
@@ -165,7 +166,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     if not hashes:
         return CrossParser({})
     wanted = docs.sparkSession.createDataFrame([(h,) for h in hashes], "h long")
-    few = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select(
+    few = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out()).select(
         "doc_id", "lang", "text", F.xxhash64("doc_id", F.lit(1)).alias("h")
     ).join(F.broadcast(wanted), "h")  # sample_docs rows a language
     texts: dict[str, str] = {}

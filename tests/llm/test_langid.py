@@ -71,3 +71,27 @@ def test_odd_texts(spark, docs, empty):
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert langid.report(docs).first()["lang_pred"] == "und"
+
+
+def labelled(spark, texts):
+    """Documents that are not held out, of (text, lang)."""
+    ids = [r["id"] for r in spark.range(4 * len(texts) + 40).filter(~langid.held_out("id")).collect()]
+    return spark.createDataFrame([(k, t, lang) for k, (t, lang) in zip(ids, texts, strict=False)], "doc_id long, text string, lang string")
+
+
+def tongue(seed, n):
+    """Prose of one language: ``seed`` // 100 deals its words."""
+    r = random.Random(seed // 100)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 9))) for _ in range(300)]
+    r = random.Random(seed)
+    return " ".join(r.choice(words) for _ in range(n))
+
+
+def test_a_rare_label_beside_large_ones_wins_nothing(spark):
+    texts = [(tongue(100 * lang + k, 150), f"l{lang}") for lang in (1, 2, 3) for k in range(12)]
+    parser = langid.learn(labelled(spark, [*texts, ("inonth", "a"), ("123 456", "b")]))
+    assert parser.languages == ["a", "l1", "l2", "l3"]  # no letter, no language
+    for lang in (1, 2, 3):
+        assert set(parser.predict([tongue(100 * lang + k, 100) for k in range(50, 70)])[0]) == {f"l{lang}"}
+    blank = langid.CrossParser({"l1": tongue(100, 150), "b": " "})
+    assert blank.predict([tongue(150, 100)])[0] == ["l1"]
