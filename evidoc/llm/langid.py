@@ -10,7 +10,10 @@ language lacks is a phrase, so a language with little labelled text has no cheap
 Texts are lower-cased and runs of anything but letters become one blank. Parsing starts anew every
 ``BLOCK`` characters, so that all blocks of a batch are walked side by side with numpy; whole texts
 are parsed. Labelled text is a bounded sample: ``SAMPLE_DOCS`` documents a language by the smallest
-hash of their ids among texts with a letter, ``SAMPLE_CHARS`` characters a language in all.
+hash of their ids among texts with a letter, ``SAMPLE_CHARS`` characters a language in all, in
+pieces of ``PIECE`` characters or more by the hash of their places in the whole texts. Words of a
+``WINDOW``-word passage that several documents share are learned once, and not at all where the
+documents have different languages and other words.
 
 Defined results: null text and text without a letter are ``und`` with score 0; ties go to the
 language whose name sorts first; with no labelled row everything is ``und``; labels outside
@@ -21,15 +24,18 @@ are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidoc.llm.common import fresh, per_row
+from evidoc.llm.common import cut, fresh, per_row
 
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 12_000
 BLOCK = 256
+PIECE, WINDOW = 192, 8
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -155,32 +161,81 @@ class CrossParser:
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> CrossParser:
-    """Build the automata from documents that are labelled and not held out."""
+    """Build the automata from documents that are labelled, have a letter and are not held out."""
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(sample_docs))
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out()).select(
-        "doc_id", "lang", salt.alias("salt"), F.xxhash64("doc_id", F.lit(1)).alias("h")
-    )
-    # One document of each language and salt: the ids first (no text is read), then the few texts.
+    labelled = usable.select("lang", salt.alias("salt"), F.xxhash64("doc_id", F.lit(1)).alias("h"))
+    # One document of each language and salt: the ids first, then the few texts.
     chosen = labelled.groupBy("lang", "salt").agg(F.min("h").alias("h")).select("h", "lang").collect()
     hashes = sorted({r["h"] for r in chosen})
     if not hashes:
         return CrossParser({})
     wanted = docs.sparkSession.createDataFrame([(h,) for h in hashes], "h long")
-    few = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out()).select(
-        "doc_id", "lang", "text", F.xxhash64("doc_id", F.lit(1)).alias("h")
-    ).join(F.broadcast(wanted), "h")  # sample_docs rows a language
-    texts: dict[str, str] = {}
-    rows = few.groupBy("lang", "h").agg(F.min(F.substring("text", 1, sample_chars)).alias("text")).orderBy("lang", "h")
+    few = usable.select("lang", "text", F.xxhash64("doc_id", F.lit(1)).alias("h")).join(F.broadcast(wanted), "h")  # sample_docs rows a language
+    few = cut(few.groupBy("lang", "h").agg(F.min("text").alias("text")))
     parts: dict[str, list[str]] = {}
-    for r in rows.collect():
-        parts.setdefault(r["lang"], []).append(letters_only(r["text"]))
-    for lang, own in parts.items():
-        share = -(-sample_chars // len(own))
-        text = " ".join(t[:share] for t in own)
-        if len(text) < sample_chars:  # short documents leave room for more of the longer ones
-            text = " ".join([text, *(t[share:] for t in own)])
-        texts[lang] = text[:sample_chars].strip() or " "
-    return CrossParser(texts)
+    for r in pieces(few, sample_chars).orderBy("lang", "turn", "mark").collect():
+        parts.setdefault(r["lang"], []).append(r["piece"])
+    return CrossParser({lang: " ".join(own)[:sample_chars].strip() for lang, own in parts.items()})
+
+
+def pieces(few: DataFrame, sample_chars: int) -> DataFrame:
+    """Pieces of the texts of a sample (lang, h, text): ``lang``, ``turn``, ``mark``, ``piece``. In the
+    order of turn and mark, texts take turns and each gives its pieces by the hash of their places;
+    the pieces of a language that reach ``sample_chars`` characters are given."""
+
+    def windows(batches):
+        for b in batches:
+            for lang, h, text in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
+                w = letters_only(text).split()
+                keys = [xxhash.xxh64_intdigest(" ".join(w[k : k + WINDOW]).encode(), 0) >> 1 for k in range(max(1, len(w) - WINDOW + 1))]
+                for lo in range(0, len(keys), 65_536):
+                    own = keys[lo : lo + 65_536]
+                    yield pa.RecordBatch.from_pydict({"lang": [lang] * len(own), "h": [h] * len(own), "at": list(range(lo, lo + len(own))), "key": own})
+
+    # Passages that another document of the sample has: first of a language's documents or not.
+    seen = few.select("lang", "h", "text").mapInArrow(windows, "lang string, h long, at long, key long")
+    by_lang = seen.groupBy("key", "lang").agg(F.min("h").alias("first"), F.max("h").alias("last"))
+    by_key = by_lang.groupBy("key").agg(F.count(F.lit(1)).alias("langs"))
+    shared = by_lang.join(by_key, "key").filter("langs > 1 OR first < last")
+    marked = seen.join(shared, ["key", "lang"]).groupBy("lang", "h").agg(
+        F.collect_list(F.when(F.col("h") != F.col("first"), F.col("at"))).alias("again"),
+        F.collect_list(F.when(F.col("langs") > 1, F.col("at"))).alias("foreign"),
+    )
+
+    def cut_up(words: list[str], h: int) -> list[tuple[int, int, str]]:
+        out, start, size = [], 0, 0
+        for k, w in enumerate(words):
+            size += len(w) + 1
+            if size > PIECE or k + 1 == len(words):
+                out.append(" ".join(words[start : k + 1]))
+                start, size = k + 1, 0
+        ranked = sorted((xxhash.xxh64_intdigest(f"{h} {k}".encode(), 0) >> 1, p) for k, p in enumerate(out))
+        got, size = [], 0
+        for turn, (mark, p) in enumerate(ranked):
+            got.append((turn, mark, p))
+            size += len(p) + 1
+            if size > sample_chars:
+                break
+        return got
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for lang, h, text, again, foreign in zip(*[b.column(k).to_pylist() for k in range(5)], strict=True):
+                w = letters_only(text).split()
+                for pure, gone in ((True, [*(again or ()), *(foreign or ())]), (False, again or ())):
+                    bad = {k for at in gone for k in range(at, at + WINDOW)}
+                    rows += [(lang, pure, *x) for x in cut_up([x for k, x in enumerate(w) if k not in bad], h)]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["lang", "pure", "turn", "mark", "piece"])
+
+    all_ = few.join(marked, ["lang", "h"], "left").select("lang", "h", "text", "again", "foreign").mapInArrow(run, "lang string, pure boolean, turn long, mark long, piece string")
+    # Passages of other languages only where a language has nothing else.
+    own = Window.partitionBy("lang")
+    before = own.orderBy("turn", "mark", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    left = all_.withColumn("any", F.max("pure").over(own)).filter("pure = any")
+    return left.withColumn("before", F.coalesce(F.sum(F.length("piece") + 1).over(before), F.lit(0))).filter(F.col("before") < sample_chars)
 
 
 def classify(docs: DataFrame, parser: CrossParser, keep: list[str], names: tuple[str, str] = ("lang_pred", "score"), text: str = "text") -> DataFrame:

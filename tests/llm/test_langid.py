@@ -95,3 +95,25 @@ def test_a_rare_label_beside_large_ones_wins_nothing(spark):
         assert set(parser.predict([tongue(100 * lang + k, 100) for k in range(50, 70)])[0]) == {f"l{lang}"}
     blank = langid.CrossParser({"l1": tongue(100, 150), "b": " "})
     assert blank.predict([tongue(150, 100)])[0] == ["l1"]
+
+
+def test_texts_are_learned_beyond_their_openings(spark):
+    """One passage opens all documents; what tells the languages apart stands far behind it."""
+    header = tongue(900, 60)
+    texts = [(f"{header} {tongue(100 * lang + k, 2500)}", f"l{lang}") for lang in (1, 2) for k in range(8)]
+    docs = labelled(spark, texts)
+    parser = langid.learn(docs)
+    for lang in (1, 2):
+        assert set(parser.predict([tongue(100 * lang + k, 60) for k in range(50, 70)])[0]) == {f"l{lang}"}
+    chosen = langid.pieces(docs.selectExpr("lang", "doc_id AS h", "text"), langid.SAMPLE_CHARS).collect()
+    assert sum(len(r["piece"]) + 1 for r in chosen) >= 2 * langid.SAMPLE_CHARS
+    passages = {header[k : k + 60] for k in range(len(header) - 60)}
+    assert not any(p in r["piece"] for p in passages for r in chosen)
+    whole = [t for t, _ in texts]
+    places = [next(t.index(r["piece"]) / len(t) for t in whole if r["piece"] in t) for r in chosen if any(r["piece"] in t for t in whole)]
+    assert len(places) > 100 and min(places) < 0.2 and max(places) > 0.8
+
+
+def test_labels_of_equal_texts_are_learned(spark):
+    parser = langid.learn(labelled(spark, [(tongue(100, 50), "x"), (tongue(100, 50), "y")]))
+    assert parser.languages == ["x", "y"]
