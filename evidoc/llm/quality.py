@@ -1,10 +1,10 @@
 """Quality rules: hashed n-gram log-likelihood ratio, in DataFrame functions only.
 
 Words and word pairs of every document are hashed to ``BUCKETS`` buckets. Two multinomials over the
-buckets are counted, one over all documents and one over trusted documents (quality labels of 1; at
-most ``TRUSTED`` of them, those with the smallest hashes of their ids). A document's value is the
-mean over its n-grams of log p_trusted - log p_all; it passes at ``THRESHOLD`` or more. Simple rules
-come first: too few words, or too many words in repeated three-word windows.
+buckets are counted, one over all documents and one over all trusted documents (quality labels of
+1). A document's value is the mean over its n-grams of log p_trusted - log p_all; it passes at
+``THRESHOLD`` or more. Simple rules come first: too few words, or too many words in repeated
+three-word windows.
 
 Defined results: a null text has no words and fails; a text without words has value 0 and fails by
 its length; with no trusted document the ratio is 0 everywhere, so the simple rules decide alone;
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from evidoc.llm.native import let, spaced
 
 BUCKETS = 8_192
-TRUSTED = 16_384
 SMOOTHING = 1.0
 THRESHOLD = -0.10
 SYMBOLS = "#*$%&|<>"
@@ -76,18 +75,22 @@ def buckets(w: Column, n: int = BUCKETS) -> Column:
     return F.concat(single, pair)
 
 
-def trusted(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    ids = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def trusted(labels: DataFrame) -> DataFrame:
+    return labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
 def ratios(docs: DataFrame, labels: DataFrame, n: int = BUCKETS) -> list[float]:
-    """log p_trusted - log p_all of every bucket; counts over all documents, summed in Spark to
-    ``n`` rows."""
-    flag = trusted(labels).withColumn("__trusted", F.lit(1))
-    marked = docs.select("doc_id", "text").join(F.broadcast(flag), "doc_id", "left")  # at most TRUSTED ids
-    rows = marked.select("__trusted", F.explode(let(words(F.col("text")), lambda w: buckets(w, n))).alias("bucket"))
-    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("all"), F.count("__trusted").alias("good")).collect()
+    """log p_trusted - log p_all of every bucket; counts over all documents and over all trusted
+    ones, summed in Spark to ``n`` rows."""
+
+    def grams(rows: DataFrame, good: Column) -> DataFrame:
+        return rows.select(good.alias("good"), F.explode(let(words(F.col("text")), lambda w: buckets(w, n))).alias("bucket"))
+
+    # Counted apart, so that rows without an id take no part in the join; a merge join at every size,
+    # as trusted ids grow with the table.
+    texts = docs.select("doc_id", "text")
+    rows = grams(texts, F.lit(False)).union(grams(texts.join(trusted(labels).hint("merge"), "doc_id"), F.lit(True)))
+    counts = rows.groupBy("bucket").agg(F.count_if(~F.col("good")).alias("all"), F.count_if("good").alias("good")).collect()
     total, good = sum(r["all"] for r in counts), sum(r["good"] for r in counts)
     if not good:
         return [0.0] * n

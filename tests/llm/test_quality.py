@@ -75,3 +75,17 @@ def test_empty(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.judge(empty, labels).count() == 0
     assert len(odd_texts()) == 21
+
+
+def test_every_trusted_document_counts(spark):
+    """More trusted documents than 16,384, each with a word of its own: each moves its bucket."""
+    many = 17_000
+    docs = spark.range(many).selectExpr("id AS doc_id", "concat('w', id) AS text")
+    docs = docs.unionByName(spark.createDataFrame([(None, "nobody"), (many, "stranger")], "doc_id long, text string"))
+    labels = spark.range(many).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    n = quality.BUCKETS
+    own = Counter(b for k in range(many) for b in buckets([f"w{k}"]))
+    every = own + Counter(buckets(["nobody", "stranger"])[:2])
+    got = quality.ratios(docs, labels)
+    base = math.log(many + 2 + n) - math.log(many + n)
+    assert max(abs(got[b] - (base + math.log(own[b] + 1) - math.log(every[b] + 1))) for b in range(n)) < 1e-9
