@@ -3,8 +3,9 @@
 Texts become lower-case words parted by one blank. Three base phrases are counted in all of them.
 Signature rules are regular expressions over those words, ordered by priority. A gate of a few
 stems, and then one keyword per rule among the text's words, decide which expressions run at all.
-Of overlapping detections, one whose interval another contains is suppressed (of equal intervals the
-one of lower priority); labels of what is left are added to the base phrases' own.
+A detection whose interval another contains is suppressed (of equal intervals the one of lower
+priority); of those that overlap in part, the one of higher priority stays. Labels of what is left
+are added to the base phrases' own.
 
 Defined results: a null text is an empty one: no words, no labels (empty strings), null first and
 last word, score 0; repeated rows get rows of their own; extra columns are ignored.
@@ -12,9 +13,10 @@ last word, score 0; repeated rows get rows of their own; extra columns are ignor
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidoc.llm.common import LOWER, UPPER
@@ -23,6 +25,7 @@ from evidoc.llm.native import blanks, let, spaced, word_count
 #: Phrases and labels of the query's contract. Fixed values.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
+INTERVALS = "array<struct<start:int,end:int,priority:int,label:string>>"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Every signature demands one of these; most texts have none and are done.
 GATE = (
@@ -184,71 +187,119 @@ def places(padded: Column, n_words: Column, phrase: str) -> Column:
     return F.when(F.contains(padded, F.lit(f" {phrase} ")), let(pieces, found)).otherwise(none)
 
 
-def detections(padded: Column, rules=RULES) -> Column:
-    """Per rule whose expression matches: its label and priority, and the lengths of what stands
-    between the matches and of the matches. Null where no gate stem stands."""
-    table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.keyword).alias("keyword"), F.lit(f" {r.pattern}(?= )").alias("pattern")) for r in rules])
-    keywords = F.array(*[F.lit(k) for k in sorted({r.keyword for r in rules})])
-    present = F.array_intersect(F.split(padded, " "), keywords)
-    hits = let(present, lambda w: F.filter(table, lambda r: F.array_contains(w, r["keyword"]) & F.rlike(padded, r["pattern"])))
-    lengths = F.transform(
-        hits,
-        lambda r: F.struct(
-            r["label"].alias("label"),
-            r["priority"].alias("priority"),
-            F.arrays_zip(
-                F.transform(F.split(padded, r["pattern"]), lambda x: F.length(x)).alias("gap"),
-                F.transform(F.regexp_extract_all(padded, r["pattern"], F.lit(0)), lambda x: F.length(x)).alias("len"),
-            ).alias("parts"),
-        ),
-    )
+def hits(padded: Column, rules: Sequence[Rule]) -> Column:
+    """The numbers of the rules whose expression matches: a gate of a few stems, then one keyword per
+    rule among the text's words, then the expressions, each a literal and so compiled once. Null
+    where no gate stem stands."""
+    by_keyword: dict[str, list[int]] = {}
+    for k, r in enumerate(rules):
+        by_keyword.setdefault(r.keyword, []).append(k)
+    keywords = F.array(*map(F.lit, sorted(by_keyword)))
+    none = F.array().cast("array<int>")
+
+    def tried(present: Column) -> Column:
+        groups = []
+        for word, own in sorted(by_keyword.items()):
+            run = F.array_compact(F.array(*[F.when(F.rlike(padded, F.lit(expression(rules[k]))), F.lit(k)) for k in own]))
+            groups.append(F.when(F.array_contains(present, word), run).otherwise(none))
+        return F.flatten(F.array(*groups))
+
     gate = None
     for stem in GATE:
         own = F.contains(padded, F.lit(stem))
         gate = own if gate is None else gate | own
-    return F.when(gate, lengths)
+    return F.when(gate, let(F.array_intersect(F.split(padded, " "), keywords), tried))
+
+
+def expression(rule: Rule) -> str:
+    return f" {rule.pattern}(?= )"
+
+
+def intervals(padded: Column, numbers: Column, rules: Sequence[Rule]) -> Column:
+    """Every match of the rules ``numbers`` in a text: an array of ``start``, ``end`` (places in
+    ``padded``), ``priority`` and ``label``."""
+    table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(expression(r)).alias("pattern")) for r in rules])
+
+    def of_rule(k: Column) -> Column:
+        def placed(r: Column) -> Column:
+            parts = F.arrays_zip(
+                F.transform(F.split(padded, r["pattern"]), lambda x: F.length(x)).alias("gap"),
+                F.transform(F.regexp_extract_all(padded, r["pattern"], F.lit(0)), lambda x: F.length(x)).alias("len"),
+            )
+
+            def step(a: Column, x: Column) -> Column:
+                start = a["at"] + x["gap"]
+                own = F.struct(start.alias("start"), (start + x["len"]).alias("end"), r["priority"].alias("priority"), r["label"].alias("label"))
+                return F.struct((start + x["len"]).alias("at"), F.concat(a["found"], F.array(own)).alias("found"))
+
+            matched = F.filter(parts, lambda x: x["len"].isNotNull())
+            return F.aggregate(matched, F.struct(F.lit(0).alias("at"), F.array().cast(INTERVALS).alias("found")), step, lambda a: a["found"])
+
+        return let(F.get(table, k), placed)
+
+    return F.flatten(F.transform(numbers, of_rule))
 
 
-def scan(docs: DataFrame, rules=RULES) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document."""
+def uncontained(found: Column) -> Column:
+    """Intervals that no other contains, by start (so by end too); of equal ones the one of highest
+    priority, then of the first label."""
+    ordered = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), (-x["priority"]).alias("rank"), x["label"].alias("label"))))
+
+    def step(a: Column, x: Column) -> Column:
+        end = -x["back"]
+        own = F.struct(x["start"].alias("start"), end.alias("end"), (-x["rank"]).alias("priority"), x["label"].alias("label"))
+        longer = F.struct(end.alias("end"), F.concat(a["kept"], F.array(own)).alias("kept"))
+        return F.when(end > a["end"], longer).otherwise(a)
+
+    return F.aggregate(ordered, F.struct(F.lit(-1).alias("end"), F.array().cast(INTERVALS).alias("kept")), step, lambda a: a["kept"])
+
+
+def resolved(found: Column) -> Column:
+    """What is left of ``uncontained`` intervals when overlaps are resolved: in each run of intervals
+    that overlap their neighbours, by priority (then length, then place), an interval is kept if it
+    overlaps none that is kept already."""
+    one = "array<struct<rank:int,size:int,start:int,end:int,label:string>>"
+
+    def collect(a: Column, x: Column) -> Column:
+        own = F.array(F.struct((-x["priority"]).alias("rank"), (x["start"] - x["end"]).alias("size"), x["start"].alias("start"), x["end"].alias("end"), x["label"].alias("label")))
+        apart = F.struct(x["end"].alias("end"), F.concat(a["runs"], F.when(F.size(a["run"]) > 0, F.array(a["run"])).otherwise(F.array().cast(f"array<{one}>"))).alias("runs"), own.alias("run"))
+        joined = F.struct(x["end"].alias("end"), a["runs"].alias("runs"), F.concat(a["run"], own).alias("run"))
+        return F.when(x["start"] >= a["end"], apart).otherwise(joined)
+
+    start = F.struct(F.lit(-1).alias("end"), F.array().cast(f"array<{one}>").alias("runs"), F.array().cast(one).alias("run"))
+    runs = F.aggregate(found, start, collect, lambda a: F.concat(a["runs"], F.array(a["run"])))
+
+    def free(kept: Column, x: Column) -> Column:
+        return ~F.exists(kept, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
+
+    def best(run: Column) -> Column:
+        return F.aggregate(F.array_sort(run), F.array().cast(one), lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+
+    return F.flatten(F.transform(runs, lambda run: F.when(F.size(run) < 2, run).otherwise(best(run))))
+
+
+def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document.
+
+    All of it is computed within the row, so nothing is shuffled and no key is needed.
+    """
     text = docs.select("doc_id", word_text(F.col("text")).alias("__words"))
     padded = F.concat(F.lit(" "), "__words", F.lit(" "))
     n_words = word_count(F.col("__words"))
-    rows = text.select(
-        F.monotonically_increasing_id().alias("__row"),
-        "doc_id",
-        n_words.alias("n_words"),
-        *[places(padded, n_words, p).alias(f"__p{k}") for k, (p, _) in enumerate(BASE)],
-        detections(padded, rules).alias("__found"),
-    )
-    each = rows.withColumn("__hit", F.explode_outer("__found")).drop("__found")
-    each = each.select("*", F.posexplode_outer("__hit.parts").alias("__k", "__part")).filter("__part is null or __part.len is not null")
-    # All windows and the last grouping are by row, so the small rows are shuffled once.
-    order = Window.partitionBy("__row", "__label", "__rule").orderBy("__k")
-    lengths = F.col("__part.gap") + F.col("__part.len")
-    flat = each.select("*", F.col("__hit.label").alias("__label"), F.col("__hit.priority").alias("__priority"), F.xxhash64("__hit").alias("__rule"))
-    flat = flat.repartition("__row").withColumn("__end", F.sum(lengths).over(order)).withColumn("__start", F.col("__end") - F.col("__part.len"))
-    before = Window.partitionBy("__row").orderBy("__start", F.desc("__end"), F.desc("__priority"), "__label").rowsBetween(Window.unboundedPreceding, -1)
-    free = F.col("__label").isNotNull() & (F.coalesce(F.max("__end").over(before), F.lit(-1)) < F.col("__end"))
-    kept = flat.withColumn("__free", free)
-    base = [F.max(f"__p{k}").alias(f"__p{k}") for k in range(len(BASE))]
-    grouped = kept.groupBy("__row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_words").alias("n_words"),
-        *base,
-        F.collect_set(F.when(F.col("__free"), F.col("__label"))).alias("__labels"),
-        F.max(F.when(F.col("__free"), F.col("__priority"))).alias("__best"),
-    )
+    kept = let(hits(padded, rules), lambda k: F.when(F.size(k) > 0, let(intervals(padded, k, rules), lambda x: resolved(uncontained(x)))))
+    rows = text.select("doc_id", n_words.alias("n_words"), *[places(padded, n_words, p).alias(f"__p{k}") for k, (p, _) in enumerate(BASE)], kept.alias("__kept"))
     own = F.filter(F.array(*[F.when(F.col(f"__p{k}.n") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)]), lambda x: x.isNotNull())
     n_base = sum((F.col(f"__p{k}.n") for k in range(1, len(BASE))), F.col("__p0.n"))
     every = range(len(BASE))
-    return grouped.select(
+    found = F.coalesce(F.col("__kept.label"), F.array().cast("array<string>"))
+    surest = -F.array_min(F.col("__kept.rank")) / 100.0
+    return rows.select(
         "doc_id",
         "n_words",
         n_base.alias("n_base"),
         F.least(*[F.col(f"__p{k}.first") for k in every]).alias("first_word"),
         F.greatest(*[F.col(f"__p{k}.last") for k in every]).alias("last_word"),
         F.array_join(F.array_sort(own), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat(own, "__labels"))), ",").alias("labels"),
-        F.greatest(F.coalesce(F.col("__best") / 100.0, F.lit(0.0)), F.when(n_base > 0, F.lit(0.6)).otherwise(0.0)).cast("double").alias("score"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(own, found))), ",").alias("labels"),
+        F.greatest(F.coalesce(surest, F.lit(0.0)), F.when(n_base > 0, F.lit(0.6)).otherwise(0.0)).cast("double").alias("score"),
     )
