@@ -19,7 +19,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidoc.llm.common import LOWER, UPPER
 from evidoc.llm.native import blanks, let, spaced, word_count
 
 #: Phrases and labels of the query's contract. Fixed values.
@@ -165,7 +164,10 @@ RULES = tuple(_rules())
 
 
 def word_text(text: Column) -> Column:
-    return spaced(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NOT_WORD)
+    """Words parted by one blank, A-Z in lower case (and other letters too, which no phrase has; the
+    two of them that would become ASCII letters are another letter first)."""
+    kept = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\xb5")), F.lit("\u0130"), F.lit("\xb5"))
+    return spaced(F.lower(kept), NOT_WORD)
 
 
 def places(padded: Column, n_words: Column, phrase: str) -> Column:
