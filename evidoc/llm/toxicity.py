@@ -7,9 +7,12 @@ table has one toxicity flag and a quality flag, so the chain is ``low_quality``
 list of 0/1 columns makes a chain.
 
 Features are the presence of words (A-Z folded) and of word stems (leading bytes), the ``FEATURES``
-best by a chi-square test in the sample. Training uses at most ``SAMPLE`` labelled documents, those
-with the smallest hashes of their ids; every document is scored, on its whole text. The threshold is
-the one of best F1 among the out-of-fold predictions.
+best by a chi-square test. Training uses at most ``SAMPLE`` labelled documents, those with the
+smallest hashes of their ids. Their tokens are counted in Spark; the driver sees the chosen features
+and, per document, the numbers of those it has, not the texts. Equal texts share a fold, and each
+fold has features of its own choice, made without its labels. The models of a category are fitted as
+tasks. Every document is scored, on its whole text. The threshold is the one of best F1 among the
+out-of-fold predictions.
 
 Defined results: null, empty and wordless texts have probability 0 and are not toxic; labels of a
 repeated doc_id count as positive if any row's is; null labels count as 0; with no labelled row of
@@ -19,14 +22,16 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidoc.llm.common import WORD_BYTES, fresh, per_row
+from evidoc.llm.common import WORD_BYTES, cut, fresh, per_row
 
 SAMPLE = 8_000
 FEATURES = 4_096
@@ -116,27 +121,6 @@ class Chain:
         return out
 
 
-def chosen_features(texts: list[bytes], labels: np.ndarray, most: int) -> dict[bytes, int]:
-    """The ``most`` tokens of at least three documents with the largest chi-square of any category."""
-    n = len(texts)
-    numbers: dict[bytes, int] = {}
-    # Tokens as numbers: the driver holds no token twice.
-    owned = [np.array([numbers.setdefault(t, len(numbers)) for t in tokens(x)], dtype=np.int32) for x in texts]
-    if not numbers:
-        return {}
-    flat, row = np.concatenate(owned), np.repeat(np.arange(n), [len(x) for x in owned])
-    seen = np.bincount(flat, minlength=len(numbers)).astype(float)
-    best = np.zeros(len(numbers))
-    for y in labels.T:
-        pos = y.sum()
-        want = seen * pos / n
-        spread = np.maximum(1e-9, want * (1 - pos / n) * (1 - seen / n))
-        best = np.maximum(best, (np.bincount(flat, weights=y[row], minlength=len(numbers)) - want) ** 2 / spread)
-    names = list(numbers)
-    order = sorted(np.flatnonzero(seen >= 3).tolist(), key=lambda k: (-best[k], names[k]))[:most]
-    return {names[k]: i for i, k in enumerate(order)}
-
-
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     """The middle of the gap below which F1 is best; out of reach where no row is positive."""
     if not y.any():
@@ -151,37 +135,152 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[k]] + below) / 2)
 
 
-def train(texts: list[bytes], labels: np.ndarray, names: tuple[str, ...], features: int = FEATURES, folds: int = FOLDS) -> Chain:
-    chain = Chain(names, chosen_features(texts, labels, features))
-    x = chain.rows(texts)
-    fold = np.arange(len(texts)) % folds  # rows come in the order of a hash
-    earlier = np.zeros((len(texts), 0))
-    everyone = np.ones(len(texts), dtype=bool)
-    for y in labels.T.astype(float):
-        out_of_fold = np.zeros(len(texts))
-        for k in range(folds):
-            here = fold == k
-            if (~here).any():
-                out_of_fold[here] = fit(x, earlier, y, ~here).predict(x, earlier)[here]
-        chain.models.append(fit(x, earlier, y, everyone))
-        chain.threshold = best_threshold(out_of_fold, y)
-        earlier = np.column_stack([earlier, out_of_fold])
-    return chain
+def fold_of(text: bytes, folds: int) -> int:
+    """The fold of a text: equal texts share it."""
+    return zlib.crc32(text) % folds
 
 
-def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int = SAMPLE) -> Chain:
-    """Train on the ``sample`` labelled documents with the smallest hashes of their ids."""
-    names = tuple(n for n, _ in categories)
+def sampled(docs: DataFrame, labels: DataFrame, categories, sample: int) -> DataFrame:
+    """doc_id, the categories and text of the ``sample`` labelled documents with the smallest hashes
+    of their ids."""
+    names = [n for n, _ in categories]
     rows = labels.filter("doc_id is not null").groupBy("doc_id").agg(
         *[F.max(F.coalesce(F.expr(e), F.lit(0)).cast("int")).alias(n) for n, e in categories]
     )
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.filter("text is not null").select("doc_id", "text")
     # ``sample`` rows of a few integers are broadcast; texts of a repeated id count once.
-    found = texts.join(F.broadcast(rows), "doc_id").groupBy("doc_id", *names).agg(F.min("text").alias("text"))
-    got = found.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    y = np.array([[r[n] for n in names] for r in got], dtype=np.int64).reshape(len(got), len(names))
-    return train([r["text"].encode() for r in got], y, names)
+    return texts.join(F.broadcast(rows), "doc_id").groupBy("doc_id", *names).agg(F.min("text").alias("text"))
+
+
+def counted(rows: DataFrame, names: tuple[str, ...], folds: int) -> DataFrame:
+    """Per token: in how many of the sample's documents of each fold it stands (``n0``, ``n1``, ...),
+    and in how many positive ones of each category (``n0_0``: fold, category)."""
+
+    def run(batches):
+        for b in batches:
+            *ys, texts = [c.to_pylist() for c in b.columns]
+            for k, text in enumerate(texts):
+                raw = text.encode()
+                own, fold = sorted(tokens(raw)), fold_of(raw, folds)
+                for lo in range(0, len(own), 65_536):
+                    part = own[lo : lo + 65_536]
+                    cols = [pa.array(part, pa.binary())] + [pa.array(np.full(len(part), v, dtype=np.int32)) for v in (fold, *[y[k] for y in ys])]
+                    yield pa.RecordBatch.from_arrays(cols, names=["token", "fold", *names])
+
+    schema = T.StructType([T.StructField("token", T.BinaryType()), T.StructField("fold", T.IntegerType())] + [T.StructField(n, T.IntegerType()) for n in names])
+    each = rows.select(*[f"`{n}`" for n in names], "text").mapInArrow(run, schema)
+    sums = []
+    for k in range(folds):
+        sums.append(F.count_if(F.col("fold") == k).alias(f"n{k}"))
+        sums += [F.count_if((F.col("fold") == k) & (F.col(f"`{n}`") == 1)).alias(f"n{k}_{c}") for c, n in enumerate(names)]
+    return each.groupBy("token").agg(*sums)
+
+
+def best_tokens(counts: DataFrame, sizes: np.ndarray, use: list[int], most: int) -> list[bytes]:
+    """The ``most`` tokens of at least three documents of the folds ``use`` with the largest
+    chi-square of any category there. ``sizes`` has a row per fold: documents, positive ones."""
+    n, *positive = sizes[use].sum(axis=0).tolist() if use else [0] * sizes.shape[1]
+    if not n:
+        return []
+    total = lambda suffix="": sum((F.col(f"n{k}{suffix}") for k in use[1:]), F.col(f"n{use[0]}{suffix}"))
+    seen, best = total(), F.lit(0.0)
+    for c, pos in enumerate(positive):
+        want = seen * F.lit(pos / n)
+        spread = F.greatest(F.lit(1e-9), want * F.lit(1 - pos / n) * (1 - seen / F.lit(n)))
+        best = F.greatest(best, F.pow(total(f"_{c}") - want, F.lit(2.0)) / spread)
+    rows = counts.select("token", seen.alias("seen"), best.alias("best")).filter("seen >= 3").orderBy(F.desc("best"), "token").limit(most)
+    return [bytes(r["token"]) for r in rows.select("token").collect()]
+
+
+@dataclass
+class Sample:
+    """The sample as feature numbers: what the driver and the training tasks hold of it (at most
+    ``SAMPLE`` rows of at most ``FEATURES`` times ``FOLDS + 1`` numbers)."""
+
+    rows: list[np.ndarray]
+    labels: np.ndarray
+    fold: np.ndarray
+    chosen: list[np.ndarray]  # per fold and then for all rows: the features chosen without that fold
+
+    def within(self, k: int) -> Rows:
+        """The rows with the features of choice ``k`` only, numbered anew."""
+        number = np.full(self.chosen[k].size, -1, dtype=np.int32)
+        number[self.chosen[k]] = np.arange(self.chosen[k].sum())
+        own = [number[r] for r in self.rows]
+        return Rows([np.sort(r[r >= 0]) for r in own], int(self.chosen[k].sum()))
+
+
+def numbered(rows: DataFrame, names: tuple[str, ...], features: int, folds: int) -> tuple[Sample, list[bytes]]:
+    """The sample's rows by feature numbers, and the features in order."""
+    rows = cut(rows)
+    counts = cut(counted(rows, names, folds))
+    fold = F.pmod(F.crc32("text"), F.lit(folds))
+    sums = rows.groupBy(fold.alias("fold")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"`{n}`").alias(f"p{c}") for c, n in enumerate(names)]).collect()
+    sizes = np.zeros((folds, 1 + len(names)))
+    for r in sums:
+        sizes[r["fold"]] = r[1:]
+    sets = [best_tokens(counts, sizes, [j for j in range(folds) if j != k], features) for k in range(folds + 1)]
+    order = sorted(set().union(*sets))
+    number = {t: i for i, t in enumerate(order)}
+    chosen = [np.isin(np.arange(len(order)), [number[t] for t in own]) for own in sets]
+    shared = rows.sparkSession.sparkContext.broadcast(number)
+
+    def run(batches):
+        get = shared.value
+        for b in batches:
+            texts = [x.encode() for x in b.column(b.num_columns - 1).to_pylist()]
+            own = [sorted(get[t] for t in tokens(x) & get.keys()) for x in texts]
+            cols = [pa.array(own, pa.list_(pa.int32())), pa.array([fold_of(x, folds) for x in texts], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=["doc_id", *names, "features", "fold"])
+
+    schema = T.StructType([rows.schema[n] for n in ("doc_id", *names)] + [T.StructField("features", T.ArrayType(T.IntegerType())), T.StructField("fold", T.IntegerType())])
+    got = rows.select("doc_id", *[f"`{n}`" for n in names], "text").mapInArrow(run, schema).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    labels = np.array([[r[n] for n in names] for r in got], dtype=float).reshape(len(got), len(names))
+    return Sample([np.array(r["features"], dtype=np.int32) for r in got], labels, np.array([r["fold"] for r in got], dtype=np.int64), chosen), order
+
+
+def trained(sample: Sample, k: int, category: int, earlier: np.ndarray) -> tuple[Linear, np.ndarray]:
+    """The model of a category without fold ``k``, and its predictions for that fold's rows (the last
+    ``k``: of all rows, with none to predict)."""
+    x, here = sample.within(k), sample.fold == k
+    model = fit(x, earlier, sample.labels[:, category], ~here)
+    return model, model.predict(x, earlier)[here]
+
+
+def train(rows: DataFrame, names: tuple[str, ...], features: int = FEATURES, folds: int = FOLDS) -> tuple[Chain, np.ndarray, Sample]:
+    """The chain learned from ``rows`` (doc_id, a 0/1 column per name, text), the out-of-fold
+    probabilities and the sample. The models of a category are fitted as tasks, one for each fold
+    left out and one on all rows; neither features nor weights of the former see the fold's labels."""
+    spark = rows.sparkSession
+    sample, order = numbered(rows, names, features, folds)
+    chain = Chain(names, {t: i for i, t in enumerate(t for t, own in zip(order, sample.chosen[-1], strict=True) if own)})
+    earlier = np.zeros((len(sample.rows), 0))
+    shared = spark.sparkContext.broadcast(sample)
+    for category in range(len(names)):
+
+        def run(batches, category=category, earlier=earlier):
+            for b in batches:
+                for k in b.column(0).to_pylist():
+                    m, p = trained(shared.value, k, category, earlier)
+                    yield pa.RecordBatch.from_pydict({"k": [k], "words": [m.words], "chain": [m.chain], "bias": [m.bias], "p": [p]})
+
+        fits = spark.range(0, folds + 1, 1, folds + 1).mapInArrow(run, "k long, words array<double>, chain array<double>, bias double, p array<double>")
+        out_of_fold = np.zeros(len(sample.rows))
+        for r in fits.collect():
+            if r["k"] < folds:
+                out_of_fold[sample.fold == r["k"]] = r["p"]
+            else:
+                chain.models.append(Linear(np.array(r["words"]), np.array(r["chain"]), r["bias"]))
+        earlier = np.column_stack([earlier, out_of_fold])
+    if names:
+        chain.threshold = best_threshold(earlier[:, -1], sample.labels[:, -1])
+    return chain, earlier, sample
+
+
+def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int = SAMPLE, features: int = FEATURES, folds: int = FOLDS) -> Chain:
+    """Train on the ``sample`` labelled documents with the smallest hashes of their ids."""
+    return train(sampled(docs, labels, categories, sample), tuple(n for n, _ in categories), features, folds)[0]
 
 
 def score(docs: DataFrame, chain: Chain, keep: list[str], toxic: str = "toxic", probabilities: list[str] | None = None, text: str = "text") -> DataFrame:
