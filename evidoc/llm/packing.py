@@ -4,11 +4,12 @@ Documents are tokenised and cut into pieces of at most ``capacity`` tokens. The
 lengths (at most ``capacity`` numbers) is all that the driver sees. Patterns of one to three lengths
 that fill a sequence exactly, or nearly where few do, are enumerated, their repeat counts are fitted
 to the histogram by non-negative least squares, rounded, and taken as far as the histogram has
-pieces; what is left is packed by best-fit decreasing, again on the histogram. The plan gives, per length, intervals of
-ranks; pieces get their rank in a distributed way and look their place up.
+pieces; what is left is packed by best-fit decreasing, again on the histogram. Patterns always make
+half of the sequences or more. The plan gives, per length, intervals of ranks; pieces get their rank
+in a distributed way and look their place up.
 
-Defined results: a null text is an empty one and makes a piece of the end id alone; strings of
-special tokens in a text are ordinary text; repeated documents each get pieces of their own; extra
+Defined results: a null text is an empty one and makes a piece of the end id alone; the name of a
+special token in a text gives that token's id, as the tokenizer has it; repeated documents each get pieces of their own; extra
 columns are ignored; an empty table gives no pieces.
 """
 
@@ -109,17 +110,19 @@ class Encoder:
 
     The byte-level pre-tokenizer never joins a non-space to a space after it, so a text's ids are
     those of its chunks (white space and the word behind it) in turn; chunks that came before are
-    remembered for as long as the Python worker lives.
+    remembered for as long as the Python worker lives. A text that has the name of one of the
+    tokenizer's added tokens goes to the tokenizer whole.
     """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         if tokenizer_path not in _memories:
-            tokenizer = Tokenizer.from_file(tokenizer_path)
-            tokenizer.encode_special_tokens = True
-            _memories[tokenizer_path] = Memory(tokenizer)
+            _memories[tokenizer_path] = Memory(Tokenizer.from_file(tokenizer_path))
         self.memory = _memories[tokenizer_path]
+        self.tokenizer = self.memory.tokenizer
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -129,6 +132,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         self.memory.age()
+        if self.added and self.added.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return b"".join(map(self.memory.__getitem__, self.chunks(text))) if text else b""
 
 
@@ -180,17 +185,21 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
 # --- the plan: patterns, least squares, rounding, residuals -----------------------------------
 
 
-#: Patterns that each length is the longest of, at least, where sequences cannot be filled exactly.
-NEAR = 64
+#: Triples and pairs that each length is the longest of, at least, where sequences cannot be filled exactly.
+NEAR, PAIRS = 64, 32
 #: What a sequence's free tokens cost in the fit, as a share of the mean count per length.
 FREE_COST = 2.0
-#: Parts of the fitted counts that are tried; of the plans the one with the fewest sequences is taken.
-SHARES = (1.0, 0.5, 0.0)
+#: What a sequence's third document costs in the fit, as a share of the mean count per length: short
+#: documents are kept for what only they can fill.
+THIRD_COST = 0.3
+#: Full sequences of fitted patterns that are packed anew with the sequences that are not full, as
+#: multiples of the latter's number; the fewest sequences win.
+RELEASED = (0.0, 0.25, 0.5, 1.0)
 
 
 def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
     """Sorted length triples (0: unused) from ``lengths`` that fill ``capacity``: exactly, and, for a
-    longest length with fewer than ``NEAR`` such triples, the nearest ones below."""
+    longest length with fewer than ``NEAR`` such triples, the nearest ones below and ``PAIRS`` pairs."""
     have = np.zeros(capacity + 1, dtype=bool)
     have[lengths] = True
     have[0] = True
@@ -200,14 +209,18 @@ def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
         b = np.flatnonzero(have[: min(a, capacity - a) + 1])
         c = below[np.minimum(b, capacity - a - b)]
         free = capacity - a - b - c
-        keep = np.argsort(free, kind="stable")[: max(NEAR, int((free == 0).sum()))]
+        exact = int((free == 0).sum())
+        keep = np.argsort(free, kind="stable")[: max(NEAR, exact)]
         found.append(np.stack([np.full(len(keep), a), b[keep], c[keep]], axis=1))
+        if exact < NEAR:  # the longest pairs too: a third document may be worth more elsewhere
+            pair = b[-PAIRS:]
+            found.append(np.stack([np.full(len(pair), a), pair, np.zeros_like(pair)], axis=1))
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), dtype=np.int64)
 
 
 def fit(table: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |A x - h|, and a little the tokens left free, by
-    accelerated projected gradients.
+    """Repeat counts x >= 0 that minimise |A x - h|, and a little the tokens left free and the third
+    documents, by accelerated projected gradients.
 
     Column p of A counts how often pattern p has each length; ``histogram[0]`` must be 0.
     """
@@ -216,7 +229,8 @@ def fit(table: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.ndarr
     flat, used = table.ravel(), (table > 0).ravel()
     size = len(histogram)
     free = 1 - table.sum(axis=1) / (size - 1)
-    cost = FREE_COST * histogram.sum() / max(1, np.count_nonzero(histogram)) * free
+    mean = histogram.sum() / max(1, np.count_nonzero(histogram))
+    cost = mean * (FREE_COST * free + THIRD_COST * ((table > 0).sum(axis=1) > 2))
 
     def forward(x):
         return np.bincount(flat, weights=np.repeat(x, 3) * used, minlength=size)
@@ -279,10 +293,18 @@ def best_fit_decreasing(left: dict[int, int], capacity: int) -> list[tuple[tuple
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, how many such sequences), which use the histogram up exactly.
+    """(lengths in a sequence, how many such sequences), which use the histogram up exactly."""
+    fitted, residual = plan_parts(histogram, capacity)
+    return fitted + residual
 
-    Where few lengths fill sequences exactly, fitted patterns can take what larger pieces need beside
-    them; so half of the counts and none are tried too (then all pieces are residuals).
+
+def plan_parts(histogram: dict[int, int], capacity: int = CAPACITY):
+    """The plan's sequences of fitted patterns, and those of residuals.
+
+    Patterns are taken as often as their rounded counts say and pieces allow; best fit packs the rest.
+    Rounding leaves long pieces without the short ones that would fill them up, so pieces of sequences
+    that are not full are packed anew together with those of some full ones, the ones with the
+    shortest pieces first, for each amount of ``RELEASED`` that leaves patterns half of the sequences.
     """
     h = np.zeros(capacity + 1)
     for length, count in histogram.items():
@@ -290,13 +312,31 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     alone = [((capacity,), int(h[capacity]))] if h[capacity] else []
     h[capacity] = 0
     table = patterns(np.flatnonzero(h), capacity)
-    counts = fit(table, h)
-    plans = [_filled(table, rounded(share * counts), h.astype(np.int64), capacity) for share in SHARES]
-    return alone + min(plans, key=lambda made: sum(n for _, n in made))
-
-
-def _filled(table: np.ndarray, wanted: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns as often as ``wanted`` and as the pieces ``left`` allow, the rest by best fit."""
+    fitted, left = _filled(table, rounded(fit(table, h)), h.astype(np.int64), capacity)
+    best = fitted, best_fit_decreasing(left, capacity)
+    full = sorted((x for x in fitted if sum(x[0]) == capacity), key=lambda x: (min(x[0]), x))
+    short = sum(n for content, n in (*best[0], *best[1]) if sum(content) < capacity)
+    for share in RELEASED[1:]:
+        kept, open_, most = [], defaultdict(int, left), int(share * short)
+        for content, n in [*full, *(x for x in fitted if sum(x[0]) < capacity)]:
+            gone = min(n, most) if sum(content) == capacity else n
+            most -= gone if sum(content) == capacity else 0
+            for v in content:
+                open_[v] += gone
+            kept += [(content, n - gone)] if n > gone else []
+        made = kept, best_fit_decreasing({v: n for v, n in open_.items() if n}, capacity)
+        some, every = _count(made[0]), _count(made[0]) + _count(made[1])
+        if 2 * some >= every and every < _count(best[0]) + _count(best[1]):
+            best = made
+    return alone + best[0], best[1]
+
+
+def _count(made: list[tuple[tuple[int, ...], int]]) -> int:
+    return sum(n for _, n in made)
+
+
+def _filled(table: np.ndarray, wanted: np.ndarray, left: np.ndarray, capacity: int):
+    """Patterns as often as ``wanted`` and as the pieces ``left`` allow, and the pieces left then."""
     out = []
     free = capacity - table.sum(axis=1)
     for k in np.lexsort((-wanted, free)):  # the fullest first, of these the most frequent
@@ -308,7 +348,7 @@ def _filled(table: np.ndarray, wanted: np.ndarray, left: np.ndarray, capacity: i
             out.append((tuple(own), times))
             for v in own:
                 left[v] -= times
-    return out + best_fit_decreasing({int(v): int(left[v]) for v in np.flatnonzero(left)}, capacity)
+    return out, {int(v): int(left[v]) for v in np.flatnonzero(left)}
 
 
 class Places:

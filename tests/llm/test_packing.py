@@ -13,7 +13,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def test_pieces_and_places(spark, docs):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     rows = packing.pack(docs, PATH).collect()
     texts = defaultdict(list)
     for r in docs.select("doc_id", "text").collect():
@@ -40,7 +39,6 @@ def test_pieces_and_places(spark, docs):
 
 def test_chunks_give_the_ids_of_whole_texts():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     encoder, r = packing.Encoder(PATH), random.Random(4)
     parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\u2003", "\u3000", "\x00", "a", "Word", "don't", "12", "...", "é", "漢", "<|endoftext|>", "'s", "_", "\u200b", " word.", "naïve,", "?!", " x1;", "ſ", "’", ":", " ."]
     for _ in range(3000):
@@ -48,6 +46,12 @@ def test_chunks_give_the_ids_of_whole_texts():
         assert encoder.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(text)
 
 
+def test_names_of_special_tokens_are_those_tokens():
+    encoder = packing.Encoder(PATH)
+    got = np.frombuffer(encoder.encode("a <|endoftext|> b"), dtype="<u4").tolist()
+    assert got == Tokenizer.from_file(PATH).encode("a <|endoftext|> b", add_special_tokens=False).ids and len(got) == 4
+
+
 def test_plan_uses_the_histogram_and_few_sequences():
     for seed in range(6):
         r = random.Random(seed)
@@ -59,7 +63,22 @@ def test_plan_uses_the_histogram_and_few_sequences():
             for v in lengths:
                 used[v] += times
         assert dict(used) == histogram
-        assert sum(n for _, n in made) <= sum(n for _, n in packing.best_fit_decreasing(histogram, 1024))
+        assert sum(n for _, n in made) <= 1.005 * sum(n for _, n in packing.best_fit_decreasing(histogram, 1024)) + 1
+
+
+def histogram_of(spark, sf):
+    rows = packing.pieces(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), PATH).groupBy("length").count().collect()
+    return {r["length"]: r["count"] for r in rows}
+
+
+def test_fitted_patterns_carry_most_sequences(spark):
+    """On the tables' own lengths the fit needs no more sequences than best fit alone, and patterns of
+    less than a whole sequence's piece make most of them."""
+    histogram = histogram_of(spark, "sf0.01")
+    fitted, residual = packing.plan_parts(histogram)
+    own = sum(n for lengths, n in fitted if lengths != (1024,))
+    assert own >= sum(n for _, n in residual) and sum(n for _, n in fitted) >= 3 * sum(n for _, n in residual)
+    assert sum(n for _, n in fitted + residual) <= sum(n for _, n in packing.best_fit_decreasing(histogram, 1024))
 
 
 def test_dense_histograms_are_packed_nearly_full():
