@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -36,10 +37,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, which
+    only a local session may leave so, a folder in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
@@ -49,6 +53,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int, share: int = 1_000) -> DataFrame:
+    """``left`` joined to ``right``, which has each key once and in ``count`` how many rows of ``left``
+    have it; ``total`` is their sum. Keys with more than one in ``share`` of all rows (fewer than
+    ``share`` keys, whatever the size) are joined by broadcast where their rows are, so that no task
+    gets a hot key's rows; the others are shuffled. ``right`` is read three times."""
+    hot = F.col(count) * share > F.lit(total)
+    big = F.broadcast(right.filter(hot))
+    rest = left.join(big.select(key), key, "left_anti").join(right.filter(~hot), key)
+    return left.join(big, key).unionByName(rest)
+
+
 def fresh(taken: Sequence[str], base: str) -> str:
     """A column name that none of ``taken`` equals, whatever the case."""
     low = {c.lower() for c in taken}

@@ -42,6 +42,48 @@ def test_same_bytes_whatever_the_partitions(spark, tmp_path):
     assert digests[0] == digests[1] and len(digests[0]) > 3
 
 
+def ranges(spark, folder, manifest):
+    """Per file, in the order of names, the first and last (page id, digest)."""
+    names = sorted(r["file"] for r in manifest.collect())
+    keys = {n: [] for n in names}
+    for r in warc.read(spark, folder).collect():
+        keys[r["file"]].append((r["page_id"], r["payload_digest"]))
+    return [(min(keys[n]), max(keys[n])) for n in names], [len(keys[n]) for n in names]
+
+
+def test_files_are_in_order_of_ids_beside_an_outlier(spark, tmp_path):
+    src = spark.range(3000).selectExpr("IF(id = 7, 1L << 60, id * 3) AS page_id", "CONCAT('http://a/', id) AS url", "REPEAT(CONCAT('page ', id), 20) AS html")
+    manifest = warc.write(src.repartition(5), f"{tmp_path}/w", shard_bytes=30_000)
+    spans, sizes = ranges(spark, f"{tmp_path}/w", manifest)
+    assert len(spans) > 20 and sum(sizes) == 3000 and max(sizes) < 120
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False)) and spans[-1][1][0] == 1 << 60
+
+
+def test_a_hot_id_is_cut_by_digest_and_a_hot_page_by_count(spark, tmp_path):
+    many = spark.range(2000).selectExpr("50L AS page_id", "'http://a' AS url", "CONCAT(REPEAT('x', 200), id) AS html")
+    same = spark.range(1500).selectExpr("60L AS page_id", "'http://b' AS url", "REPEAT('same ', 50) AS html")
+    urls = spark.range(500).selectExpr("60L AS page_id", "CONCAT('http://c/', id) AS url", "REPEAT('same ', 50) AS html")
+    rest = spark.range(100).selectExpr("id AS page_id", "'http://d' AS url", "REPEAT('same ', 50) AS html").filter("page_id <> 60")
+    src = many.union(same).union(urls).union(rest)
+    shards = []
+    for k in (1, 6):
+        manifest = warc.write(src.repartition(k), f"{tmp_path}/w{k}", shard_bytes=40_000)
+        spans, sizes = ranges(spark, f"{tmp_path}/w{k}", manifest)
+        assert sum(sizes) == src.count() and len(sizes) > 40 and max(sizes) < 250
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+        shards.append(sorted((r["file"], r["sha256"]) for r in manifest.collect()))
+        rows = warc.read(spark, f"{tmp_path}/w{k}")
+        assert rows.filter("record_type = 'revisit' AND refers_to = 0").count() == 2000 + 98
+        assert rows.filter("page_id = 60 AND record_type <> 'revisit'").count() == 0
+    assert shards[0] == shards[1]
+
+
+def test_very_long_payloads(spark, tmp_path):
+    src = spark.createDataFrame([(1, "u" * 100_000, "x" * 3_000_000), (2, "v", "x" * 3_000_000), (3, "w", "y")], "page_id long, url string, html string")
+    got = {r["page_id"]: tuple(r)[1:] for r in warc.report(src, f"{tmp_path}/w").collect()}
+    assert got[1][0] == got[2][0] == 3_000_000 and got[2][2:] == ("revisit", 1) and got[1][2] == "response" and len(got) == 3
+
+
 def test_files_roll_and_are_plain_gzip(spark, tmp_path):
     manifest = warc.write(pages(spark), f"{tmp_path}/w", roll_bytes=4_000).collect()
     assert len(manifest) > 1 and all(r["records"] >= 1 for r in manifest)
