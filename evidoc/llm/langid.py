@@ -7,9 +7,11 @@ labelled text, over the length of the text, estimates the cross entropy in bits
 language with the lowest estimate wins. All languages share that one scale, and a letter that a
 language lacks is a phrase, so a language with little labelled text has no cheaper phrases.
 
-Texts are lower-cased and runs of anything but letters become one blank. Parsing starts anew every
-``BLOCK`` characters, so that all blocks of a batch are walked side by side with numpy; whole texts
-are parsed. Labelled text is a bounded sample: ``SAMPLE_DOCS`` documents a language by the smallest
+Texts are lower-cased and runs of anything but letters become one blank. Whole texts are parsed. With
+numpy, blocks of ``BLOCK`` characters are first parsed side by side, each from its own start; then
+each is entered where the phrase that reaches into it ends, and parsed anew up to the first phrase
+that both parses begin at the same place, so the phrases are those of one parse from the text's
+start. Labelled text is a bounded sample: ``SAMPLE_DOCS`` documents a language by the smallest
 hash of their ids among texts with a letter, ``SAMPLE_CHARS`` characters a language in all, in
 pieces of ``PIECE`` characters or more by the hash of their places in the whole texts. Words of a
 ``WINDOW``-word passage that several documents share are learned once, and not at all where the
@@ -85,7 +87,8 @@ class CrossParser:
     END, BLANK, UNKNOWN = 0, 1, 2
     PLANE = 0x3000
 
-    def __init__(self, texts: dict[str, str]):
+    def __init__(self, texts: dict[str, str], block: int = BLOCK):
+        self.block = block
         self.languages = sorted(texts)
         alphabet = sorted({c for t in texts.values() for c in t} - {" "})
         self.width = len(alphabet) + 3
@@ -102,7 +105,6 @@ class CrossParser:
             for s, own in enumerate(states):
                 for c, t in own.items():
                     table[s, code[c]] = (first + t) * self.width
-            table[:, self.END] = (first + np.arange(len(states))) * self.width
             tables.append(table)
             self.roots.append(first * self.width)
             first += len(states)
@@ -122,28 +124,71 @@ class CrossParser:
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (rows) against each language (columns)."""
-        rows = [-(-len(t) // BLOCK) for t in texts]
-        flat = np.zeros(sum(rows) * BLOCK, dtype=np.uint16)
-        at = 0
-        for t, n in zip(texts, rows, strict=True):
+        sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+        flat = np.full(sizes.sum() + 1, self.END, dtype=np.int32)
+        first = np.cumsum(sizes) - sizes
+        for at, t in zip(first, texts, strict=True):
             flat[at : at + len(t)] = t
-            at += n * BLOCK
-        steps = np.ascontiguousarray(flat.reshape(-1, BLOCK).T).astype(np.int32)
-        owner = np.repeat(np.arange(len(texts)), rows)
+        each = -(-(sizes - 1) // self.block)
+        owner = np.repeat(np.arange(len(texts)), each)
+        number = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        starts = first[owner] + number * self.block
+        ends = np.minimum(starts + self.block, first[owner] + sizes[owner] - 1)
         out = np.zeros((len(texts), len(self.languages)))
         for k, root in enumerate(self.roots):
-            state = np.full(steps.shape[1], root, dtype=np.int32)
-            count = np.zeros(steps.shape[1], dtype=np.int32)
-            for c in steps:
-                last, state = state, self.table[state + c]
-                stuck = np.flatnonzero(state < 0)
-                if len(stuck):
-                    again = self.table[root + c[stuck]]
-                    # The match so far is a phrase, and so is a letter that the language lacks.
-                    count[stuck] += (last[stuck] != root).astype(np.int32) + (again < 0)
-                    state[stuck] = np.where(again < 0, root, again)
-            count += state != root
-            out[:, k] = np.bincount(owner, weights=count, minlength=len(texts))
+            opens = np.zeros(len(flat), dtype=bool)  # where phrases begin
+            leave = self._walk(flat, starts, ends, root, opens, None)
+            # A block's first phrase begins where the last of the block before it ends. Parsed again
+            # from there, most meet a beginning that is known, and all is the same from there on.
+            todo = np.flatnonzero(number > 0)
+            enter = leave[todo - 1]
+            todo, enter = todo[enter != starts[todo]], enter[enter != starts[todo]]
+            while len(todo):
+                fresh = np.zeros(len(flat), dtype=bool)
+                met = self._walk(flat, enter, ends[todo], root, fresh, opens)
+                gone = np.minimum(met, ends[todo]) - starts[todo]
+                at = np.repeat(starts[todo], gone) + np.arange(gone.sum()) - np.repeat(np.cumsum(gone) - gone, gone)
+                opens[at] = fresh[at]
+                through = met >= ends[todo]  # no meeting within the block: the next one is entered elsewhere
+                moved = todo[through & (leave[todo] != met)]
+                leave[todo[through]] = met[through]
+                moved = moved[(moved + 1 < len(number)) & (number[np.minimum(moved + 1, len(number) - 1)] > 0)]
+                todo, enter = moved + 1, leave[moved]
+            out[:, k] = np.bincount(owner, weights=np.add.reduceat(opens, starts) if len(starts) else None, minlength=len(texts))
+        return out
+
+    def _walk(self, flat: np.ndarray, pos: np.ndarray, ends: np.ndarray, root: int, opens: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+        """Parse side by side from each of ``pos``, marking in ``opens`` where phrases begin, until one
+        would begin at or past the end, or at a place that ``known`` has; return where."""
+        out = pos.copy()
+        stop = (pos >= ends) | (known[pos] if known is not None else False)
+        who = np.flatnonzero(~stop)
+        pos, ends = pos[who].copy(), ends[who]
+        opens[pos] = True
+        state = np.full(len(who), root, dtype=np.int32)
+        while len(who):
+            new = self.table[state + flat[pos]]
+            stuck = np.flatnonzero(new < 0)
+            if len(stuck):
+                # The match so far is a phrase, and so is a letter that the language lacks.
+                p = pos[stuck] + (state[stuck] == root)
+                over = p >= ends[stuck]
+                if known is not None:
+                    over |= known[p]
+                opens[p[~over]] = True
+                again = self.table[root + flat[p]]
+                new[stuck] = np.where(again < 0, root, again)
+                pos += 1
+                pos[stuck] = p + (again >= 0)
+                if over.any():
+                    gone = stuck[over]
+                    out[who[gone]] = p[over]
+                    stay = np.ones(len(who), dtype=bool)
+                    stay[gone] = False
+                    who, pos, ends, new = who[stay], pos[stay], ends[stay], new[stay]
+            else:
+                pos += 1
+            state = new
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -7,20 +8,27 @@ from evidoc.llm import langid
 
 
 def naive_phrases(text, labelled):
-    """Longest matches, block by block, with ``in``."""
-    n = 0
-    for lo in range(0, len(text), langid.BLOCK):
-        block, i = text[lo : lo + langid.BLOCK], 0
-        while i < len(block):
-            j = i + 1
-            while j < len(block) and block[i : j + 1] in labelled:
-                j += 1
-            if block[i:j] not in labelled:
-                j = i + 1
-            i, n = j, n + 1
+    """Longest matches from the text's start, with ``in``."""
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in labelled:
+            j += 1
+        i, n = j, n + 1
     return n
 
 
+def naive_verdict(text, labelled):
+    """The language of the fewest phrases (the first of equal ones) and its share."""
+    own = langid.letters_only(text or "")
+    if not own or not labelled:
+        return "und", 0.0
+    scale = math.log2(max(2, *map(len, labelled.values())))
+    bits = {k: naive_phrases(own, v) * scale / len(own) for k, v in labelled.items()}
+    best = min(sorted(bits), key=lambda k: bits[k])
+    return best, 1 / sum(2 ** (bits[best] - v) for v in bits.values())
+
+
 def test_automaton_accepts_exactly_the_substrings():
     r = random.Random(3)
     for _ in range(30):
@@ -35,15 +43,28 @@ def test_automaton_accepts_exactly_the_substrings():
 
 
 def test_phrases_are_longest_matches():
+    """Blocks of any size give the phrases of whole texts, also where phrases span several blocks."""
     r = random.Random(5)
-    texts = {"p": "the cat sat on the mat " * 3, "q": "el gato duerme en la casa " * 3}
-    parser = langid.CrossParser({k: v.strip() for k, v in texts.items()})
-    for _ in range(40):
-        text = langid.letters_only("".join(r.choice("the catsoelgdurm nk ") for _ in range(r.randrange(1, 700))))
-        if text:
-            got = parser.phrases([parser.encode(text)])[0]
-            want = [naive_phrases(text, texts[k].strip()) for k in parser.languages]
-            assert got.tolist() == want
+    texts = {"p": "the cat sat on the mat " * 3, "q": "el gato duerme en la casa " * 3, "r": "abcabdabe" * 20}
+    labelled = {k: v.strip() for k, v in texts.items()}
+    for block in (1, 4, 7, 64, langid.BLOCK):
+        parser = langid.CrossParser(labelled, block)
+        batch = [langid.letters_only("".join(r.choice("the catsoelgdurm nk ") for _ in range(r.randrange(1, 700)))) for _ in range(25)]
+        batch += ["abcabdabe" * 12 + "abd", ("the cat sat on the mat " * 2 + "zzz ") * 9, "ab" * 100, "xyz", "c"]
+        batch = [x.strip() for x in batch if x.strip()]
+        got = parser.phrases([parser.encode(x) for x in batch])
+        assert got.tolist() == [[naive_phrases(x, labelled[k]) for k in parser.languages] for x in batch]
+
+
+def test_verdicts_and_ties_equal_brute_force():
+    r = random.Random(9)
+    labelled = {"b": "one two three", "a": "one two three", "c": "drei vier one"}
+    parser = langid.CrossParser(labelled)
+    texts = [None, "", " .. 12", "one", "two", "vier", "漢字", "ONE two", "x", *(" ".join(r.choice(("one", "two", "drei", "vier", "qqq")) for _ in range(r.randrange(1, 90))) for _ in range(60))]
+    names, scores = parser.predict(texts)
+    want = [naive_verdict(t, labelled) for t in texts]
+    assert names == [w[0] for w in want] and np.allclose(scores, [w[1] for w in want])
+    assert names[3] == "a" and names[6] == "a" and "b" not in names  # of equal ones the first name
 
 
 def test_held_out_accuracy(spark, sf):
