@@ -17,6 +17,9 @@ pieces of ``PIECE`` characters or more by the hash of their places in the whole
 ``WINDOW``-word passage that several documents share are learned once, and not at all where the
 documents have different languages and other words.
 
+``keep_known`` drops documents whose best language still needs a phrase for less than ``MIN_PHRASE``
+characters on average: no learned language is theirs.
+
 Defined results: null text and text without a letter are ``und`` with score 0; ties go to the
 language whose name sorts first; with no labelled row everything is ``und``; labels outside
 ``documents.lang`` (null) are not learned from; a repeated row gets a row of its own; extra columns
@@ -25,6 +28,8 @@ are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,6 +43,9 @@ SAMPLE_DOCS = 64
 SAMPLE_CHARS = 12_000
 BLOCK = 256
 PIECE, WINDOW = 192, 8
+#: Mean characters of a phrase below which a text is in none of the learned languages. A script that
+#: no labelled text has costs a phrase a letter; prose of a learned language has phrases of five.
+MIN_PHRASE = 2.0
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -191,18 +199,22 @@ class CrossParser:
             state = new
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Of each text the language, its share among all and its phrases' mean length (the text's end
+        counts as a character; 0 without a letter)."""
         coded = [self.encode(t) if t else np.zeros(0, np.uint16) for t in texts]
         some = [k for k, c in enumerate(coded) if self.languages and (c > self.BLANK).any()]
-        names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        names, scores, spans = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if some:
             sizes = np.array([[len(coded[k])] for k in some])
-            bits = self.phrases([coded[k] for k in some]) * self.scale / sizes
+            phrases = self.phrases([coded[k] for k in some])
+            bits = phrases * self.scale / sizes
             best = bits.argmin(axis=1)
             weight = np.exp2(bits.min(axis=1)[:, None] - bits)
-            for k, b, share in zip(some, best, 1 / weight.sum(axis=1), strict=True):
-                names[k], scores[k] = self.languages[b], float(share)
-        return names, scores
+            span = (sizes[:, 0] + 1) / phrases.min(axis=1)
+            for k, b, share, mean in zip(some, best, 1 / weight.sum(axis=1), span, strict=True):
+                names[k], scores[k], spans[k] = self.languages[b], float(share), float(mean)
+        return names, scores, spans
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> CrossParser:
@@ -283,27 +295,33 @@ def pieces(few: DataFrame, sample_chars: int) -> DataFrame:
     return left.withColumn("before", F.coalesce(F.sum(F.length("piece") + 1).over(before), F.lit(0))).filter(F.col("before") < sample_chars)
 
 
-def classify(docs: DataFrame, parser: CrossParser, keep: list[str], names: tuple[str, str] = ("lang_pred", "score"), text: str = "text") -> DataFrame:
-    """Columns ``keep`` of every document, its language and its score."""
+NAMES = ("lang_pred", "score", "phrase_chars")
+
+
+def classify(docs: DataFrame, parser: CrossParser, keep: list[str], names: Sequence[str] = NAMES, text: str = "text") -> DataFrame:
+    """Columns ``keep`` of every document, its language, its score and its phrases' mean length."""
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
     def make():
         p = shared.value
         return lambda texts: p.predict([t.decode() if t else None for t in texts])
 
-    return per_row(docs, keep, [text], [(names[0], T.StringType()), (names[1], T.DoubleType())], make)
+    return per_row(docs, keep, [text], list(zip(names, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True)), make)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document."""
+    """doc_id, held_out, lang_pred, score, phrase_chars of every document."""
     out = classify(docs.select("doc_id", "text"), learn(docs), ["doc_id"])
-    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), *NAMES)
 
 
-def keep_known(docs: DataFrame, parser: CrossParser, min_score: float = 0.0) -> DataFrame:
-    """The documents, all columns, that have a language (and a score of ``min_score`` or more)."""
+def keep_known(docs: DataFrame, parser: CrossParser, min_phrase: float = MIN_PHRASE, min_score: float = 0.0) -> DataFrame:
+    """The documents, all columns, that are in one of the learned languages: their phrases are of
+    ``min_phrase`` characters or more on average, and their score is ``min_score`` or more."""
     taken = list(docs.columns)
-    lang = fresh(taken, "__lang")
-    score = fresh([*taken, lang], "__score")
-    out = classify(docs, parser, taken, (lang, score))
-    return out.filter((F.col(lang) != "und") & (F.col(score) >= min_score)).select(*[f"`{c}`" for c in taken])
+    names: list[str] = []
+    for n in NAMES:
+        names.append(fresh([*taken, *names], f"__{n}"))
+    lang, score, span = map(F.col, names)
+    out = classify(docs, parser, taken, names)
+    return out.filter((lang != "und") & (span >= min_phrase) & (score >= min_score)).select(*[f"`{c}`" for c in taken])

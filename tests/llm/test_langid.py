@@ -61,7 +61,7 @@ def test_verdicts_and_ties_equal_brute_force():
     labelled = {"b": "one two three", "a": "one two three", "c": "drei vier one"}
     parser = langid.CrossParser(labelled)
     texts = [None, "", " .. 12", "one", "two", "vier", "漢字", "ONE two", "x", *(" ".join(r.choice(("one", "two", "drei", "vier", "qqq")) for _ in range(r.randrange(1, 90))) for _ in range(60))]
-    names, scores = parser.predict(texts)
+    names, scores, _ = parser.predict(texts)
     want = [naive_verdict(t, labelled) for t in texts]
     assert names == [w[0] for w in want] and np.allclose(scores, [w[1] for w in want])
     assert names[3] == "a" and names[6] == "a" and "b" not in names  # of equal ones the first name
@@ -89,6 +89,16 @@ def test_odd_texts(spark, docs, empty):
     assert kept.columns == docs.columns and not {0, 1, 2, 18} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_texts_of_unlearned_languages_go_and_others_stay(spark):
+    texts = [(tongue(100 * lang + k, 150), f"l{lang}") for lang in (1, 2) for k in range(8)]
+    parser = langid.learn(labelled(spark, texts))
+    good = [tongue(150, 60), tongue(250, 9), tongue(170, 1), "ABC 12 " + tongue(260, 40), "q"]
+    bad = ["\u043f\u0440\u0438\u0432\u0435\u0442 \u0434\u0440\u0443\u0437\u044c\u044f", "\u4eca\u65e5\u306f\u3044\u3044\u5929\u6c17", "\u03b1\u03b2\u03b3 " * 50, "12 34", None]
+    docs = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in langid.keep_known(docs, parser).collect()) == list(range(len(good)))
+    assert langid.keep_known(docs, parser, min_score=1.0).count() == 0
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert langid.report(docs).first()["lang_pred"] == "und"
