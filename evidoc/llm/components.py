@@ -3,7 +3,8 @@
 Each round shuffles links by one end and keeps only links to the smallest neighbour, so the number
 of links never grows and every component becomes a star round its smallest node after a number of
 rounds that grows with the logarithm of its diameter. Links and components stay in Spark; the
-driver sees two numbers a round.
+driver sees a few numbers a round. A node that has more than a thousandth of all links, as the root of
+a large component does, gets its smallest neighbour by broadcast, so its links are in no single task.
 """
 
 from __future__ import annotations
@@ -11,30 +12,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidoc.llm.common import cut
+from evidoc.llm.common import cut, join_counted
 
 
-def _star(links: DataFrame) -> DataFrame:
-    """Rounds of (node, neighbour) with neighbours both ways: neighbour -> smallest of node's."""
-    low = links.groupBy("a").agg(F.min("b").alias("m"))
-    return links.join(low.select("a", F.least("a", "m").alias("m")), "a")
+def _star(links: DataFrame, total: int) -> DataFrame:
+    """Rounds of (node, neighbour): neighbour -> smallest of the node and its neighbours."""
+    low = links.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    return join_counted(links, low.select("a", F.least("a", "m").alias("m"), "n"), "a", "n", total)
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``node``, ``root`` of every node in a link; the root is its component's smallest node."""
     pairs = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a != b").distinct()
     now = cut(pairs)
+    total = now.count()
     state = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _star(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
-        kept = large.distinct()
-        small = _star(kept)  # here every b < a, so m is the smallest neighbour below a
+        large = _star(both, 2 * total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
+        kept = cut(large.distinct())
+        small = _star(kept, total)  # here every b < a, so m is the smallest neighbour below a
         down = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
         now = cut(down.filter("a != b").distinct())
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
             break
-        state = tuple(seen)
+        state, total = tuple(seen), seen[0]
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.union(nodes.select(F.col("root").alias("node"), "root").distinct())

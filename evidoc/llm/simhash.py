@@ -1,10 +1,16 @@
 """SimHash near-dedup by deletion-variant signatures.
 
-A 64-bit fingerprint has a bit set where over half of the XXH64 hashes of a text's word shingles
-have it set. Fingerprints that differ in at most ``bits`` bits are linked. Cut into
-``bits // 2 + 1`` segments, two such fingerprints differ by at most one bit in one segment; so every
-distinct fingerprint is indexed under each segment with each one of its bits cleared (a one-wildcard
-variant; 64 in all), fingerprints under an equal variant meet, and the full distance is verified.
+A fingerprint has a bit set where over half of the hashes of a text's word shingles have it set.
+Fingerprints that differ in at most ``Scheme.bits`` bits are linked. A fingerprint is cut into few
+segments, so that one of them differs by at most one bit: every distinct fingerprint is indexed under
+each segment with each one of its bits cleared (a one-wildcard variant), fingerprints under an equal
+variant meet, and the full distance is verified.
+
+``EXACT`` (64 bits of XXH64, 4-word shingles with repeats, up to 4 bits, 3 segments) misses no link: of
+4 differing bits some segment has at most one. ``NEAR`` is for texts whose sets of 5-word shingles have
+a Jaccard similarity of 0.8 or more: 128 bits, of which such texts differ in 19.4 or fewer on average,
+7 segments of 18 bits. There a link is found if some segment differs by at most one bit, which is
+likely, not certain; the README states the recall by similarity.
 
 Only distinct fingerprints are indexed, so copies cost nothing. Up to ``SMALL`` fingerprints under
 a variant are compared with each other and each linked pair is given once, under the first variant
@@ -20,6 +26,8 @@ extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,74 +35,138 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidoc.llm.common import cut, fresh, per_row, signed
+from evidoc.llm.common import cut, fresh, join_counted, per_row, signed
 from evidoc.llm.components import components
 
-BITS = 4
-SHINGLE = 4
 SEED = 42
 #: Fingerprints under one variant that are compared pair by pair, and that one task may search.
-SMALL, LARGE = 64, 20_000
+SMALL, LARGE = 256, 20_000
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """How texts become fingerprints of one or two 64-bit words, and which of these are linked."""
+
+    words: int
+    shingle: int
+    bits: int
+    segments: tuple[tuple[tuple[int, int, int], ...], ...]  # pieces (word, lowest bit, width) of each
+
+    def widths(self) -> list[int]:
+        return [sum(w for _, _, w in own) for own in self.segments]
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+def cut_up(words: int, count: int) -> tuple[tuple[tuple[int, int, int], ...], ...]:
+    """``count`` segments over all bits of ``words`` words, as even as can be."""
+    edges = [64 * words * k // count for k in range(count + 1)]
+    out = []
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        out.append(tuple((w, max(lo - 64 * w, 0), min(hi, 64 * w + 64) - max(lo, 64 * w)) for w in range(words) if lo < 64 * w + 64 and hi > 64 * w))
+    return tuple(out)
+
+
+EXACT = Scheme(1, 4, 4, cut_up(1, 3))
+NEAR = Scheme(2, 5, 20, cut_up(2, 7))
+
+
+def shingle_hashes(text: bytes | None, shingle: int) -> list[int]:
+    """XXH64 of each shingle of a text's words, in order."""
     words = text.lower().split() if text else []  # bytes: only A-Z fold, only 0x09-0x0D and 0x20 part
     if not words:
-        return 0
+        return []
     whole = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(whole, SEED)
+        return [xxhash.xxh64_intdigest(whole, SEED)]
     ends = (np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1).tolist()
     starts = [0, *(e + 1 for e in ends)]
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(whole[i:j], SEED) for i, j in zip(starts, ends[shingle - 1 :], strict=False)]
+    return [digest(whole[i:j], SEED) for i, j in zip(starts, ends[shingle - 1 :], strict=False)]
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of 64-bit hashes."""
     counts = np.zeros(64, dtype=np.int64)
     for lo in range(0, len(hashes), 65_536):
-        own = np.array(hashes[lo : lo + 65_536], dtype=">u8").view(np.uint8).reshape(-1, 8)
+        own = hashes[lo : lo + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(own, axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, keep: list[str], out: str = "fp", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Columns ``keep`` of every document and its fingerprint as a long."""
+def second(h: np.ndarray) -> np.ndarray:
+    """Another 64 bits for each hash: two rounds of multiply and fold."""
+    for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        h = h * np.uint64(odd)
+        h = h ^ (h >> np.uint64(32))
+    return h
+
+
+def fingerprint(text: bytes | None, scheme: Scheme = EXACT) -> tuple[int, ...]:
+    """The words of a text's fingerprint. Schemes of one word count repeated shingles as often as they
+    stand, those of two words once, as the similarity of sets does."""
+    hashes = np.array(shingle_hashes(text, scheme.shingle), dtype=np.uint64)
+    if scheme.words == 1:
+        return (majority(hashes),)
+    hashes = np.unique(hashes)
+    return majority(hashes), majority(second(hashes))
+
+
+WORDS = ("w0", "w1")
+
+
+def fingerprints(docs: DataFrame, keep: list[str], scheme: Scheme = EXACT, text: str = "text") -> DataFrame:
+    """Columns ``keep`` of every document and its fingerprint ``fp``: a long, or a struct of two."""
+    names = [fresh(keep, n) for n in WORDS[: scheme.words]]
 
     def make():
-        return lambda texts: [[signed(fingerprint(t, shingle)) for t in texts]]
+        return lambda texts: list(zip(*[map(signed, fingerprint(t, scheme)) for t in texts], strict=True)) or [[]] * len(names)
 
-    return per_row(docs, keep, [text], [(out, T.LongType())], make)
+    rows = per_row(docs, keep, [text], [(n, T.LongType()) for n in names], make)
+    return rows.select(*[f"`{c}`" for c in keep], (F.struct(*[F.col(n).alias(w) for n, w in zip(names, WORDS, strict=False)]) if scheme.words > 1 else F.col(names[0])).alias("fp"))
 
 
-def segments(bits: int = BITS) -> list[tuple[int, int]]:
-    """(lowest bit, width) of the segments, as even as can be."""
-    n = bits // 2 + 1
-    edges = [64 * k // n for k in range(n + 1)]
-    return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]
+def word(fp: Column, scheme: Scheme, k: int) -> Column:
+    return fp[WORDS[k]] if scheme.words > 1 else fp
 
 
-def variants(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """``fp`` under its 64 one-wildcard keys: wildcard bit, and segment value with it cleared."""
-    keys = []
-    for lo, width in segments(bits):
-        value = F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+def variants(fps: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
+    """``fp`` under its one-wildcard keys: wildcard bit (``bit``, numbered through the segments), and
+    segment value with it cleared."""
+    keys, number = [], 0
+    mask = lambda n: F.lit((1 << n) - 1).cast("long")
+    for pieces in scheme.segments:
+        value, width = F.lit(0).cast("long"), 0
+        for w, lo, n in pieces:
+            own = F.shiftrightunsigned(word(F.col("fp"), scheme, w), lo).bitwiseAND(mask(n))
+            value, width = value.bitwiseOR(F.shiftleft(own, width)), width + n
         for k in range(width):
             cleared = value.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << k)).cast("long"))
-            keys.append(cleared.bitwiseOR(F.lit(lo + k).cast("long") * F.lit(1 << 40).cast("long")))
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+            keys.append(cleared.bitwiseOR(F.lit((number + k) << 40).cast("long")))
+        number += width
+    return fps.select("fp", F.explode(F.array(*keys)).alias("key")).withColumn("bit", F.shiftrightunsigned("key", 40).cast("long"))
+
+
+def distance(x: np.ndarray) -> np.ndarray:
+    """Set bits of each row of words."""
+    return np.bitwise_count(x).sum(axis=1, dtype=np.int64)
 
 
-def first_shared(x: np.ndarray, bit: np.ndarray, bits: int) -> np.ndarray:
+def first_shared(x: np.ndarray, bit: np.ndarray, scheme: Scheme) -> np.ndarray:
     """Whether ``bit`` is the wildcard of the first variant that two fingerprints share, given the
     bits ``x`` in which they differ: the differing bit, or the lowest, of the first segment that
     differs by at most one bit."""
     ok = np.zeros(len(x), dtype=bool)
     open_ = np.ones(len(x), dtype=bool)
-    for lo, width in segments(bits):
-        own = (x >> np.uint64(lo)) & np.uint64((1 << width) - 1)
-        n = np.bitwise_count(own)
-        here = open_ & (n <= 1)
-        mine = np.where(n == 0, np.uint64(1 << lo), own << np.uint64(lo))
-        ok |= here & (mine == np.uint64(1) << bit)
+    number = 0
+    for pieces in scheme.segments:
+        own, width = np.zeros(len(x), dtype=np.uint64), 0
+        for w, lo, n in pieces:
+            own |= ((x[:, w] >> np.uint64(lo)) & np.uint64((1 << n) - 1)) << np.uint64(width)
+            width += n
+        here = open_ & (np.bitwise_count(own) <= 1)
+        place = np.where(own == 0, 0, np.bitwise_count(own - np.uint64(1))).astype(np.int64)
+        ok |= here & (number + place == bit)
         open_ &= ~here
+        number += width
     return ok
 
 
@@ -106,10 +178,10 @@ def forest(fps: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarra
         seen, rest = rest[:1], rest[1:]
         k = 0
         while k < len(seen) and len(rest):
-            near = np.bitwise_count(rest ^ seen[k]) <= bits
+            near = distance(rest ^ seen[k]) <= bits
             if near.any():
                 found = rest[near]
-                a.append(np.full(len(found), seen[0]))  # all of a tree is linked to its root
+                a.append(np.repeat(seen[:1], len(found), axis=0))  # all of a tree is linked to its root
                 b.append(found)
                 seen = np.concatenate([seen, found])
                 rest = rest[~near]
@@ -117,10 +189,12 @@ def forest(fps: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarra
     return a, b
 
 
-def _links(sorted_rows: DataFrame, bits: int, large: int | None) -> DataFrame:
+def _links(sorted_rows: DataFrame, scheme: Scheme, large: int | None) -> DataFrame:
     """Links of rows (key, bit, fp) that come sorted by key. A group of over ``large`` gives a row
     with its key and size instead."""
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "key", "n")])
+    names = WORDS[: scheme.words]
+    ends = [f"{side}{n}" for side in "ab" for n in names]
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in (*ends, "key", "n")])
 
     def pairs(key, bit, fp):
         a, b = [], []
@@ -129,20 +203,17 @@ def _links(sorted_rows: DataFrame, bits: int, large: int | None) -> DataFrame:
             if not len(same):
                 break
             x = fp[same] ^ fp[same + lag]
-            ok = np.bitwise_count(x) <= bits
-            ok[ok] = first_shared(x[ok], bit[same][ok], bits)
+            ok = distance(x) <= scheme.bits
+            ok[ok] = first_shared(x[ok], bit[same][ok], scheme)
             a.append(fp[same[ok]])
             b.append(fp[same[ok] + lag])
         return a, b
 
     def batch(a, b, key=(), n=()):
-        a, b = (np.concatenate(v).view(np.int64) if v else np.zeros(0, np.int64) for v in (a, b))
-        none = pa.nulls(len(a), pa.int64())
-        if len(key):
-            gone = pa.nulls(len(key), pa.int64())
-            cols = [pa.concat_arrays([pa.array(a), gone]), pa.concat_arrays([pa.array(b), gone]), pa.concat_arrays([none, pa.array(key, pa.int64())]), pa.concat_arrays([none, pa.array(n, pa.int64())])]
-        else:
-            cols = [pa.array(a), pa.array(b), none, none]
+        a, b = (np.concatenate(v).view(np.int64) if v else np.zeros((0, scheme.words), np.int64) for v in (a, b))
+        cols = [pa.array(np.ascontiguousarray(side[:, k])) for side in (a, b) for k in range(scheme.words)]
+        none, gone = pa.nulls(len(a), pa.int64()), pa.nulls(len(key), pa.int64())
+        cols = [pa.concat_arrays([c, gone]) for c in cols] + [pa.concat_arrays([none, pa.array(v, pa.int64())]) for v in (key, n)]
         return pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     def groups(key, bit, fp):
@@ -159,16 +230,15 @@ def _links(sorted_rows: DataFrame, bits: int, large: int | None) -> DataFrame:
             if large is not None and e - s > large:
                 yield batch([], [], [int(key[s])], [int(e - s)])
             else:
-                yield batch(*forest(fp[s:e], bits))
+                yield batch(*forest(fp[s:e], scheme.bits))
         yield batch(*pairs(key[keep], bit[keep], fp[keep]))
 
     def run(batches):
         rest = None  # rows of the last group so far
         over = 0  # rows of it that were dropped, once it is too large
         for b in batches:
-            own = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            own[2] = own[2].view(np.uint64)
-            own[1] = own[1].astype(np.uint64)
+            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(2 + scheme.words)]
+            own = [cols[0], cols[1], np.stack(cols[2:], axis=1).view(np.uint64)]
             if rest is not None:
                 own = [np.concatenate(x) for x in zip(rest, own, strict=True)]
             if not len(own[0]):
@@ -189,14 +259,16 @@ def _links(sorted_rows: DataFrame, bits: int, large: int | None) -> DataFrame:
             else:
                 yield from groups(*rest)
 
-    return sorted_rows.select("key", "bit", "fp").mapInArrow(run, schema)
+    made = sorted_rows.select("key", "bit", *[word(F.col("fp"), scheme, k).alias(n) for k, n in enumerate(names)]).mapInArrow(run, schema)
+    fp = lambda side: (F.struct(*[F.col(f"{side}{n}").alias(n) for n in names]) if scheme.words > 1 else F.col(f"{side}w0")).alias(side)
+    return made.select(fp("a"), fp("b"), "key", "n")
 
 
-def links(fps: DataFrame, bits: int = BITS, large: int = LARGE) -> DataFrame:
+def links(fps: DataFrame, scheme: Scheme = EXACT, large: int = LARGE) -> DataFrame:
     """Links ``a``, ``b`` between distinct fingerprints (column ``fp``), with the components of all
-    pairs that differ in at most ``bits`` bits."""
-    keyed = variants(fps, bits).withColumn("bit", F.shiftrightunsigned("key", 40).cast("long"))
-    found = cut(_links(keyed.repartition("key").sortWithinPartitions("key"), bits, large))
+    pairs that share a variant and differ in at most ``scheme.bits`` bits."""
+    keyed = variants(fps, scheme)
+    found = cut(_links(keyed.repartition("key").sortWithinPartitions("key"), scheme, large))
     made = found.filter("key is null").select("a", "b")
     over = found.filter("key is not null").select("key", "n")
     if over.isEmpty():
@@ -208,30 +280,30 @@ def links(fps: DataFrame, bits: int = BITS, large: int = LARGE) -> DataFrame:
     meet = F.xxhash64("key", F.least("__own", "__other"), F.greatest("__own", "__other"))
     # A chance collision of two groups' hashes joins them; the distance is verified all the same.
     again = other.select(meet.alias("key"), "bit", "fp").distinct()
-    return made.union(_links(again.repartition("key").sortWithinPartitions("key"), bits, None).select("a", "b"))
+    return made.union(_links(again.repartition("key").sortWithinPartitions("key"), scheme, None).select("a", "b"))
 
 
-def rooted(nodes: DataFrame, bits: int = BITS) -> DataFrame:
+def rooted(nodes: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     """``nodes``, which has each fingerprint ``fp`` once, and the ``root`` of its component."""
-    roots = components(links(nodes.select("fp"), bits), "a", "b")
+    roots = components(links(nodes.select("fp"), scheme), "a", "b")
     return nodes.join(roots, nodes["fp"] == roots["node"], "left").select(*[nodes[c] for c in nodes.columns], F.coalesce("root", "fp").alias("root"))
 
 
-def group(docs: DataFrame, keep: list[str], bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
+def group(docs: DataFrame, keep: list[str], scheme: Scheme = EXACT) -> DataFrame:
     """Columns ``keep`` (``doc_id`` among them), ``fp`` and ``component_id``, the smallest doc_id
     that links reach."""
-    marked = cut(fingerprints(docs, keep, "fp", shingle=shingle))
-    named = rooted(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), bits)
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = named.join(lowest, "root").select("fp", "component_id")
-    return marked.join(ids, "fp")
+    marked = cut(fingerprints(docs, keep, scheme))
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows"))
+    named = cut(rooted(nodes, scheme))
+    lowest = cut(named.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("fps")))
+    fps, rows = named.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    ids = cut(join_counted(named, lowest, "root", "fps", fps).select("fp", "component_id", "rows"))
+    return join_counted(marked, ids, "fp", "rows", rows).drop("rows")
 
 
-def report(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
+def report(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
-    return group(docs, ["doc_id"], bits, shingle).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return group(docs, ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def row_key() -> Column:
@@ -241,7 +313,7 @@ def row_key() -> Column:
     return F.md5(F.concat(size, F.lit(":"), F.coalesce(name, F.lit("")), F.coalesce(F.concat(F.lit(":"), F.col("text")), F.lit(""))))
 
 
-def deduplicate(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
+def deduplicate(docs: DataFrame, scheme: Scheme = NEAR) -> DataFrame:
     """One document, with all columns, of each component: that of the smallest doc_id (none comes
     last), and of several texts under that id the one of the smallest digest.
 
@@ -249,9 +321,9 @@ def deduplicate(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> Da
     by their own components. Rows of the same id and text are one document.
     """
     keep = list(docs.columns)
-    marked = cut(fingerprints(docs.select("doc_id", "text", row_key().alias("key")), ["doc_id", "key"], "fp", shingle=shingle))
+    marked = fingerprints(docs.select("doc_id", "text", row_key().alias("key")), ["doc_id", "key"], scheme)
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
-    named = rooted(marked.groupBy("fp").agg(F.min(order).alias("first")), bits)
+    named = rooted(cut(marked.groupBy("fp").agg(F.min(order).alias("first"))), scheme)
     name, own = fresh(keep, "__kept"), fresh(keep, "__row")
     chosen = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias(name))
 

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from evidoc.llm import components, simhash
-from tests.llm.conftest import prose
+from tests.llm.conftest import WORDS, prose
 
 
 def naive(text):
@@ -58,7 +58,7 @@ def test_links_reach_all_close_pairs(spark):
     fps |= {(5 << 50) | r.getrandbits(20) for _ in range(300)}
     nodes = [(simhash.signed(x), x) for x in sorted(fps)]
     frame = spark.createDataFrame([(a,) for a, _ in nodes], "fp long")
-    for large in (simhash.LARGE, 80):
+    for large in (simhash.LARGE, 280):
         found = components.components(simhash.links(frame, large=large), "a", "b").collect()
         root = {x["node"]: x["root"] for x in found}
         ids = {x: k for k, (_, x) in enumerate(nodes)}
@@ -93,15 +93,90 @@ def test_components_of_hubs_chains_and_cycles(spark):
 
 
 def test_segments_cover_all_bits():
-    assert [w for _, w in simhash.segments(4)] == [21, 21, 22] and sum(w for _, w in simhash.segments(4)) == 64
+    for scheme, widths in ((simhash.EXACT, [21, 21, 22]), (simhash.NEAR, [18, 18, 18, 19, 18, 18, 19])):
+        assert scheme.widths() == widths
+        bits = [64 * w + k for own in scheme.segments for w, lo, n in own for k in range(lo, lo + n)]
+        assert sorted(bits) == list(range(64 * scheme.words))
+
+
+def mixed(h):
+    for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        h = h * odd % (1 << 64)
+        h ^= h >> 32
+    return h
+
+
+def naive_near(text):
+    """128 bits by majority over the set of five-word shingles; the first word is the high half."""
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    if not words:
+        return 0
+    shingles = {b" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {b" ".join(words)}
+    hashes = [h | mixed(h) << 64 for h in (xxhash.xxh64_intdigest(s, 42) for s in shingles)]
+    return sum(1 << b for b in range(128) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def near_linked(x, y):
+    edges = [128 * k // 7 for k in range(8)]
+    parts = [(x ^ y) >> lo & (1 << hi - lo) - 1 for lo, hi in zip(edges, edges[1:], strict=False)]
+    return (x ^ y).bit_count() <= 20 and min(p.bit_count() for p in parts) <= 1
+
+
+def near_roots(marked):
+    """key -> smallest key reachable, by comparing all pairs."""
+    root = {k: k for k, _ in marked}
+    for i, (a, x) in enumerate(marked):
+        for b, y in marked[:i]:
+            if root[a] != root[b] and near_linked(x, y):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    return root
 
 
 def test_deduplicate_keeps_one_of_each(spark, docs):
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.report(docs.filter("doc_id is not null")).collect()}
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(x for x in ids if x is not None) == sorted(set(groups.values())) and len(ids) == len(set(ids))
+    rows = {(r["doc_id"] is None, r["doc_id"] or 0, r["text"] or ""): r["text"] for r in docs.collect()}
+    roots = near_roots(sorted((k, naive_near(t)) for k, t in rows.items()))
+    want = sorted(k for k, v in roots.items() if k == v)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == want
+
+
+def edited(text, r, share):
+    """Each word replaced with the given chance."""
+    return " ".join(r.choice(WORDS) + "x" if r.random() < share else w for w in text.split())
+
+
+def jaccard(x, y):
+    a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (x, y))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_are_linked_and_others_not(spark):
+    r = random.Random(8)
+    texts, pairs = [], []
+    for k in range(240):
+        base = prose(1000 + k, 300)
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [base, edited(base, r, r.choice((0.003, 0.01, 0.015, 0.02, 0.03, 0.2)))]
+    fps = [naive_near(t) for t in texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.group(frame, ["doc_id"], simhash.NEAR).collect()}
+    roots = near_roots(list(enumerate(fps)))
+    assert got == roots
+    found = {s: [got[a] == got[b] for a, b in pairs if s <= jaccard(texts[a], texts[b]) < s + 0.1] for s in (0.8, 0.9)}
+    assert np.mean(found[0.9]) > 0.9 and np.mean(found[0.8]) > 0.6 and min(map(len, found.values())) > 30
+    far = [got[a] == got[b] for a, b in pairs if jaccard(texts[a], texts[b]) < 0.5]
+    assert len(far) > 20 and not any(far)
+
+
+def test_a_large_group_of_near_copies_is_one(spark):
+    r = random.Random(4)
+    base = prose(77, 400)
+    texts = [edited(base, r, 0.005) for _ in range(420)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x["component_id"] for x in simhash.group(frame, ["doc_id"], simhash.NEAR).collect()} == {0}
+    assert [x["doc_id"] for x in simhash.deduplicate(frame).collect()] == [0]
 
 
 def test_empty(spark, empty):
@@ -109,8 +184,8 @@ def test_empty(spark, empty):
 
 
 def test_a_majority_is_over_half():
-    assert simhash.fingerprint(b"a b c d e") == naive("a b c d e") and np.bitwise_count(np.uint64(simhash.fingerprint(b"w"))) > 0
-    assert simhash.fingerprint(None) == simhash.fingerprint(b"") == 0
+    assert simhash.fingerprint(b"a b c d e") == (naive("a b c d e"),) and simhash.fingerprint(b"w")[0] > 0
+    assert simhash.fingerprint(None) == simhash.fingerprint(b"") == (0,) and simhash.fingerprint(b" ", simhash.NEAR) == (0, 0)
 
 
 def test_rows_without_ids_are_one_document(spark, docs):
