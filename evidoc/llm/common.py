@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -64,6 +65,20 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total:
     return left.join(big, key).unionByName(rest)
 
 
+def row_key(text: str = "text") -> Column:
+    """A digest that rows have in common only if both their id and their text are the same."""
+    name = F.col("doc_id").cast("string")
+    size = F.coalesce(F.length(name), F.lit(-1)).cast("string")
+    return F.md5(F.concat(size, F.lit(":"), F.coalesce(name, F.lit("")), F.coalesce(F.concat(F.lit(":"), F.col(text)), F.lit(""))))
+
+
+def store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder's URI, and the path in it."""
+    if folder.startswith("file:/") and not folder.startswith("file://"):
+        folder = "file://" + folder[5:]
+    return fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+
+
 def fresh(taken: Sequence[str], base: str) -> str:
     """A column name that none of ``taken`` equals, whatever the case."""
     low = {c.lower() for c in taken}

@@ -14,16 +14,20 @@ an empty benchmark leaves every document clean.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidoc.llm.common import LOWER, UPPER, WORD_BYTES, cut, fresh, per_row
+from evidoc.llm.common import LOWER, UPPER, WORD_BYTES, cut, fresh, per_row, row_key, shared_folder, store
 
-#: Words of benchmark text in one block of test strings. What goes to the executors at once never
-#: exceeds one block (some 100 MB of tables); a larger benchmark takes further passes.
+#: Words of benchmark text in one block of test strings (some 100 MB of tables). Blocks are files in
+#: the shared folder that tasks read; a larger benchmark takes a pass over the texts for each.
 BLOCK_WORDS = 500_000
 
 
@@ -87,19 +91,51 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The benchmark in blocks of at most ``block_words`` words (a longer single item: alone)."""
-    block: list[tuple[str, list[bytes]]] = []
-    size = 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text")
-    for item, text in rows.toLocalIterator():
-        words = words_of(text.encode() if text else None)
-        if block and size + len(words) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((item, words))
-        size += len(words)
-    yield block
+def benchmark_blocks(benchmark: DataFrame, window: int, block_words: int) -> tuple[str, int]:
+    """Write the benchmark's words to the shared folder in blocks of about ``block_words`` words, and
+    return the folder and the number of blocks. Items longer than half a block are cut, the cuts
+    overlapping by all but one word of a window; cuts are dealt to blocks by their hash."""
+    spark = benchmark.sparkSession
+    most = max(window, block_words // 2)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = words_of(text.encode() if text else None)
+                for lo in range(0, max(1, len(w) - window + 1), most - window + 1):
+                    own = w[lo : lo + most]
+                    rows.append((item, lo, len(own), b" ".join(own)))
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["item", "at", "n", "words"])
+
+    rows = cut(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.col("text").cast("string")).mapInArrow(run, "item string, at long, n long, words binary"))
+    blocks = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // block_words))
+    folder = f"{shared_folder(spark)}/benchmark-{uuid.uuid4().hex}"
+    block = F.pmod(F.xxhash64("item", "at", "words"), F.lit(blocks)).cast("int")
+    rows.filter("n > 0").select("item", "words", block.alias("block")).repartition(blocks, "block").write.partitionBy("block").parquet(folder)
+    return folder, blocks
+
+
+_matcher: dict[tuple, WuManber] = {}
+
+
+def matcher(folder: str, block: int, window: int) -> WuManber:
+    """The tables of a block; a Python worker keeps those of the last one for its next tasks."""
+    key = (folder, block, window)
+    if key not in _matcher:
+        system, path = store(folder)
+        own = f"{path}/block={block}"
+        items: list[tuple[str, list[bytes]]] = []
+        if system.get_file_info(own).type == fs.FileType.Directory:
+            for info in sorted(system.get_file_info(fs.FileSelector(own)), key=lambda x: x.path):
+                if info.base_name.endswith(".parquet"):
+                    with system.open_input_file(info.path) as file:
+                        t = pq.read_table(file, columns=["item", "words"])
+                    items += [(i, w.split()) for i, w in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True)]
+        _matcher.clear()
+        _matcher[key] = WuManber(items, window)
+    return _matcher[key]
 
 
 SPANS = T.ArrayType(T.ArrayType(T.IntegerType()))
@@ -119,36 +155,51 @@ def find(
     occurrences cover (``[start, end)``) and the ids of the items whose windows occur."""
     n_words, spans, items = names
     added = [(n_words, T.LongType()), (spans, SPANS), (items, IDS)]
-    out = None
-    for block in benchmark_blocks(benchmark, block_words):
-        first = out is None
-        src = docs if first else cut(out)
-        old = [] if first else [spans, items]
-
-        def make(block=block):
-            matcher = WuManber(block, window)
-
-            def step(texts, old_spans=None, old_items=None):
-                counts, all_spans, all_items = [], [], []
-                for k, t in enumerate(texts):
-                    words = words_of(t)
-                    got = list(old_spans[k]) if old_spans else []
-                    ids = set(old_items[k]) if old_items else set()
-                    for lo, hi, found in matcher.search(words):
-                        if got and got[-1][0] <= lo <= got[-1][1] <= hi:
-                            got[-1] = [got[-1][0], hi]
-                        else:
-                            got.append([lo, hi])
-                        ids.update(found)
-                    counts.append(len(words))
-                    all_spans.append(merged(got))
-                    all_items.append(sorted(ids))
-                return counts, all_spans, all_items
-
-            return step
-
-        out = per_row(src, list(dict.fromkeys([*keep, text])), [text, *old], added, make)
-    return out.select(*[f"`{c}`" for c in dict.fromkeys([*[k for k in keep if k not in names], *names])])
+    folder, blocks = benchmark_blocks(benchmark, window, block_words)
+    if blocks == 1:
+        return per_row(docs, keep, [text], added, searcher(folder, 0, window))
+    # One pass over the texts for each block; what is found travels with a key of the row, and meets
+    # the rows in the end.
+    key = fresh([*docs.columns, *names], "__row")
+    keyed = docs.withColumn(key, row_key(text))
+    found = None
+    for block in range(blocks):
+        own = per_row(keyed, [key], [text], added, searcher(folder, block, window)).filter(F.size(spans) > 0)
+        own = cut(own.dropDuplicates([key]).select(key, spans, items))
+        found = own if found is None else found.union(own)
+    lists = found.groupBy(key).agg(F.flatten(F.collect_list(spans)).alias(spans), F.array_sort(F.array_distinct(F.flatten(F.collect_list(items)))).alias(items))
+    lists = per_row(lists, [key, items], [spans], [(spans, SPANS)], lambda: lambda own: [[merged(x) for x in own]])
+    counted = per_row(keyed, list(dict.fromkeys([*(c for c in keep if c not in names), key])), [text], [(n_words, T.LongType())], lambda: lambda texts: [[len(words_of(t)) for t in texts]])
+    out = counted.join(lists, key, "left").withColumns({spans: F.coalesce(spans, F.array().cast(SPANS)), items: F.coalesce(items, F.array().cast(IDS))})
+    return out.select(*[f"`{c}`" for c in [*(c for c in keep if c not in names), *names]])
+
+
+def searcher(folder: str, block: int, window: int):
+    """For ``per_row``: number of words, spans and items of each text, for one block."""
+
+    def make():
+        own = matcher(folder, block, window)
+
+        def step(texts):
+            counts, all_spans, all_items = [], [], []
+            for t in texts:
+                words = words_of(t)
+                got: list[list[int]] = []
+                ids: set[str] = set()
+                for lo, hi, found in own.search(words):
+                    if got and got[-1][0] <= lo <= got[-1][1] <= hi:
+                        got[-1] = [got[-1][0], hi]
+                    else:
+                        got.append([lo, hi])
+                    ids.update(found)
+                counts.append(len(words))
+                all_spans.append(merged(got))
+                all_items.append(sorted(ids))
+            return counts, all_spans, all_items
+
+        return step
+
+    return make
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:

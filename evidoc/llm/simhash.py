@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidoc.llm.common import cut, fresh, join_counted, per_row, signed
+from evidoc.llm.common import cut, fresh, join_counted, per_row, row_key, signed
 from evidoc.llm.components import components
 
 SEED = 42
@@ -306,13 +306,6 @@ def report(docs: DataFrame) -> DataFrame:
     return group(docs, ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def row_key() -> Column:
-    """A digest that rows have in common only if both their id and their text are the same."""
-    name = F.col("doc_id").cast("string")
-    size = F.coalesce(F.length(name), F.lit(-1)).cast("string")
-    return F.md5(F.concat(size, F.lit(":"), F.coalesce(name, F.lit("")), F.coalesce(F.concat(F.lit(":"), F.col("text")), F.lit(""))))
-
-
 def deduplicate(docs: DataFrame, scheme: Scheme = NEAR) -> DataFrame:
     """One document, with all columns, of each component: that of the smallest doc_id (none comes
     last), and of several texts under that id the one of the smallest digest.

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidoc.llm.common import cut, join_counted
+from evidoc.llm.common import cut, join_counted, store
 
 MIN_REVISIT = 100
 #: What a record's headers count beside its payload.
@@ -70,13 +70,6 @@ RECORDS = T.StructType(
 )
 
 
-def store(folder: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder's URI, and the path in it."""
-    if folder.startswith("file:/") and not folder.startswith("file://"):
-        folder = "file://" + folder[5:]
-    return fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
-
-
 # --- records -----------------------------------------------------------------------------------
 
 

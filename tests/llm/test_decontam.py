@@ -40,11 +40,21 @@ def fixture(spark):
 
 def test_report_equals_brute_force(spark):
     docs, bench, texts, items = fixture(spark)
-    for block_words in (500_000, 60):  # one block, and many
+    for block_words in (500_000, 60, 16):  # one block, and many; items cut within
         got = {r["doc_id"]: tuple(r)[1:] for r in decontam.report(docs, bench, block_words=block_words).collect()}
         assert got == {k: brute(t, items) for k, t in enumerate(texts)}
 
 
+def test_long_items_are_cut_with_an_overlap(spark):
+    """Every window of an item that is much longer than a block is found."""
+    long = " ".join(f"w{k}" for k in range(400))
+    w = long.split()
+    docs = spark.createDataFrame([(k, " ".join(w[k : k + 10]), "x") for k in range(391)] + [(999, " ".join(w[5:14]), "y"), (999, " ".join(w[5:14]), "y")], "doc_id long, text string, __row string")
+    bench = spark.createDataFrame([(1, long)], "item_id long, text string")
+    got = [(r["doc_id"], r["n_hit"]) for r in decontam.report(docs, bench, block_words=50).collect()]
+    assert sorted(got) == [(k, 10) for k in range(391)] + [(999, 0)] * 2
+
+
 def test_clean_keeps_columns_and_drops_contaminated(spark):
     docs, bench, texts, items = fixture(spark)
     kept = decontam.clean(docs, bench)
