@@ -48,19 +48,24 @@ def tokens(text: bytes | None) -> set[bytes]:
 
 
 class Rows:
-    """Documents as rows of feature numbers (compressed sparse rows)."""
+    """Documents as rows of feature numbers (compressed sparse rows), each of length one."""
 
     def __init__(self, rows: list[np.ndarray], width: int):
         self.n, self.width = len(rows), width
-        self.at = np.concatenate([np.zeros(0, dtype=np.int32), *rows])
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
-        self.norm = 1 / np.sqrt(np.maximum(1, np.bincount(self.row, minlength=self.n)))[self.row] if self.n else np.zeros(0)
+        self.at = np.concatenate([np.zeros(0, dtype=np.int64), *rows]).astype(np.int64, copy=False)
+        self.sizes = np.array([len(r) for r in rows], dtype=np.int64)
+        self.some = np.flatnonzero(self.sizes)
+        self.starts = (np.cumsum(self.sizes) - self.sizes)[self.some]
+        self.norm = 1 / np.sqrt(np.maximum(1, self.sizes))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.at] * self.norm, minlength=self.n)
+        out = np.zeros(self.n)
+        if len(self.some):
+            out[self.some] = np.add.reduceat(w[self.at], self.starts)
+        return out * self.norm
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, weights=g[self.row] * self.norm, minlength=self.width)
+        return np.bincount(self.at, weights=np.repeat(g * self.norm, self.sizes), minlength=self.width)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
