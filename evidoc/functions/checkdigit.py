@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WEIGHTS = (7, 3, 1)
+#: Characters by value: a character's place modulo 36 is its value. Lower-case letters count as upper-case ones.
+VALUES = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ----------abcdefghijklmnopqrstuvwxyz"
+#: Places (from 1) of a second line that the composite check digit covers: number, birth and expiry
+#: with their digits, and the optional data with its digit.
+COMPOSITE = (*range(1, 11), *range(14, 21), *range(22, 44))
 
 
 def char_value(c: Column) -> Column:
     """0-9 are themselves, A-Z (any case) are 10-35, everything else counts 0; null for null."""
-    up = F.upper(c)
-    return (
-        F.when(up.between("0", "9"), F.ascii(up) - 48).when(up.between("A", "Z"), F.ascii(up) - 55).when(c.isNotNull(), F.lit(0))
-    )
+    place = F.greatest(F.instr(F.lit(VALUES), c) - 1, F.lit(0)) % 36  # the empty string counts 0
+    return F.when(c == "-", F.lit(0)).otherwise(place)
 
 
 def chars(s: Column) -> Column:
@@ -30,25 +35,34 @@ def weighted_sum(s: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, v: a + v)
 
 
-def check_digit(s: Column) -> Column:
-    """The check digit of a string as a one-character string; ``0`` for the empty string."""
-    return (weighted_sum(s) % 10).cast("string")
+def sum_at(s: Column, places: Iterable[int], first: int = 0) -> Column:
+    """The weighted sum of a string's characters at fixed places (from 1), the first of which weighs as
+    place ``first`` (from 0) does; places beyond the end count 0. One plain sum, given as SQL: a column
+    for each step is slow to put together. The string is evaluated once."""
+    terms = [f"greatest(instr('{VALUES}', substr(x, {p}, 1)) - 1, 0) % 36 * {WEIGHTS[(first + k) % 3]}" for k, p in enumerate(places)]
+    return F.element_at(F.call_function("transform", F.array(F.translate(s, "-", "<")), F.expr(f"x -> {' + '.join(terms)}")), 1)
+
+
+def check_digit(s: Column, width: int | None = None) -> Column:
+    """The check digit of a string as a one-character string; ``0`` for the empty string. With
+    ``width``, which no string exceeds, it is a sum over fixed places instead of a fold."""
+    total = weighted_sum(s) if width is None else sum_at(s, range(1, width + 1))
+    return (total % 10).cast("string")
 
 
-def verify(s: Column, digit: Column) -> Column:
-    """Whether ``digit`` is the check digit of ``s``; a filler stands for 0, nothing is never right."""
-    own = check_digit(s)
-    return F.coalesce(F.when(digit == "", F.lit(False)).when(digit == "<", own == "0").otherwise(own == digit), F.lit(False))
+def agrees(own: Column, digit: Column) -> Column:
+    """Whether a check digit is the one that stands; a filler stands for 0, nothing is never right."""
+    return F.coalesce((digit != "") & (own == F.when(digit == "<", F.lit("0")).otherwise(digit)), F.lit(False))
 
 
-def composite_data(line2: Column) -> Column:
-    """What the composite check digit of a second line covers: number, birth and expiry with their
-    digits, and the optional data with its digit."""
-    return F.concat(F.substring(line2, 1, 10), F.substring(line2, 14, 7), F.substring(line2, 22, 22))
+def verify(s: Column, digit: Column, width: int | None = None) -> Column:
+    """Whether ``digit`` is the check digit of ``s``."""
+    return agrees(check_digit(s, width), digit)
 
 
 def composite_ok(line2: Column) -> Column:
-    return F.coalesce((F.length(line2) >= 44) & verify(composite_data(line2), F.substring(line2, 44, 1)), F.lit(False))
+    digit = (sum_at(line2, COMPOSITE) % 10).cast("string")
+    return F.coalesce((F.length(line2) >= 44) & agrees(digit, F.substring(line2, 44, 1)), F.lit(False))
 
 
 def passing_checks(number: Column, birth: Column, expiry: Column, composite: Column) -> Column:

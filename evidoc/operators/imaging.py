@@ -73,17 +73,44 @@ def skew(segments: DataFrame) -> DataFrame:
 def line_bands(profiles: DataFrame) -> DataFrame:
     """Text bands of a strip from its smoothed row profile (doc_id, profile: array of double): bands
     of at least 8 % of the height above a threshold; of more than two, close ones are merged."""
+    return _bands(profiles).select("doc_id", "h", "bands")
+
+
+def line_crops(profiles: DataFrame) -> DataFrame:
+    """doc_id, h, crops: the rows to read as lines, as structs of ``a`` and ``b`` (end), from the top.
+
+    Two bands get a margin of 15 % of their height (two rows at least). A single band is cut where the
+    profile is lowest within a sixth of the height from the middle (the uppermost of equal places),
+    and both parts reach a twentieth over the cut. Otherwise the whole strip is the one crop.
+    """
+    rows = _bands(profiles)
+    h = F.col("h")
+    crop = lambda a, b: F.struct(F.greatest(F.lit(0), a).cast("int").alias("a"), F.least(h, b).cast("int").alias("b"))
+    margin = lambda x: F.greatest(F.lit(2), F.floor((x["b"] - x["a"]) * 0.15))
+    two = F.transform("bands", lambda x: crop(x["a"] - margin(x), x["b"] + margin(x)))
+    sixth, middle, over = F.floor(h / 6), F.floor(h / 2), F.greatest(F.lit(2), F.floor(h / 20))
+    low = F.greatest(F.lit(0), middle - sixth).cast("int")
+    near = F.slice(F.col("profile"), low + 1, (F.least(h, middle + sixth) - low).cast("int"))
+    gap = low + F.array_position(near, F.array_min(near)) - 1
+    cut = F.array(crop(F.lit(0), gap + over), crop(gap - over, h))
+    whole = F.array(crop(F.lit(0), h))
+    crops = F.when(F.size("bands") == 2, two).when((F.col("found") == 1) & (F.size(near) > 0), cut).otherwise(whole)
+    return rows.select("doc_id", "h", crops.alias("crops"))
+
+
+def _bands(profiles: DataFrame) -> DataFrame:
+    """doc_id, h, profile, the number of bands found, and ``bands`` after merging."""
     high = F.size("profile")
     top = F.array_max("profile")
     mean = F.aggregate("profile", F.lit(0.0), lambda a, v: a + v) / high
     limit = F.greatest(mean * 0.3, top * 0.15)
-    rows = profiles.select("doc_id", high.alias("h"), F.transform("profile", lambda v: v > limit).alias("on"))
+    rows = profiles.select("doc_id", "profile", high.alias("h"), F.transform("profile", lambda v: v > limit).alias("on"))
     edge = lambda i, other: F.coalesce(F.get(F.col("on"), other), F.lit(False))
     places = F.sequence(F.lit(0), F.col("h") - 1)
     starts = F.filter(places, lambda i: F.get(F.col("on"), i) & ((i == 0) | ~edge(i, i - 1)))
     stops = F.transform(F.filter(places, lambda i: F.get(F.col("on"), i) & ((i == F.col("h") - 1) | ~edge(i, i + 1))), lambda i: i + 1)
     all_bands = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda x: F.struct(x["a"].cast("int").alias("a"), x["b"].cast("int").alias("b")))
-    rows = rows.select("doc_id", "h", F.filter(all_bands, lambda x: x["b"] - x["a"] >= F.col("h") * 0.08).alias("bands"))
+    rows = rows.select("doc_id", "profile", "h", F.filter(all_bands, lambda x: x["b"] - x["a"] >= F.col("h") * 0.08).alias("bands"))
     average = F.aggregate("bands", F.lit(0.0), lambda s, x: s + (x["b"] - x["a"])) / F.size("bands")
     none = F.array().cast("array<struct<a:int,b:int>>")
 
@@ -92,7 +119,7 @@ def line_bands(profiles: DataFrame) -> DataFrame:
         joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["a"].alias("a"), x["b"].alias("b"))))
         return F.when(F.size(done) == 0, F.array(x)).when(x["a"] - last["b"] < average * 0.4, joined).otherwise(F.concat(done, F.array(x)))
 
-    return rows.select("doc_id", "h", F.when(F.size("bands") > 2, F.aggregate("bands", none, merge)).otherwise(F.col("bands")).alias("bands"))
+    return rows.select("doc_id", "profile", "h", F.size("bands").alias("found"), F.when(F.size("bands") > 2, F.aggregate("bands", none, merge)).otherwise(F.col("bands")).alias("bands"))
 
 
 def zone_presence(glyphs: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidoc.functions.checkdigit import check_digit, composite_data, composite_ok, verify
+from evidoc.functions.checkdigit import COMPOSITE, check_digit, composite_ok, sum_at, verify
 from evidoc.functions.refdata import COUNTRY_NAMES, LINE1_TYPES, SPECIAL_CODES
+from evidoc.functions.text import let
 from evidoc.settings import DEFAULTS
 
 
@@ -26,11 +27,13 @@ def build_lines(
     bare = lambda s: F.translate(s, "<", "")
     own, given = filled(bare(number), 9), F.lit("") if optional is None else F.coalesce(optional, F.lit(""))
     extra = filled(bare(given), 14)
-    extra_digit = F.when(given == "", F.lit("<")).otherwise(check_digit(extra))
+    extra_digit = F.lit("<") if optional is None else F.when(given == "", F.lit("<")).otherwise(check_digit(extra, 14))
+    with_digit = lambda x, width: F.concat(x, check_digit(x, width))
     body = F.concat(
-        own, check_digit(own), filled(nationality, 3), birth, check_digit(birth), F.upper(F.substring(sex, 1, 1)), expiry, check_digit(expiry), extra, extra_digit
+        with_digit(own, 9), filled(nationality, 3), with_digit(birth, 6), F.upper(F.substring(sex, 1, 1)), with_digit(expiry, 6), extra, extra_digit
     )
-    return F.struct(line1.alias("line1"), F.concat(body, check_digit(composite_data(body))).alias("line2"))
+    line2 = let(body, lambda b: F.concat(b, (sum_at(b, COMPOSITE) % 10).cast("string")))
+    return F.struct(line1.alias("line1"), line2.alias("line2"))
 
 
 def plausible_line1(s: Column) -> Column:
@@ -72,14 +75,28 @@ def line(s: Column) -> Column:
 
 def parse(line1: Column, line2: Column, reference_year: int = DEFAULTS.reference_year) -> Column:
     """A struct of everything that two TD3 lines say, with the five checks and their verdict."""
-    a, b = line(line1), line(line2)
+    cut = lambda b, start, n: F.substring(b, start, n)
+    digits = let(
+        line(line2),
+        lambda b: F.struct(
+            b.alias("line"),
+            verify(cut(b, 1, 9), cut(b, 10, 1), 9).alias("number"),
+            verify(cut(b, 14, 6), cut(b, 20, 1), 6).alias("birth"),
+            verify(cut(b, 22, 6), cut(b, 28, 1), 6).alias("expiry"),
+            composite_ok(b).alias("composite"),
+        ),
+    )
+    return let(F.struct(line(line1).alias("a"), digits.alias("b")), lambda x: _fields(x["a"], x["b"], reference_year))
+
+
+def _fields(a: Column, checked: Column, reference_year: int) -> Column:
+    b = checked["line"]
     names = F.split(F.substring(a, 6, 39), "<<", 2)
     words = lambda s: F.trim(F.regexp_replace(F.translate(F.coalesce(s, F.lit("")), "<", " "), " +", " "))
     cut = lambda start, n: F.substring(b, start, n)
     plain = lambda s: F.translate(s, "<", "")
     personal = plain(cut(29, 14))
-    number_ok, birth_ok, expiry_ok = verify(cut(1, 9), cut(10, 1)), verify(cut(14, 6), cut(20, 1)), verify(cut(22, 6), cut(28, 1))
-    composite = composite_ok(b)
+    number_ok, birth_ok, expiry_ok, composite = (checked[c] for c in ("number", "birth", "expiry", "composite"))
     return F.struct(
         plain(F.substring(a, 1, 2)).alias("document_type"),
         plain(F.substring(a, 3, 3)).alias("issuing_country"),
@@ -96,7 +113,7 @@ def parse(line1: Column, line2: Column, reference_year: int = DEFAULTS.reference
         birth_ok.alias("birth_ok"),
         expiry_ok.alias("expiry_ok"),
         composite.alias("composite_ok"),
-        F.when((personal != "") & (cut(43, 1) != "<"), verify(cut(29, 14), cut(43, 1))).alias("personal_ok"),
+        F.when((personal != "") & (cut(43, 1) != "<"), verify(cut(29, 14), cut(43, 1), 14)).alias("personal_ok"),
         (number_ok & birth_ok & expiry_ok & composite).alias("valid"),
     )
 

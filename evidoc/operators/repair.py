@@ -44,18 +44,20 @@ def sex_letter(c: Column) -> Column:
 
 def constrain(line2: Column) -> Column:
     """A second line with each place's kind of character enforced."""
-    place = lambda i, places: i.isin(*places)
-    own = lambda c, i: (
-        F.when(place(i, DIGIT_PLACES), to_digits(c)).when(place(i, LETTER_PLACES), to_letters(c)).when(i == SEX_PLACE, sex_letter(c)).otherwise(c)
-    )
-    return F.array_join(F.transform(chars(line2), own), "")
+    kinds = [to_digits if i in DIGIT_PLACES else to_letters if i in LETTER_PLACES else sex_letter if i == SEX_PLACE else None for i in range(max(DIGIT_PLACES) + 1)]
+    parts, start = [], 0
+    for i, kind in enumerate(kinds):  # runs of places of one kind
+        if i + 1 == len(kinds) or kinds[i + 1] is not kind:
+            own = F.substring(line2, start + 1, i + 1 - start)
+            parts.append(kind(own) if kind else own)
+            start = i + 1
+    return F.concat(*parts, F.substr(line2, F.lit(start + 1)))
 
 
 def corrections(before: Column, after: Column) -> Column:
     """What differs, as ``place:old>new`` in the order of places."""
-    pairs = F.transform(
-        chars(before), lambda c, i: F.when(c != F.get(chars(after), i), F.concat(i.cast("string"), F.lit(":"), c, F.lit(">"), F.get(chars(after), i)))
-    )
+    both = F.arrays_zip(chars(before).alias("a"), chars(after).alias("b"))
+    pairs = F.transform(both, lambda x, i: F.when(x["a"] != x["b"], F.concat(i.cast("string"), F.lit(":"), x["a"], F.lit(">"), x["b"])))
     return F.filter(pairs, lambda x: x.isNotNull())
 
 
@@ -78,16 +80,17 @@ def _singles(number: Column, strict: bool) -> Column:
     return F.flatten(each)
 
 
-def repair_number(number: Column, digit: Column, strict: bool = True) -> Column:
+def repair_number(number: Column, digit: Column, strict: bool = True, width: int | None = None) -> Column:
     """A struct: the repaired number, whether it passes, how many characters were replaced (null: no
     way was found), how many candidates of that many passed, and the check digit as a digit.
 
     Tried in turn: the number as it is, one replacement, two at most five places apart, and (with
     three to eight ambiguous places) three close together of the first two alternatives each.
-    ``strict`` leaves out the alternative ``|``, which is no character of a document number.
+    ``strict`` leaves out the alternative ``|``, which is no character of a document number. ``width``
+    may say how long numbers are at most.
     """
     wanted = F.when(digit == "<", F.lit(0)).otherwise(F.translate(F.upper(digit), "".join(LETTER_TO_DIGIT), "".join(LETTER_TO_DIGIT.values())).try_cast("int"))
-    need = F.pmod(wanted - check_digit(number).cast("int"), F.lit(10))
+    need = F.pmod(wanted - check_digit(number, width).cast("int"), F.lit(10))
     state = F.struct(need.alias("need"), _singles(number, strict).alias("s"))
     none = F.array().cast("array<struct<q1:int,q2:int,q3:int,o1:int,o2:int,o3:int,p1:int,a1:string,p2:int,a2:string,p3:int,a3:string>>")
 
@@ -159,7 +162,7 @@ def repair_lines(line1: Column, line2: Column, strict: bool = True) -> Column:
     a = tidy(line1)
     kind = F.when(F.substring(a, 1, 1).isin("R", "F", "B", "9"), F.lit("P")).otherwise(F.substring(a, 1, 1))
     first = F.concat(kind, F.substring(a, 2, 1), to_letters(F.substring(a, 3, 3)), F.substring(a, 6, 39))
-    fixed = let(constrain(tidy(line2)), lambda b: F.struct(b.alias("line2"), repair_number(F.substring(b, 1, 9), F.substring(b, 10, 1), strict).alias("r")))
+    fixed = let(constrain(tidy(line2)), lambda b: F.struct(b.alias("line2"), repair_number(F.substring(b, 1, 9), F.substring(b, 10, 1), strict, 9).alias("r")))
     return let(
         fixed,
         lambda x: F.struct(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from evidoc.functions.refdata import LABELS, SEX_TOKENS
 from evidoc.functions.text import let, literal_map, sql_literal, visual_date
+from evidoc.storage import cut
 
 #: Shapes of document numbers and of names.
 NUMBER = r"^(?=[A-Z0-9]{6,12}$)(?=.*[0-9])[A-Z0-9]+$"
@@ -49,15 +50,17 @@ def label_matches(text: Column, labels: Mapping[str, Sequence[str]] = LABELS) ->
     any_label = r"(?U)(?<!\w)(?:" + "|".join(sorted({re.sub(r"([^\w ])", r"\\\1", plain(v)) for _, v in pairs}, key=lambda x: (-len(x), x))) + r")(?!\w)"
     none = F.array().cast("array<struct<start:int,stop:int,field:string>>")
 
-    def at(low: Column, start: Column) -> Column:
+    def at(low: Column, start: Column, present: Column) -> Column:
         rest = F.substr(low, start + 1)
-        fits = F.filter(table, lambda x: F.startswith(rest, x["label"]) & ~F.rlike(F.substr(rest, x["n"] + 1, F.lit(1)), F.lit(r"(?U)^\w")))
+        fits = F.filter(present, lambda x: F.startswith(rest, x["label"]) & ~F.rlike(F.substr(rest, x["n"] + 1, F.lit(1)), F.lit(r"(?U)^\w")))
         return F.transform(fits, lambda x: F.struct(x["k"].alias("k"), start.alias("start"), (start + x["n"]).alias("stop"), x["field"].alias("field")))
 
     def found(low: Column) -> Column:
         opens = lambda i: (i == 0) | ~F.rlike(F.substr(low, i, F.lit(1)), F.lit(r"(?U)^\w"))
         starts = F.filter(F.sequence(F.lit(0), F.length(low) - 1), opens)
-        in_turn = F.array_sort(F.flatten(F.transform(starts, lambda i: at(low, i))))
+        # Few labels stand anywhere in a text; only they are tried at its words.
+        present = F.filter(table, lambda x: F.contains(low, x["label"]))
+        in_turn = let(present, lambda few: F.array_sort(F.flatten(F.transform(starts, lambda i: at(low, i, few)))))
         clear = lambda done, x: ~F.exists(done, lambda d: (x["start"] < d["stop"]) & (x["stop"] > d["start"]))
         own = lambda x: F.array(F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["field"].alias("field")))
         return F.array_sort(F.aggregate(in_turn, none, lambda done, x: F.when(clear(done, x), F.concat(done, own(x))).otherwise(done)))
@@ -109,20 +112,32 @@ def acceptable(field: Column, value: Column) -> Column:
 
 
 def marked(boxes: DataFrame, labels: Mapping[str, Sequence[str]] = LABELS) -> DataFrame:
-    """Boxes outside the machine-readable zone with ``label``, the field of their first label."""
-    return boxes.filter(not_machine_zone(F.col("text"))).withColumn("label", label_field(F.col("text"), labels))
+    """Boxes outside the machine-readable zone with ``m``, the labels in their text, and ``label``, the
+    field of the first one."""
+    rows = boxes.filter(not_machine_zone(F.col("text"))).withColumn("m", label_matches(F.col("text"), labels))
+    return rows.withColumn("label", F.get("m", 0)["field"])
+
+
+def accepted(df: DataFrame, keep: Sequence[str], field: Column, raw: Column) -> DataFrame:
+    """Columns ``keep``, ``field`` and the normalised ``value``, where the field can have it. The
+    value is generated, so that it is not worked out again for the filter."""
+    own = let(normalized(field, raw), lambda v: F.struct(field.alias("field"), v.alias("value"), acceptable(field, v).alias("__ok")))
+    return df.select(*keep, F.inline(F.array(own))).filter("__ok").drop("__ok")
 
 
 def inline_values(boxes: DataFrame, labels: Mapping[str, Sequence[str]] = LABELS) -> DataFrame:
     """doc_id, field, value, confidence: values between a label and the next one in the same box. Of
     repeated fields the last wins."""
-    found = boxes.filter(not_machine_zone(F.col("text"))).withColumn("m", label_matches(F.col("text"), labels))
-    each = found.select("doc_id", "ord", "text", "confidence", "m", F.posexplode("m").alias("k", "own"))
+    return _inline(marked(boxes, labels))
+
+
+def _inline(rows: DataFrame) -> DataFrame:
+    each = rows.select("doc_id", "ord", "text", "confidence", "m", F.posexplode("m").alias("k", "own"))
     following = F.coalesce(F.get("m", F.col("k") + 1)["start"], F.length("text"))
     raw = F.substr(F.col("text"), F.col("own.stop") + 1, following - F.col("own.stop"))
-    values = each.select("doc_id", "ord", "k", F.col("own.field").alias("field"), normalized(F.col("own.field"), raw).alias("value"), "confidence")
+    values = accepted(each, ["doc_id", "ord", "k", "confidence"], F.col("own.field"), raw)
     last = F.max_by(F.struct("value", "confidence"), F.struct("ord", "k"))
-    return values.filter(acceptable(F.col("field"), F.col("value"))).groupBy("doc_id", "field").agg(last.alias("v")).select("doc_id", "field", "v.*")
+    return values.groupBy("doc_id", "field").agg(last.alias("v")).select("doc_id", "field", "v.*")
 
 
 def adjacent_candidates(marked_boxes: DataFrame) -> DataFrame:
@@ -177,27 +192,35 @@ def neighbours(candidates: DataFrame, marked_boxes: DataFrame) -> DataFrame:
         over = F.struct(s["text"].alias("text"), s["total"].alias("total"), s["n"].alias("n"), s["right"].alias("right"), F.lit(True).alias("stop"))
         return F.when(near, take).otherwise(over)
 
-    chained = rows.withColumn("__chain", F.aggregate(free, start, chain)).drop("__values", "__heads")
-    return chained.withColumns({"value": F.trim("__chain.text"), "joined_confidence": F.col("__chain.total") / F.col("__chain.n")}).drop("__chain")
+    end = F.aggregate(free, start, chain, lambda s: F.struct(F.trim(s["text"]).alias("value"), (s["total"] / s["n"]).alias("joined_confidence")))
+    return rows.select(*candidates.columns, F.inline(F.array(end)))  # generated, so it is folded once
 
 
 def adjacent_values(boxes: DataFrame, labels: Mapping[str, Sequence[str]] = LABELS) -> DataFrame:
     """doc_id, field, value, confidence: per field the best acceptable value next to its labels, the
     first label first."""
-    rows = marked(boxes, labels)
-    found = neighbours(adjacent_candidates(rows), rows).withColumn("value", normalized(F.col("field"), F.col("value")))
+    return _adjacent(marked(boxes, labels))
+
+
+def _adjacent(rows: DataFrame) -> DataFrame:
+    found = neighbours(adjacent_candidates(rows), rows).withColumnRenamed("field", "of")
+    found = accepted(found, ["doc_id", "l_ord", "score", "ord", "way", "joined_confidence"], F.col("of"), F.col("value"))
     order = Window.partitionBy("doc_id", "field").orderBy("l_ord", F.desc("score"), "ord", "way")
-    best = found.filter(acceptable(F.col("field"), F.col("value"))).withColumn("__k", F.row_number().over(order)).filter("__k = 1")
+    best = found.withColumn("__k", F.row_number().over(order)).filter("__k = 1")
     return best.select("doc_id", "field", "value", F.col("joined_confidence").alias("confidence"))
 
 
 def standalone_numbers(boxes: DataFrame, labels: Mapping[str, Sequence[str]] = LABELS) -> DataFrame:
     """doc_id, field, value, confidence: the first value box that looks like a document number; for
     a generic shape at nine tenths of its confidence."""
+    return _standalone(marked(boxes, labels))
+
+
+def _standalone(boxes: DataFrame) -> DataFrame:
     text = F.replace(F.trim("text"), F.lit(" "), F.lit(""))
     typical = text.rlike("^[A-Z]{1,2}[0-9]{6,9}$")
     generic = text.rlike("^[A-Z0-9]{8,10}$") & text.rlike("[0-9]") & text.rlike("[A-Z]")
-    rows = marked(boxes, labels).filter("label is null").filter(typical | generic)
+    rows = boxes.filter("label is null").filter(typical | generic)
     own = F.struct(text.alias("value"), F.when(typical, F.col("confidence")).otherwise(F.col("confidence") * 0.9).alias("confidence"))
     first = rows.groupBy("doc_id").agg(F.min_by(own, "ord").alias("v"))
     return first.select("doc_id", F.lit("passport_number").alias("field"), "v.*")
@@ -205,11 +228,17 @@ def standalone_numbers(boxes: DataFrame, labels: Mapping[str, Sequence[str]] = L
 
 def extract(boxes: DataFrame, labels: Mapping[str, Sequence[str]] = LABELS) -> DataFrame:
     """doc_id, field, value, confidence of all visual fields: values in label boxes first, then those
-    next to labels, then a number that stands alone."""
-    ways = [inline_values(boxes, labels), adjacent_values(boxes, labels), standalone_numbers(boxes, labels)]
-    rows = None
+    next to labels, then a number that stands alone.
+
+    The boxes are dealt by document, marked once and written to the shared folder; all three ways read
+    them there.
+    """
+    page = boxes.select("doc_id", "ord", "text", "confidence", "x1", "y1", "x2", "y2", "width", "height").repartition("doc_id")
+    rows = cut(marked(page, labels))
+    ways = [_inline(rows), _adjacent(rows), _standalone(rows)]
+    found = None
     for k, way in enumerate(ways):
         own = way.withColumn("__way", F.lit(k))
-        rows = own if rows is None else rows.unionByName(own)
-    best = rows.groupBy("doc_id", "field").agg(F.min_by(F.struct("value", "confidence"), "__way").alias("v"))
+        found = own if found is None else found.unionByName(own)
+    best = found.groupBy("doc_id", "field").agg(F.min_by(F.struct("value", "confidence"), "__way").alias("v"))
     return best.select("doc_id", "field", "v.*")

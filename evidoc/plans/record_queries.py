@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from evidoc.operators.mrz import parse, resolve_date
 from evidoc.plans import process
 from evidoc.plans.bridge import LINES, holders, lines, table
 from evidoc.plans.zone_queries import _sql_date
-from evidoc.sources import samples, uploads
+from evidoc.sources import records, samples, uploads
+from evidoc.storage import shared_folder
 from evidoc.streaming import sessions
 
 c = F.col
@@ -303,6 +306,45 @@ UPLOAD_GATE = """
 SELECT p_partkey, p_partkey % 7 BETWEEN 1 AND 5 AND (p_partkey % 6 <= 3 OR p_partkey % 4 = 0) AS sendable FROM part"""
 
 
+def data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small files as data URLs, every fourth one empty."""
+    content = F.encode(F.when(c("p_partkey") % 4 == 0, F.lit("")).otherwise(c("p_name")), "UTF-8")
+    return table(spark, sf_dir, "part").select("p_partkey", uploads.data_url(content).alias("url"))
+
+
+DATA_URLS = """
+SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 OR p_name = '' THEN '' ELSE 'data:image/jpeg;base64,' || to_base64(encode(p_name)) END AS url FROM part"""
+
+
+def review_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Badges of statuses, one of them unknown, and how checks show, some of which were not made."""
+    status = F.element_at(F.array(*map(F.lit, ("VERIFIED", "VERIFIED WITH WARNING", "NEEDS REVIEW", "NOT FOUND"))), (c("p_partkey") % 4 + 1).cast("int"))
+    check = F.when(c("p_partkey") % 3 < 2, c("p_partkey") % 3 == 0)
+    return table(spark, sf_dir, "part").select("p_partkey", review.badge(status).alias("badge"), review.check_label(check).alias("shown"))
+
+
+REVIEW_MARKS = """
+SELECT p_partkey, ['ok', 'warning', 'review', 'n/a'][p_partkey % 4 + 1] AS badge, ['PASS', 'FAIL', 'N/A'][p_partkey % 3 + 1] AS shown FROM part"""
+
+
+def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' records, confirmed once or several times, written to the store and read back."""
+    path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("s"), c("o_custkey")).alias("session_id"), c("o_orderdate").alias("confirmed_at"), F.to_json(F.struct("o_orderkey")).alias("payload"))
+    for part in (0, 1):  # two writers
+        records.save(rows.filter(F.pmod(F.xxhash64("payload"), F.lit(2)) == part), path)
+    return records.stored(spark, path).select("session_id", F.date_format("confirmed_at", "yyyy-MM-dd").alias("day"), "payload")
+
+
+STORED_RECORDS = """
+WITH r AS (
+  SELECT 's' || o_custkey AS session_id, o_orderdate, '{"o_orderkey":' || o_orderkey || '}' AS payload FROM orders
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY o_orderdate DESC, payload DESC) AS n FROM r
+)
+SELECT session_id, strftime(o_orderdate, '%Y-%m-%d') AS day, payload FROM k WHERE n = 1"""
+
+
 # --- decisions about images, from measurements that the tables' numbers stand for -----------------
 
 
@@ -403,6 +445,40 @@ def line_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINE_BANDS = "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 10 = 5 THEN '10-20' ELSE '10-' || (30 + c_custkey % 5) END || ',50-75' AS bands FROM customer"
 
 
+def line_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strips of two bands, of one band with a dip, of hair lines, and of three bands far apart."""
+    k, key = c("c_custkey") % 4, c("c_custkey")
+    two = lambda i: F.when(i.between(10, 29 + key % 5) | i.between(50, 74), F.lit(100.0)).otherwise(F.lit(2.0))
+    dip = lambda i: F.when(i == 44 + key % 7, F.lit(60.0)).when(i.between(5, 94), F.lit(100.0)).otherwise(F.lit(2.0))
+    hair = lambda i: F.when(i.isin(20, 70), F.lit(100.0)).otherwise(F.lit(2.0))
+    three = lambda i: F.when(i.between(0, 19) | i.between(40, 59) | i.between(80, 99), F.lit(100.0)).otherwise(F.lit(2.0))
+    profile = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.when(k == 0, two(i)).when(k == 1, dip(i)).when(k == 2, hair(i)).otherwise(three(i)))
+    rows = imaging.line_crops(table(spark, sf_dir, "customer").select(key.alias("doc_id"), profile.alias("profile")))
+    return rows.select("doc_id", F.array_join(F.transform("crops", lambda b: F.concat(b["a"].cast("string"), F.lit("-"), b["b"].cast("string"))), ",").alias("crops"))
+
+
+LINE_CROPS = """
+SELECT c_custkey AS doc_id, CASE c_custkey % 4 WHEN 0 THEN '7-' || (33 + c_custkey % 5) || ',47-78' WHEN 1 THEN '0-' || (49 + c_custkey % 7) || ',' || (39 + c_custkey % 7) || '-100' ELSE '0-100' END AS crops
+FROM customer"""
+
+
+def pixel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 16 by 20 pixels in two greys, one above the other."""
+    key, w, h = c("c_custkey"), 16, 20
+    half = lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), 3 * w * h // 2)
+    data = F.unhex(F.concat(half(key % 100), half(100 + key % 156)))
+    image = F.struct(F.lit(h).alias("height"), F.lit(w).alias("width"), F.lit(3).alias("nChannels"), data.alias("data"))
+    rows = imaging.measured(table(spark, sf_dir, "customer").select(key.alias("doc_id"), image.alias("image")))
+    return rows.select("doc_id", "width", "height", F.round("variance", 6).alias("variance"), F.round("glare_ratio", 6).alias("glare_ratio"), F.round("brightness", 6).alias("brightness"))
+
+
+# Only the two rows at the edge have a second difference, of equal size and opposite sign.
+PIXEL_METRICS = """
+WITH g AS (SELECT c_custkey AS doc_id, c_custkey % 100 AS a, 100 + c_custkey % 156 AS b FROM customer)
+SELECT doc_id, 16 AS width, 20 AS height, round(2 * (b - a) * (b - a) / 20.0, 6)::DOUBLE AS variance, (CASE WHEN b > 250 THEN 0.5 ELSE 0 END)::DOUBLE AS glare_ratio,
+  round((a + b) / 2.0, 6)::DOUBLE AS brightness FROM g"""
+
+
 def zone_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two lines of glyphs per page: an even pitch, or an uneven one for odd pages; few for some."""
     k = c("c_custkey")
@@ -486,6 +562,11 @@ QUERIES = {
     "best_turn": (best_turn, BEST_TURN),
     "skew_angle": (skew_angle, SKEW_ANGLE),
     "line_bands": (line_bands, LINE_BANDS),
+    "line_crops": (line_crops, LINE_CROPS),
+    "pixel_metrics": (pixel_metrics, PIXEL_METRICS),
+    "data_urls": (data_urls, DATA_URLS),
+    "review_marks": (review_marks, REVIEW_MARKS),
+    "stored_records": (stored_records, STORED_RECORDS),
     "zone_presence": (zone_presence, ZONE_PRESENCE),
     "candidate_crops": (candidate_crops, CANDIDATE_CROPS),
     "portrait_choice": (portrait_choice, PORTRAIT_CHOICE),

@@ -42,11 +42,12 @@ SELECT o_orderkey, text, CASE WHEN o_orderkey % 9 IN (6, 7) THEN NULL WHEN o_ord
 
 def transliteration_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(fold(text)).alias("folded_md5"), same_transliterated(text, F.lower(text)).alias("same"))
+    other = F.when(F.col("doc_id") % 3 == 0, F.concat(text, F.lit("Z"))).when(F.col("doc_id") % 3 == 1, F.translate(F.lower(text), "éèñ", "eeÑ")).otherwise(F.concat(F.lit("< "), text))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(fold(text)).alias("folded_md5"), same_transliterated(text, other).alias("same"))
 
 
 TRANSLITERATION_FOLD = """
-SELECT doc_id, md5(upper(strip_accents(replace(text, 'ß', 'ss')))) AS folded_md5, text IS NOT NULL AND text <> '' AS same FROM documents"""
+SELECT doc_id, md5(upper(strip_accents(replace(text, 'ß', 'ss')))) AS folded_md5, text IS NOT NULL AND text <> '' AND doc_id % 3 <> 0 AS same FROM documents"""
 
 
 def label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +141,22 @@ WITH {LINES} {_ADJACENT}
 UNION ALL SELECT doc_id, 'passport_number', number, {CONF.format(7)}::DOUBLE FROM lines
 UNION ALL SELECT doc_id, 'sex', CASE WHEN sex = '<' THEN 'X' ELSE sex END, {CONF.format(10)}::DOUBLE FROM lines"""
 
+def box_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corner points of turned boxes, from parts."""
+    k = F.col("p_partkey").cast("int")
+    point = lambda x, y: F.array(x.cast("int"), y.cast("int"))
+    box = F.array(point(k % 50 + 5, k % 31), point(k % 50 + F.col("p_size"), k % 17), point(k % 13, k % 31 + 40), point(k % 50, k % 7 + F.col("p_size")))
+    return visual.with_bounds(table(spark, sf_dir, "part").select("p_partkey", box.alias("box"))).drop("box")
+
+
+BOX_BOUNDS = """
+WITH p AS (
+  SELECT p_partkey, unnest([p_partkey % 50 + 5, p_partkey % 50 + p_size, p_partkey % 13, p_partkey % 50]) AS x, unnest([p_partkey % 31, p_partkey % 17, p_partkey % 31 + 40, p_partkey % 7 + p_size]) AS y FROM part
+)
+SELECT p_partkey, CAST(min(x) AS INTEGER) AS x1, CAST(min(y) AS INTEGER) AS y1, CAST(max(x) AS INTEGER) AS x2, CAST(max(y) AS INTEGER) AS y2 FROM p GROUP BY p_partkey"""
+
 QUERIES = {
+    "box_bounds": (box_bounds, BOX_BOUNDS),
     "visual_date_ladder": (visual_date_ladder, VISUAL_DATE_LADDER),
     "transliteration_fold": (transliteration_fold, TRANSLITERATION_FOLD),
     "label_match": (label_match, LABEL_MATCH),

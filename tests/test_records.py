@@ -160,3 +160,20 @@ def test_sendable_files(spark):
     cases = [("a.heif", "", 5, True), ("a.txt", "image/png", 5, True), ("a.txt", "text/plain", 5, False), ("a.pdf", "", 0, False), ("a.pdf", "", 15 * 1024 * 1024, True), ("a.pdf", "", 15 * 1024 * 1024 + 1, False)]
     got = spark.range(1).select(*[uploads.sendable(lit(n), lit(m), lit(k)) for n, m, k, _ in cases]).first()
     assert list(got) == [w for *_, w in cases]
+
+
+def test_store_reads_one_session_from_its_folder(spark, tmp_path):
+    from evidoc.sources import records
+
+    rows = [(f"s{k}", k, f"p{k}") for k in range(200)] + [("s3", 500, "again"), ("s4", 1, "older")]
+    frame = spark.createDataFrame(rows, "session_id string, confirmed_at int, payload string")
+    records.save(frame.limit(150), f"{tmp_path}/store")
+    records.save(frame.subtract(frame.limit(150)), f"{tmp_path}/store")
+    assert records.one(spark, f"{tmp_path}/store", "s3").first()["payload"] == "again"
+    assert records.one(spark, f"{tmp_path}/store", "s4").first()["payload"] == "p4"
+    assert records.one(spark, f"{tmp_path}/store", "nobody").count() == 0
+    assert records.stored(spark, f"{tmp_path}/store").count() == 200
+    gone = spark.createDataFrame([("s3", 600), ("s5", 2)], "session_id string, deleted_at int")
+    assert records.stored(spark, f"{tmp_path}/store", gone).count() == 199
+    plan = records.one(spark, f"{tmp_path}/store", "s3")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
