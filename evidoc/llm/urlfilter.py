@@ -16,6 +16,7 @@ repeated rows get rows of their own; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,47 +33,40 @@ BASE_RULES = (
     ("block", "com", "/de/"),
 )
 
-#: Hand-written patterns: link farms, pills, gambling, adult, trackers, and exceptions.
-PATTERNS = (
-    "||spam-farm.",
-    "||cheap-pills.",
-    "-spam-farm.",
-    "/cheap-pills/",
-    "||casino.",
-    "||online-casino.",
-    "-casino.",
-    "/casino/*/bonus^",
-    "||poker-room.",
-    "/free-spins/",
-    "||payday-loans.",
-    "/payday-loan^",
-    "||replica-watches.",
-    "/replica-watches/",
-    "||viagra.",
-    "/buy-viagra^",
-    "||pharmacy-online.",
-    "/no-prescription/",
-    "||xxx.",
-    "/xxx/*/video^",
-    "||adult-cams.",
-    "/live-cams/",
-    "||torrent-mirror.",
-    "/warez/",
-    "/keygen/",
-    "/crack/*/download^",
-    "||doubleclick.",
-    "||adserver.",
-    "/adserver/*/click^",
-    "||tracker.",
-    "/click/track?*affid=",
-    "?phpsessid=",
-    "&sessionid=",
-    "/link-farm/",
-    "||seo-links.",
-    "/get-rich/*/quick^",
-    "@@||example.edu^",
-    "@@/robots.txt^",
-)
+#: What link farms, pill and betting shops, adult sites, cracked software and trackers are about.
+TOPICS = (
+    "casino", "poker", "roulette", "slots", "bingo", "betting", "jackpot", "viagra", "cialis", "cheap-pills", "pharmacy-online", "steroids", "payday-loans", "forex-signals", "replica-watches",
+    "replica-bags", "fake-ids", "warez", "keygen", "torrent-mirror", "cracked-apps", "serialz", "xxx", "adult-cams", "escorts", "hentai", "hookups", "adserver", "doubleclick", "popunder",
+    "tracker", "clicktrack", "affiliates", "spam-farm", "link-farm", "seo-links", "doorway-pages", "get-rich", "miracle-diet", "free-spins",
+)
+#: What such a site wants of its visitor, at the end of a path under the topic.
+ACTIONS = ("bonus", "download", "signup", "buy", "order", "win", "click", "claim")
+#: Where a topic stands: a host label of its own, the end of a longer label, and a path to an action.
+SHAPES = ("||{topic}.", "-{topic}.", "/{topic}/*/{action}^")
+#: Further patterns, and exceptions.
+OTHERS = (
+    "/cheap-pills/", "/free-spins/", "/payday-loan^", "/replica-watches/", "/buy-viagra^", "/no-prescription/", "/live-cams/", "/warez/", "/keygen/", "/link-farm/",
+    "/xxx/*/video^", "/click/track?*affid=", "?phpsessid=", "&sessionid=", "@@||example.edu^", "@@/robots.txt^",
+)
+
+
+def built_patterns(topics: Sequence[str] = TOPICS, actions: Sequence[str] = ACTIONS, shapes: Sequence[str] = SHAPES, others: Sequence[str] = OTHERS) -> tuple[str, ...]:
+    """Each topic in each shape with each action, and the others; each pattern once."""
+    made = [s.format(topic=t, action=a) for s in shapes for t in topics for a in (actions if "{action}" in s else ("",))]
+    return tuple(dict.fromkeys([*made, *others]))
+
+
+#: Some hundreds of patterns.
+PATTERNS = built_patterns()
+
+
+def table_patterns(rules: DataFrame, column: str = "pattern", most: int = 200_000) -> tuple[str, ...]:
+    """Patterns of a table of rules, which tasks hold in memory: an error if it has over ``most``."""
+    rows = rules.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} patterns")
+    return tuple(sorted(r[0] for r in rows))
+
 
 TOKEN = re.compile("[a-z0-9]+")
 #: A separator of tokens that a pattern gives literally.

@@ -41,6 +41,23 @@ def test_patterns_are_indexed_by_their_rarest_token():
         urlfilter.Filter((), ("*abc*",), {})
 
 
+def test_patterns_by_rule_and_from_a_table(spark):
+    assert len(urlfilter.PATTERNS) > 400 and all(urlfilter.whole_tokens(p) for p in urlfilter.PATTERNS)
+    rules = spark.createDataFrame([("||bad.",), ("/worse/",), ("/worse/",), (None,)], "pattern string")
+    own = urlfilter.table_patterns(rules)
+    assert own == ("/worse/", "||bad.")
+    pages = spark.createDataFrame([(1, "http://x.net/worse/1"), (2, "http://bad.net/"), (3, "http://x.net/casino/a/bonus")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in urlfilter.report(pages, patterns=own).collect()} == {1: "block", 2: "block", 3: "allow"}
+    with pytest.raises(ValueError):
+        urlfilter.table_patterns(rules, most=1)
+
+
+def test_very_long_urls(spark):
+    long = "http://a.net/" + "x/" * 500_000 + "casino/z/bonus"
+    pages = spark.createDataFrame([(1, long), (2, long + "es"), (3, "http://" + "sub." * 50_000 + "example.org/es/x")], "page_id long, url string")
+    assert {r["page_id"]: (r["verdict"], r["rule"]) for r in urlfilter.report(pages).collect()} == {1: ("block", None), 2: ("allow", None), 3: ("block", "example.org/es/")}
+
+
 def test_null_ids_and_empty(spark):
     pages = spark.createDataFrame([(None, "http://x.com/de/1"), (None, None)], "page_id long, url string")
     assert sorted(r["verdict"] for r in urlfilter.report(pages).collect()) == ["allow", "block"]
