@@ -1,9 +1,11 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evidoc.llm import decontam, langid, packing, simhash, toxicity
 from evidoc.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
+from tests.llm.conftest import prose
 from tests.llm.test_decontam import words
 from tests.llm.test_simhash import naive_near, near_roots
 
@@ -30,6 +32,22 @@ def test_pipeline_equals_its_parts_by_brute_force(spark, sf):
         assert sum(x["length"] for x in got if x["doc_id"] == k) == len(encoder.encode(r["text"])) // 4 + 1
 
 
+def test_odd_rows_and_empty_tables(spark, docs, empty, tmp_path):
+    """Null ids and texts, repeated rows, extra columns with clashing names, and nothing at all."""
+    more = docs.filter("doc_id = 6").limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(prose(9, 50))})
+    own = docs.union(more).union(more).withColumn("lang", F.when(F.col("text").rlike("[A-Za-z]{3}"), F.lit("xx")))
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(20)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "one two three"), (None, None)], "item_id long, text string")
+    for name, d in (("odd", own), ("empty", empty)):
+        for table, frame in (("documents", d), ("labels", labels.limit(0) if name == "empty" else labels), ("benchmark", bench)):
+            frame.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    ids = [r["doc_id"] for r in got if r["piece"] == 0]
+    assert len(ids) - ids.count(None) == len(set(ids)) - 1 and ids.count(None) == 2 and {6, 10, 19} <= set(ids)
+    assert not {0, 1, 2, 4, 7, 18} & set(ids)  # no text, contaminated, a copy, no letter
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
 def test_stages_keep_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "near_dedup", "decontamination", "packing"]
