@@ -67,10 +67,9 @@ class Memory(dict):
 
     def __init__(self, tokenizer):
         self.tokenizer, self.older = tokenizer, {}
-        kind = json.loads(tokenizer.to_str())
-        before = kind["pre_tokenizer"] or {}
+        before = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer else {}
         plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
-        self.model = tokenizer.model if plain and not kind["normalizer"] else None
+        self.model = tokenizer.model if plain and tokenizer.normalizer is None else None
         self.letters = byte_letters()
 
     def __missing__(self, chunk: str) -> bytes:

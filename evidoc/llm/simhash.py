@@ -13,9 +13,9 @@ a Jaccard similarity of 0.8 or more: 128 bits, of which such texts differ in 19.
 likely, not certain; the README states the recall by similarity.
 
 Only distinct fingerprints are indexed, so copies cost nothing. Up to ``SMALL`` fingerprints under
-a variant are compared with each other and each linked pair is given once, under the first variant
-it shares. More of them are searched breadth first, which gives a spanning forest (fewer links than
-fingerprints) with the same components. Beyond ``LARGE`` they are cut into blocks, and each pair of
+a variant are compared with each other, each pair under the first variant it shares; more of them are
+searched breadth first. Either way a variant gives a spanning forest, fewer links than fingerprints,
+each to the smallest fingerprint of its tree, so groups of near copies do not give their pairs. Beyond ``LARGE`` they are cut into blocks, and each pair of
 blocks is such a group of its own.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other;
@@ -190,13 +190,15 @@ def forest(fps: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarra
 
 
 def _links(sorted_rows: DataFrame, scheme: Scheme, large: int | None) -> DataFrame:
-    """Links of rows (key, bit, fp) that come sorted by key. A group of over ``large`` gives a row
+    """Links of rows (key, bit, fp) that come sorted by key and fp. A group of over ``large`` gives a row
     with its key and size instead."""
     names = WORDS[: scheme.words]
     ends = [f"{side}{n}" for side in "ab" for n in names]
     schema = T.StructType([T.StructField(c, T.LongType()) for c in (*ends, "key", "n")])
 
     def pairs(key, bit, fp):
+        """Links of small groups: all pairs are compared, and of each tree they make every node is
+        linked to the first, so a group never gives more links than it has rows."""
         a, b = [], []
         for lag in range(1, SMALL):
             same = np.flatnonzero(key[lag:] == key[:-lag]) if len(key) > lag else ()
@@ -205,9 +207,21 @@ def _links(sorted_rows: DataFrame, scheme: Scheme, large: int | None) -> DataFra
             x = fp[same] ^ fp[same + lag]
             ok = distance(x) <= scheme.bits
             ok[ok] = first_shared(x[ok], bit[same][ok], scheme)
-            a.append(fp[same[ok]])
-            b.append(fp[same[ok] + lag])
-        return a, b
+            a.append(same[ok])
+            b.append(same[ok] + lag)
+        if not sum(map(len, a)):
+            return [], []
+        low, high = np.concatenate(a), np.concatenate(b)
+        first = np.arange(len(key))
+        while True:
+            before = first.copy()
+            np.minimum.at(first, high, first[low])
+            np.minimum.at(first, low, first[high])
+            first = first[first]
+            if (first == before).all():
+                break
+        own = np.flatnonzero(first != np.arange(len(key)))
+        return [fp[first[own]]], [fp[own]]
 
     def batch(a, b, key=(), n=()):
         a, b = (np.concatenate(v).view(np.int64) if v else np.zeros((0, scheme.words), np.int64) for v in (a, b))
@@ -268,7 +282,7 @@ def links(fps: DataFrame, scheme: Scheme = EXACT, large: int = LARGE) -> DataFra
     """Links ``a``, ``b`` between distinct fingerprints (column ``fp``), with the components of all
     pairs that share a variant and differ in at most ``scheme.bits`` bits."""
     keyed = variants(fps, scheme)
-    found = cut(_links(keyed.repartition("key").sortWithinPartitions("key"), scheme, large))
+    found = cut(_links(keyed.repartition("key").sortWithinPartitions("key", "fp"), scheme, large))
     made = found.filter("key is null").select("a", "b")
     over = found.filter("key is not null").select("key", "n")
     if over.isEmpty():
@@ -280,7 +294,7 @@ def links(fps: DataFrame, scheme: Scheme = EXACT, large: int = LARGE) -> DataFra
     meet = F.xxhash64("key", F.least("__own", "__other"), F.greatest("__own", "__other"))
     # A chance collision of two groups' hashes joins them; the distance is verified all the same.
     again = other.select(meet.alias("key"), "bit", "fp").distinct()
-    return made.union(_links(again.repartition("key").sortWithinPartitions("key"), scheme, None).select("a", "b"))
+    return made.union(_links(again.repartition("key").sortWithinPartitions("key", "fp"), scheme, None).select("a", "b"))
 
 
 def rooted(nodes: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
