@@ -28,7 +28,7 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,8 @@ from evidoc.llm.common import cut, fresh, per_row
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 12_000
 BLOCK = 256
+#: Characters that a task parses side by side, which bounds the arrays that it holds.
+AT_ONCE = 1 << 19
 PIECE, WINDOW = 192, 8
 #: Mean characters of a phrase below which a text is in none of the learned languages. A script that
 #: no labelled text has costs a phrase a letter; prose of a learned language has phrases of five.
@@ -207,7 +209,7 @@ class CrossParser:
         names, scores, spans = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if some:
             sizes = np.array([[len(coded[k])] for k in some])
-            phrases = self.phrases([coded[k] for k in some])
+            phrases = np.concatenate([self.phrases([coded[k] for k in own]) for own in portions(some, coded)])
             bits = phrases * self.scale / sizes
             best = bits.argmin(axis=1)
             weight = np.exp2(bits.min(axis=1)[:, None] - bits)
@@ -217,6 +219,19 @@ class CrossParser:
         return names, scores, spans
 
 
+def portions(some: list[int], coded: list[np.ndarray]) -> Iterator[list[int]]:
+    """Texts that are parsed at once: about ``AT_ONCE`` characters, or one longer text."""
+    own, size = [], 0
+    for k in some:
+        if own and size + len(coded[k]) > AT_ONCE:
+            yield own
+            own, size = [], 0
+        own.append(k)
+        size += len(coded[k])
+    if own:
+        yield own
+
+
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> CrossParser:
     """Build the automata from documents that are labelled, have a letter and are not held out."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))

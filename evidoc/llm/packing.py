@@ -34,8 +34,8 @@ from evidoc.llm.common import ROWS_PER_STEP, cut, values
 
 CAPACITY = 1024
 END_ID = 2
-#: Chunks of text in a generation of what a Python worker remembers the ids of (about 60 MB).
-REMEMBERED = 300_000
+#: Chunks of text in a generation of what a Python worker remembers the ids of (about 40 MB).
+REMEMBERED = 200_000
 
 #: White space as the tokenizer's pattern has it (Unicode White_Space).
 OTHER_SPACE = "\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
