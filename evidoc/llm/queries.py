@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidoc.llm import decontam, langid, licenses, packing, quality, sharding, simhash, toxicity, urlfilter, warc
+from evidoc.llm import decontam, langid, licenses, packing, quality, sharding, simhash, tokencount, toxicity, urlfilter, vectorcodes, warc, whitening
 from evidoc.llm.common import shared_folder, table
 
 
@@ -57,6 +57,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.report(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.report(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -70,13 +82,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_license_scans,
         op10_url_filters,
+        op11_vector_codes,
+        op12_whitening,
+        op13_token_counts,
     )
 }
 
-#: The others hash with XXH64, tokenise, schedule or train, which this SQL has no functions for; tests
+#: The others hash with XXH64, tokenise, schedule, train or rotate, which this SQL has no functions for; tests
 #: hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": warc.sql(),
     "op6_decontamination": decontam.sql(),
     "op10_url_filters": urlfilter.sql(),
+    "op11_vector_codes": vectorcodes.sql(),
 }
