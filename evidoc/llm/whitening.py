@@ -37,6 +37,8 @@ LIMIT = 1 << 31
 #: Share of the largest eigenvalue that rounding alone may leave in one.
 FLAT = 1e-13
 LONG = (1 << 63) - 1
+#: Numbers of a matrix's row that travel as one row.
+BLOCK = 64
 
 
 def jacobi(matrix: np.ndarray, sweeps: int = 60) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +102,8 @@ class Whitening:
 
 
 def added(rows: DataFrame, width: int, make: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """The matrix that ``make`` makes of a matrix of rows, added up over all rows (column ``x``)."""
+    """The matrix that ``make`` makes of a matrix of rows, added up over all rows (column ``x``). A task
+    gives a row for ``BLOCK`` numbers."""
 
     def run(batches):
         total = None
@@ -109,14 +112,17 @@ def added(rows: DataFrame, width: int, make: Callable[[np.ndarray], np.ndarray])
                 own = make(x)
                 total = own if total is None else total + own
         if total is not None:
-            i, j = np.indices(total.shape).reshape(2, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], names=["i", "j", "v"])
-
-    made = rows.select("x").mapInArrow(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros((1 + max((r["i"] for r in made), default=-1), 1 + max((r["j"] for r in made), default=-1)))
-    for r in made:
-        out[r["i"], r["j"]] = r["v"]
-    return out
+            at = [(i, j) for i in range(total.shape[0]) for j in range(0, total.shape[1], BLOCK)]
+            v = [total[i, j : j + BLOCK].tolist() for i, j in at]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in zip(*at, strict=True)), pa.array(v, pa.list_(pa.float64()))], names=["i", "j", "v"])
+
+    each = [F.sum(F.get("v", k)).alias(f"v{k}") for k in range(min(BLOCK, width))]
+    made = rows.select("x").mapInArrow(run, "i long, j long, v array<double>").groupBy("i", "j").agg(*each).collect()
+    out = {(r["i"], r["j"] + k): r[f"v{k}"] for r in made for k in range(len(each)) if r[f"v{k}"] is not None}
+    full = np.zeros(tuple(1 + max(c) for c in zip(*out, strict=True)))
+    for at, v in out.items():
+        full[at] = v
+    return full
 
 
 def totals(rows: DataFrame, width: int) -> tuple[int, tuple[int, ...]]:
