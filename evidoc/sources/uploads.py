@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidoc.settings import DEFAULTS
+from evidoc.sources import exif
 
 #: Brands of the HEIF family.
 HEIF_BRANDS = ("heic", "heix", "hevc", "heim", "mif1", "msf1")
@@ -63,7 +64,13 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (a hash of the origin) and Spark's image struct of every JPEG or PNG under ``path``,
-    within the pixel limit."""
-    rows = spark.read.format("image").option("dropInvalid", "true").load(path)
+    within the pixel limit, turned upright as the files' metadata say."""
+    rows = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path)
     small = rows.filter(F.col("image.width").cast("long") * F.col("image.height") <= DEFAULTS.max_pixels)
-    return small.select(F.xxhash64("image.origin").alias("doc_id"), "image")
+    # The image source gives no metadata: they come from the files' bytes, of which only a number is kept.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    plain = lambda p: F.regexp_replace(p, "^([a-z0-9]+):/+", "$1:/")
+    turns = files.select(plain(F.col("path")).alias("__path"), exif.quarters(F.col("content")).alias("turn")).filter("turn > 0")
+    decoded = F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B")))  # origins are URIs, paths are not
+    named = small.withColumn("__path", plain(decoded)).join(turns, "__path", "left")
+    return exif.upright(named.select(F.xxhash64("image.origin").alias("doc_id"), "image", F.coalesce("turn", F.lit(0)).alias("turn")))
