@@ -14,9 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidoc.functions.refdata import LABELS, SEX_TOKENS
-from evidoc.functions.text import let, literal_map, sql_literal, visual_date
+from evidoc.functions.text import caseless, let, literal_map, sql_literal, visual_date
+from evidoc.operators.labels import with_matches
 from evidoc.storage import cut
 
+#: Labels by field, or a label table's index.
+Labels = Mapping[str, Sequence[str]] | DataFrame
+
 #: Shapes of document numbers and of names.
 NUMBER = r"^(?=[A-Z0-9]{6,12}$)(?=.*[0-9])[A-Z0-9]+$"
 NAME_LETTER = "[A-Za-zÀ-ÖÙ-öù-üÇçĞğİıÖöŞşÜü]"
@@ -34,11 +38,6 @@ def not_machine_zone(text: Column) -> Column:
     return ~(F.contains(text, F.lit("<<")) | ((F.length(F.replace(text, F.lit(" "), F.lit(""))) >= 40) & F.contains(text, F.lit("<"))))
 
 
-def caseless(s: Column) -> Column:
-    """Lower case of the same length, with the dotted and dotless i alike."""
-    return F.translate(F.lower(F.translate(s, "İ", "i")), "ı", "i")
-
-
 def label_matches(text: Column, labels: Mapping[str, Sequence[str]] = LABELS) -> Column:
     """Labels in a text, in the order of their places: structs of ``start``, ``stop`` (places in the
     text) and ``field``. Longer labels take their place before shorter ones that overlap them; a
@@ -111,10 +110,12 @@ def acceptable(field: Column, value: Column) -> Column:
     return let(value, ok)
 
 
-def marked(boxes: DataFrame, labels: Mapping[str, Sequence[str]] = LABELS) -> DataFrame:
+def marked(boxes: DataFrame, labels: Labels = LABELS) -> DataFrame:
     """Boxes outside the machine-readable zone with ``m``, the labels in their text, and ``label``, the
-    field of the first one."""
-    rows = boxes.filter(not_machine_zone(F.col("text"))).withColumn("m", label_matches(F.col("text"), labels))
+    field of the first one. A mapping of labels is looked for within the row; a table of labels, as
+    ``labels.index`` makes it, is joined to the boxes' words."""
+    rows = boxes.filter(not_machine_zone(F.col("text")))
+    rows = with_matches(rows, ["doc_id", "ord"], labels) if isinstance(labels, DataFrame) else rows.withColumn("m", label_matches(F.col("text"), labels))
     return rows.withColumn("label", F.get("m", 0)["field"])
 
 
@@ -125,7 +126,7 @@ def accepted(df: DataFrame, keep: Sequence[str], field: Column, raw: Column) ->
     return df.select(*keep, F.inline(F.array(own))).filter("__ok").drop("__ok")
 
 
-def inline_values(boxes: DataFrame, labels: Mapping[str, Sequence[str]] = LABELS) -> DataFrame:
+def inline_values(boxes: DataFrame, labels: Labels = LABELS) -> DataFrame:
     """doc_id, field, value, confidence: values between a label and the next one in the same box. Of
     repeated fields the last wins."""
     return _inline(marked(boxes, labels))
@@ -196,7 +197,7 @@ def neighbours(candidates: DataFrame, marked_boxes: DataFrame) -> DataFrame:
     return rows.select(*candidates.columns, F.inline(F.array(end)))  # generated, so it is folded once
 
 
-def adjacent_values(boxes: DataFrame, labels: Mapping[str, Sequence[str]] = LABELS) -> DataFrame:
+def adjacent_values(boxes: DataFrame, labels: Labels = LABELS) -> DataFrame:
     """doc_id, field, value, confidence: per field the best acceptable value next to its labels, the
     first label first."""
     return _adjacent(marked(boxes, labels))
@@ -210,7 +211,7 @@ def _adjacent(rows: DataFrame) -> DataFrame:
     return best.select("doc_id", "field", "value", F.col("joined_confidence").alias("confidence"))
 
 
-def standalone_numbers(boxes: DataFrame, labels: Mapping[str, Sequence[str]] = LABELS) -> DataFrame:
+def standalone_numbers(boxes: DataFrame, labels: Labels = LABELS) -> DataFrame:
     """doc_id, field, value, confidence: the first value box that looks like a document number; for
     a generic shape at nine tenths of its confidence."""
     return _standalone(marked(boxes, labels))
@@ -226,7 +227,7 @@ def _standalone(boxes: DataFrame) -> DataFrame:
     return first.select("doc_id", F.lit("passport_number").alias("field"), "v.*")
 
 
-def extract(boxes: DataFrame, labels: Mapping[str, Sequence[str]] = LABELS) -> DataFrame:
+def extract(boxes: DataFrame, labels: Labels = LABELS) -> DataFrame:
     """doc_id, field, value, confidence of all visual fields: values in label boxes first, then those
     next to labels, then a number that stands alone.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidoc.functions.text import fold, same_transliterated, visual_date
-from evidoc.operators import visual
+from evidoc.operators import labels, visual
 from evidoc.plans.bridge import LINES, boxes, scattered, table
 
 
@@ -155,7 +155,33 @@ WITH p AS (
 )
 SELECT p_partkey, CAST(min(x) AS INTEGER) AS x1, CAST(min(y) AS INTEGER) AS y1, CAST(max(x) AS INTEGER) AS x2, CAST(max(y) AS INTEGER) AS y2 FROM p GROUP BY p_partkey"""
 
+def indexed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of one to three words that begin some conversations' turns, looked for in all turns."""
+    turns = table(spark, sf_dir, "conversations")
+    begin = F.regexp_extract("text", r"(?U)^(\w+(?:\W+\w+){0,2})", 1)
+    k = F.col("conv_id") % 3 + 1
+    cut = F.when(k == 1, F.regexp_extract(begin, r"(?U)^\w+", 0)).when(k == 2, F.regexp_extract(begin, r"(?U)^\w+\W+\w+", 0)).otherwise(begin)
+    made = turns.select(cut.alias("label"), (F.col("conv_id") * 1_000 + F.col("turn")).alias("ord")).filter("label <> ''")
+    rows = made.groupBy("label").agg(F.min("ord").alias("ord")).withColumn("field", F.concat(F.lit("f"), F.col("ord") % 7))
+    found = labels.places(turns, ["conv_id", "turn"], labels.index(rows))
+    return found.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_places"), F.sum(F.col("start") * (F.col("stop") - F.col("start"))).alias("weighted"), F.countDistinct("rank").alias("n_labels"))
+
+
+# Every label is tried at every place of every turn.
+INDEXED_LABELS = r"""
+WITH t AS (SELECT conv_id, turn, text, translate(lower(translate(text, 'İ', 'i')), 'ı', 'i') AS low FROM conversations WHERE text IS NOT NULL),
+w AS (SELECT CASE conv_id % 3 WHEN 0 THEN regexp_extract(text, '^[\p{L}\p{M}\p{N}_]+') WHEN 1 THEN regexp_extract(text, '^[\p{L}\p{M}\p{N}_]+[^\p{L}\p{M}\p{N}_]+[\p{L}\p{M}\p{N}_]+')
+  ELSE regexp_extract(text, '^[\p{L}\p{M}\p{N}_]+(?:[^\p{L}\p{M}\p{N}_]+[\p{L}\p{M}\p{N}_]+){0,2}') END AS label, conv_id * 1000 + turn AS ord FROM t),
+g AS (SELECT label, min(ord) AS ord FROM w WHERE label <> '' GROUP BY label),
+l AS (SELECT translate(lower(translate(label, 'İ', 'i')), 'ı', 'i') AS low, 'f' || (ord % 7) AS field, min(ord) AS ord FROM g GROUP BY ALL),
+c AS (SELECT conv_id, turn, t.low AS text, l.low AS label, ord FROM t JOIN l ON contains(t.low, l.low)),
+p AS (SELECT c.*, s - 1 AS start FROM c, range(1, 20000) r(s) WHERE s <= length(text) AND substr(text, s, length(label)) = label)
+SELECT conv_id, turn, count(*) AS n_places, sum(start * length(label))::BIGINT AS weighted, count(DISTINCT ord) AS n_labels FROM p
+WHERE (start = 0 OR NOT regexp_matches(substr(text, start, 1), '[\p{L}\p{M}\p{N}_]')) AND NOT regexp_matches(substr(text, start + length(label) + 1, 1), '[\p{L}\p{M}\p{N}_]') GROUP BY conv_id, turn"""
+
+
 QUERIES = {
+    "indexed_labels": (indexed_labels, INDEXED_LABELS),
     "box_bounds": (box_bounds, BOX_BOUNDS),
     "visual_date_ladder": (visual_date_ladder, VISUAL_DATE_LADDER),
     "transliteration_fold": (transliteration_fold, TRANSLITERATION_FOLD),
