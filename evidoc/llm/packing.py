@@ -24,7 +24,6 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,8 +43,8 @@ CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Text that has one of these, or other white space than ASCII's, is not cut at each blank.
 UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x00")
 WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: What a byte-level pre-tokenizer cuts text into. Fixed value.
-PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: What a byte-level pre-tokenizer cuts ASCII text into. Fixed value.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -58,11 +57,12 @@ def byte_letters() -> dict[int, str]:
 
 
 class Memory(dict):
-    """Ids of chunks, in two generations: when the younger one is full it becomes the older one, and
-    what is not asked for again goes with that.
+    """Ids of chunks, in two generations: when the younger one is full, in whatever text, it becomes the
+    older one, and what is not asked for again goes with that.
 
-    A new chunk's parts are looked up before the tokenizer's model is asked for them. Tokenizers that
-    are not byte-level BPE without a prefix or normalizer are asked for whole chunks.
+    A new ASCII chunk's parts are looked up before the tokenizer's model is asked for them. What is a letter
+    beyond ASCII is left to the tokenizer's own pre-tokenizer, as versions of Unicode differ. Tokenizers
+    that are not byte-level BPE without a prefix or normalizer are asked for whole chunks.
     """
 
     def __init__(self, tokenizer):
@@ -77,9 +77,14 @@ class Memory(dict):
         if ids is None:
             if self.model is None:
                 ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            else:
+            elif chunk.isascii():
                 parts = self.parts(chunk)
-                ids = self.part(chunk) if len(parts) == 1 else b"".join(map(self.__getitem__, parts))
+                ids = self.part(chunk.translate(self.letters)) if len(parts) == 1 else b"".join(map(self.__getitem__, parts))
+            else:
+                ids = b"".join(self.part(word) for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk))
+        if len(self) >= REMEMBERED:
+            self.older = self.copy()
+            self.clear()
         self[chunk] = ids
         return ids
 
@@ -91,15 +96,11 @@ class Memory(dict):
             return [core] if len(core) == len(chunk) else [core, chunk[len(core) :]]
         return PARTS.findall(chunk)
 
-    def part(self, text: str) -> bytes:
-        found = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
+    def part(self, letters: str) -> bytes:
+        """The ids of a word in byte letters."""
+        found = self.model.tokenize(letters)
         return array("I", [t.id for t in found]).tobytes() if sys.byteorder == "little" else np.array([t.id for t in found], dtype="<u4").tobytes()
 
-    def age(self) -> None:
-        if len(self) > REMEMBERED:
-            self.older = self.copy()
-            self.clear()
-
 
 _memories: dict[str, Memory] = {}
 
@@ -130,7 +131,6 @@ class Encoder:
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
 
     def encode(self, text: str) -> bytes:
-        self.memory.age()
         if self.added and self.added.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return b"".join(map(self.memory.__getitem__, self.chunks(text))) if text else b""

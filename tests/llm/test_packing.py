@@ -46,6 +46,26 @@ def test_chunks_give_the_ids_of_whole_texts():
         assert encoder.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(text)
 
 
+def test_ids_of_code_points():
+    """The first scripts, those that versions of Unicode disagree on, and every seventh of what lies beyond."""
+    tokenizer, encoder = Tokenizer.from_file(PATH), packing.Encoder(PATH)
+    some = (*range(0x3400), *range(0xA700, 0xA800), *range(0x10D00, 0x12000), *range(0x16E00, 0x17000), *range(0x1C800, 0x1F000), *range(0x2E000, 0x34000, 3), *range(0x3400, 0x110000, 7))
+    chars = [chr(c) for c in some if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(chars), 20_000):
+        texts = [f"{c}'re a{c}b 1{c} {c}!" for c in chars[lo : lo + 20_000]]
+        for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert encoder.encode(text) == np.array(want.ids, dtype="<u4").tobytes(), ascii(text)
+
+
+def test_memory_is_bounded_within_a_text(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    monkeypatch.setattr(packing, "_memories", {})
+    encoder = packing.Encoder(PATH)
+    text = " ".join(f"word{k}é w{k}" for k in range(3000))
+    assert encoder.encode(text) == np.array(Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert len(encoder.memory) <= 41 and len(encoder.memory.older) <= 41
+
+
 def test_names_of_special_tokens_are_those_tokens():
     encoder = packing.Encoder(PATH)
     got = np.frombuffer(encoder.encode("a <|endoftext|> b"), dtype="<u4").tolist()
