@@ -24,6 +24,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +34,8 @@ from evidoc.llm.common import ROWS_PER_STEP, cut, values
 
 CAPACITY = 1024
 END_ID = 2
-#: Chunks of text in a generation of what a Python worker remembers the ids of (about 40 MB).
-REMEMBERED = 200_000
+#: Chunks of text in a generation of what a Python worker remembers the ids of (about 60 MB).
+REMEMBERED = 300_000
 
 #: White space as the tokenizer's pattern has it (Unicode White_Space).
 OTHER_SPACE = "\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -43,8 +44,10 @@ CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Text that has one of these, or other white space than ASCII's, is not cut at each blank.
 UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x00")
 WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: What a byte-level pre-tokenizer cuts ASCII text into. Fixed value.
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+#: What a byte-level pre-tokenizer cuts text into, for characters before ``SETTLED``: all versions of
+#: Unicode agree on them. Fixed value but for its white space, spelled out.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\t-\r \x85\xa0\p{L}\p{N}]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+")
+SETTLED = "\u0250"
 
 
 def byte_letters() -> dict[int, str]:
@@ -60,8 +63,8 @@ class Memory(dict):
     """Ids of chunks, in two generations: when the younger one is full, in whatever text, it becomes the
     older one, and what is not asked for again goes with that.
 
-    A new ASCII chunk's parts are looked up before the tokenizer's model is asked for them. What is a letter
-    beyond ASCII is left to the tokenizer's own pre-tokenizer, as versions of Unicode differ. Tokenizers
+    The parts of a new chunk of Latin letters are looked up before the tokenizer's model is asked for them.
+    What is a letter beyond is left to the tokenizer's own pre-tokenizer, as versions of Unicode differ. Tokenizers
     that are not byte-level BPE without a prefix or normalizer are asked for whole chunks.
     """
 
@@ -77,9 +80,9 @@ class Memory(dict):
         if ids is None:
             if self.model is None:
                 ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            elif chunk.isascii():
+            elif chunk.isascii() or max(chunk) < SETTLED:
                 parts = self.parts(chunk)
-                ids = self.part(chunk.translate(self.letters)) if len(parts) == 1 else b"".join(map(self.__getitem__, parts))
+                ids = self.part(chunk.encode().decode("latin-1").translate(self.letters)) if len(parts) == 1 else b"".join(map(self.__getitem__, parts))
             else:
                 ids = b"".join(self.part(word) for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk))
         if len(self) >= REMEMBERED:
