@@ -5,7 +5,7 @@ import __spark_entry__
 from evidoc.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations", "documents")
 
 
 @pytest.fixture(scope="module")
