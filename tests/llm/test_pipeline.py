@@ -60,7 +60,7 @@ def test_stages_keep_columns(spark, sf):
 def test_oracle(spark, name):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
     df = QUERIES[name](spark, folder)
     cols = ", ".join(f'"{c}"' for c in df.columns)
