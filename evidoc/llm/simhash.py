@@ -7,16 +7,19 @@ each segment with each one of its bits cleared (a one-wildcard variant), fingerp
 variant meet, and the full distance is verified.
 
 ``EXACT`` (64 bits of XXH64, 4-word shingles with repeats, up to 4 bits, 3 segments) misses no link: of
-4 differing bits some segment has at most one. ``NEAR`` is for texts whose sets of 5-word shingles have
-a Jaccard similarity of 0.8 or more: 128 bits, of which such texts differ in 19.4 or fewer on average,
-7 segments of 18 bits. There a link is found if some segment differs by at most one bit, which is
-likely, not certain; the README states the recall by similarity.
+4 differing bits some segment has at most one. ``NEAR`` finds candidates for texts whose sets of 5-word
+shingles have a Jaccard similarity of 0.8 or more: 192 bits, of which texts of exactly 0.8 differ in 29
+on average, 11 segments of 17 or 18 bits. A candidate is found if some segment differs by at most one
+bit, which is likely, not certain; the README states the recall by similarity. Candidates become
+links only if the similarity of their sets of shingles, which is then worked out, is 0.8 or more.
 
 Only distinct fingerprints are indexed, so copies cost nothing. Up to ``SMALL`` fingerprints under
 a variant are compared with each other, each pair under the first variant it shares; more of them are
 searched breadth first. Either way a variant gives a spanning forest, fewer links than fingerprints,
-each to the smallest fingerprint of its tree, so groups of near copies do not give their pairs. Beyond ``LARGE`` they are cut into blocks, and each pair of
-blocks is such a group of its own.
+so groups of near copies do not give their pairs: under ``EXACT`` each to the smallest fingerprint of its
+tree, under ``NEAR`` those of least distance, as every link is to be verified and the closest texts are
+the likeliest to pass. Beyond ``LARGE`` they are cut into blocks, and each pair of blocks is such a group
+of its own.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other;
 texts of fewer words than a shingle have their whole word sequence as the one shingle; a repeated
@@ -45,12 +48,14 @@ SMALL, LARGE = 256, 20_000
 
 @dataclass(frozen=True)
 class Scheme:
-    """How texts become fingerprints of one or two 64-bit words, and which of these are linked."""
+    """How texts become fingerprints of some 64-bit words, and which of these are linked: in stars, or
+    by trees of least distance (``nearest``)."""
 
     words: int
     shingle: int
     bits: int
     segments: tuple[tuple[tuple[int, int, int], ...], ...]  # pieces (word, lowest bit, width) of each
+    nearest: bool = False
 
     def widths(self) -> list[int]:
         return [sum(w for _, _, w in own) for own in self.segments]
@@ -66,7 +71,11 @@ def cut_up(words: int, count: int) -> tuple[tuple[tuple[int, int, int], ...], ..
 
 
 EXACT = Scheme(1, 4, 4, cut_up(1, 3))
-NEAR = Scheme(2, 5, 20, cut_up(2, 7))
+NEAR = Scheme(3, 5, 44, cut_up(3, 11), nearest=True)
+#: The least similarity of near copies, as a fraction.
+SIMILAR = (4, 5)
+#: Edge-disjoint forests of least distance that a small group gives.
+FORESTS = 2
 
 
 def shingle_hashes(text: bytes | None, shingle: int) -> list[int]:
@@ -93,7 +102,7 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def second(h: np.ndarray) -> np.ndarray:
-    """Another 64 bits for each hash: two rounds of multiply and fold."""
+    """Another 64 bits for each hash or its last ones: two rounds of multiply and fold."""
     for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
         h = h * np.uint64(odd)
         h = h ^ (h >> np.uint64(32))
@@ -107,14 +116,18 @@ def fingerprint(text: bytes | None, scheme: Scheme = EXACT) -> tuple[int, ...]:
     if scheme.words == 1:
         return (majority(hashes),)
     hashes = np.unique(hashes)
-    return majority(hashes), majority(second(hashes))
+    out = [majority(hashes)]
+    for _ in range(scheme.words - 1):
+        hashes = second(hashes)
+        out.append(majority(hashes))
+    return tuple(out)
 
 
-WORDS = ("w0", "w1")
+WORDS = ("w0", "w1", "w2")
 
 
 def fingerprints(docs: DataFrame, keep: list[str], scheme: Scheme = EXACT, text: str = "text") -> DataFrame:
-    """Columns ``keep`` of every document and its fingerprint ``fp``: a long, or a struct of two."""
+    """Columns ``keep`` of every document and its fingerprint ``fp``: a long, or a struct of longs."""
     names = [fresh(keep, n) for n in WORDS[: scheme.words]]
 
     def make():
@@ -189,6 +202,58 @@ def forest(fps: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarra
     return a, b
 
 
+def nearest_tree(fps: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links of a spanning forest of least distances, grown node by node."""
+    left, place = fps[1:].copy(), np.arange(1, len(fps))
+    best, by = np.full(len(left), 64 * fps.shape[1] + 1), np.zeros(len(left), dtype=np.int64)
+    own, a, b = 0, [], []
+    for n in range(len(left), 0, -1):
+        far = distance(left[:n] ^ fps[own])
+        closer = np.flatnonzero(far < best[:n])
+        best[closer], by[closer] = far[closer], own
+        k = int(best[:n].argmin())
+        own = int(place[k])
+        if best[k] <= bits:
+            a.append(by[k])
+            b.append(own)
+        for column in (left, place, best, by):
+            column[k] = column[n - 1]
+    return ([fps[a]], [fps[b]]) if a else ([], [])
+
+
+def joined(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of ``n`` nodes that links reach from each."""
+    first = np.arange(n)
+    while True:
+        before = first.copy()
+        np.minimum.at(first, high, first[low])
+        np.minimum.at(first, low, first[high])
+        first = first[first]
+        if (first == before).all():
+            return first
+
+
+def nearest_forests(low: np.ndarray, high: np.ndarray, far: np.ndarray, n: int) -> np.ndarray:
+    """Which of the pairs make forests of least distance: each tree takes its shortest pair to another
+    until none is left, and each further forest is made of pairs that earlier ones have not."""
+    taken = np.zeros(len(low), dtype=bool)
+    order = np.argsort(far, kind="stable")
+    for _ in range(FORESTS):
+        open_ = order[~taken[order]]
+        root, mine = np.arange(n), np.zeros(len(low), dtype=bool)
+        while True:
+            open_ = open_[root[low[open_]] != root[high[open_]]]
+            if not len(open_):
+                break
+            first = np.full(n, len(open_))
+            for side in (low, high):
+                np.minimum.at(first, root[side[open_]], np.arange(len(open_)))
+            mine[open_[np.unique(first[first < len(open_)])]] = True
+            root = joined(low[mine], high[mine], n)
+        taken |= mine
+    return np.flatnonzero(taken)
+
+
 def _links(sorted_rows: DataFrame, scheme: Scheme, large: int | None) -> DataFrame:
     """Links of rows (key, bit, fp) that come sorted by key and fp. A group of over ``large`` gives a row
     with its key and size instead."""
@@ -198,28 +263,27 @@ def _links(sorted_rows: DataFrame, scheme: Scheme, large: int | None) -> DataFra
 
     def pairs(key, bit, fp):
         """Links of small groups: all pairs are compared, and of each tree they make every node is
-        linked to the first, so a group never gives more links than it has rows."""
-        a, b = [], []
+        linked to the first, or the closest pairs are taken, so a group never gives more links than
+        it has rows (in each forest)."""
+        a, b, d = [], [], []
         for lag in range(1, SMALL):
             same = np.flatnonzero(key[lag:] == key[:-lag]) if len(key) > lag else ()
             if not len(same):
                 break
             x = fp[same] ^ fp[same + lag]
-            ok = distance(x) <= scheme.bits
+            far = distance(x)
+            ok = far <= scheme.bits
             ok[ok] = first_shared(x[ok], bit[same][ok], scheme)
             a.append(same[ok])
             b.append(same[ok] + lag)
+            d.append(far[ok])
         if not sum(map(len, a)):
             return [], []
         low, high = np.concatenate(a), np.concatenate(b)
-        first = np.arange(len(key))
-        while True:
-            before = first.copy()
-            np.minimum.at(first, high, first[low])
-            np.minimum.at(first, low, first[high])
-            first = first[first]
-            if (first == before).all():
-                break
+        if scheme.nearest:
+            own = nearest_forests(low, high, np.concatenate(d), len(key))
+            return [fp[low[own]]], [fp[high[own]]]
+        first = joined(low, high, len(key))
         own = np.flatnonzero(first != np.arange(len(key)))
         return [fp[first[own]]], [fp[own]]
 
@@ -244,7 +308,7 @@ def _links(sorted_rows: DataFrame, scheme: Scheme, large: int | None) -> DataFra
             if large is not None and e - s > large:
                 yield batch([], [], [int(key[s])], [int(e - s)])
             else:
-                yield batch(*forest(fp[s:e], scheme.bits))
+                yield batch(*(nearest_tree if scheme.nearest else forest)(fp[s:e], scheme.bits))
         yield batch(*pairs(key[keep], bit[keep], fp[keep]))
 
     def run(batches):
@@ -320,17 +384,57 @@ def report(docs: DataFrame) -> DataFrame:
     return group(docs, ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_sets(rows: DataFrame, keep: list[str], scheme: Scheme) -> DataFrame:
+    """Columns ``keep`` and ``shingles``, the distinct hashes of a text's shingles."""
+
+    def make():
+        return lambda texts: [[np.unique(np.array(shingle_hashes(t, scheme.shingle), dtype=np.uint64)).view(np.int64) for t in texts]]
+
+    return per_row(rows, keep, ["text"], [("shingles", T.ArrayType(T.LongType()))], make)
+
+
+def verified(candidates: DataFrame, texts: DataFrame, nodes: DataFrame, scheme: Scheme = NEAR) -> DataFrame:
+    """The candidates ``a``, ``b`` (fingerprints) whose texts have a similarity of ``SIMILAR`` or more.
+    ``texts`` has ``key`` and ``text``, ``nodes`` the key of one text of each fingerprint ``fp``. Only
+    texts with a candidate are shuffled."""
+    ends = candidates.select(F.col("a").alias("fp")).union(candidates.select("b")).distinct()
+    wanted = nodes.join(ends, "fp", "left_semi")
+    own = texts.join(wanted, "key").dropDuplicates(["key"])
+    sets = cut(shingle_sets(own, ["fp"], scheme))
+    side = lambda end: sets.select(F.col("fp").alias(end), F.col("shingles").alias(f"s{end}"))
+    rows = candidates.distinct().join(side("a"), "a").join(side("b"), "b")
+    least, of = SIMILAR
+    low, both = F.least(F.size("sa"), F.size("sb")), F.size("sa") + F.size("sb")
+    # common / (both - common) >= least / of; the smaller set bounds what is common
+    can = low * (least + of) >= both * least
+    return rows.filter(can & (F.size(F.array_intersect("sa", "sb")) * (least + of) >= both * least)).select("a", "b")
+
+
+def near_roots(docs: DataFrame, scheme: Scheme = NEAR) -> DataFrame:
+    """``fp``, ``first`` (the order and key of its first row) and ``root`` of each distinct fingerprint.
+
+    Texts of equal fingerprints are one node, shown by its first text: 192 bits agree by chance only
+    where hardly a shingle differs (for a similarity of 0.8 once in some 10^13 pairs).
+    """
+    texts = docs.select("doc_id", "text", row_key().alias("key"))
+    marked = fingerprints(texts, ["doc_id", "key"], scheme)
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
+    nodes = cut(marked.groupBy("fp").agg(F.min(order).alias("first")))
+    near = verified(cut(links(nodes.select("fp"), scheme)), texts.select("key", "text"), nodes.select("fp", "first.key"), scheme)
+    roots = components(near, "a", "b")
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select(nodes["fp"], "first", F.coalesce("root", "fp").alias("root"))
+
+
 def deduplicate(docs: DataFrame, scheme: Scheme = NEAR) -> DataFrame:
     """One document, with all columns, of each component: that of the smallest doc_id (none comes
     last), and of several texts under that id the one of the smallest digest.
 
     An id names no text by itself: rows of different texts under one id, or without ids, stay or go
-    by their own components. Rows of the same id and text are one document.
+    by their own components. Rows of the same id and text are one document. Every document that goes
+    has a text of similarity 0.8 or more in its component.
     """
     keep = list(docs.columns)
-    marked = fingerprints(docs.select("doc_id", "text", row_key().alias("key")), ["doc_id", "key"], scheme)
-    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
-    named = rooted(cut(marked.groupBy("fp").agg(F.min(order).alias("first"))), scheme)
+    named = near_roots(docs, scheme)
     name, own = fresh(keep, "__kept"), fresh(keep, "__row")
     chosen = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias(name))
 

@@ -7,7 +7,7 @@ from evidoc.llm import decontam, langid, packing, simhash, toxicity
 from evidoc.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 from tests.llm.conftest import prose
 from tests.llm.test_decontam import words
-from tests.llm.test_simhash import naive_near, near_roots
+from tests.llm.test_simhash import near_roots
 
 
 def test_pipeline_equals_its_parts_by_brute_force(spark, sf):
@@ -20,7 +20,7 @@ def test_pipeline_equals_its_parts_by_brute_force(spark, sf):
     left = spark.createDataFrame(list(rows.values()), docs.schema)
     parser = langid.learn(left)
     rows = {k: r for k, r in rows.items() if parser.predict([r["text"]])[2][0] >= langid.MIN_PHRASE}
-    roots = near_roots(sorted((k, naive_near(r["text"])) for k, r in rows.items()))
+    roots = near_roots(sorted((k, r["text"]) for k, r in rows.items()))
     rows = {k: r for k, r in rows.items() if roots[k] == k}
     windows = {tuple(w[i : i + min(10, len(w))]) for w in (words(t) for _, t in items) if w for i in range(max(1, len(w) - 9))}
     hit = lambda w: any(tuple(w[i : i + m]) in windows for m in {len(x) for x in windows} for i in range(len(w) - m + 1))
