@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -88,6 +90,23 @@ def fresh(taken: Sequence[str], base: str) -> str:
     return name
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run``, after which a worker gives the memory that it no longer uses back to the system. Workers
+    live on between tasks, and what one stage had needed would else count beside the next one's."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def per_row(
     df: DataFrame,
     keep: Sequence[str],
@@ -118,7 +137,7 @@ def per_row(
                 cols += [pa.array(v, type=k) for v, k in zip(out, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *new])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(released(run), schema)
 
 
 def values(col: pa.Array) -> list:

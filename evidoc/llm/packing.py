@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidoc.llm import ranks
-from evidoc.llm.common import ROWS_PER_STEP, cut, values
+from evidoc.llm.common import ROWS_PER_STEP, cut, released, values
 
 CAPACITY = 1024
 END_ID = 2
@@ -181,7 +181,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
                     cols.append(pa.array(ids, type=pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), schema)
 
 
 # --- the plan: patterns, least squares, rounding, residuals -----------------------------------
@@ -400,7 +400,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
             own = [b.column(b.schema.get_field_index(c)) for c in PIECES.names]
             yield pa.RecordBatch.from_arrays([*own, *map(pa.array, places.look_up(length, rank))], names=schema.names)
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(released(run), schema)
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:

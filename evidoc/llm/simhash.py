@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidoc.llm.common import cut, fresh, join_counted, per_row, row_key, signed
+from evidoc.llm.common import cut, fresh, join_counted, per_row, released, row_key, signed
 from evidoc.llm.components import components
 
 SEED = 42
@@ -337,7 +337,7 @@ def _links(sorted_rows: DataFrame, scheme: Scheme, large: int | None) -> DataFra
             else:
                 yield from groups(*rest)
 
-    made = sorted_rows.select("key", "bit", *[word(F.col("fp"), scheme, k).alias(n) for k, n in enumerate(names)]).mapInArrow(run, schema)
+    made = sorted_rows.select("key", "bit", *[word(F.col("fp"), scheme, k).alias(n) for k, n in enumerate(names)]).mapInArrow(released(run), schema)
     fp = lambda side: (F.struct(*[F.col(f"{side}{n}").alias(n) for n in names]) if scheme.words > 1 else F.col(f"{side}w0")).alias(side)
     return made.select(fp("a"), fp("b"), "key", "n")
 

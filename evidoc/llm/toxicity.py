@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidoc.llm.common import WORD_BYTES, cut, fresh, per_row
+from evidoc.llm.common import WORD_BYTES, cut, fresh, per_row, released
 
 SAMPLE = 8_000
 FEATURES = 4_096
@@ -174,7 +174,7 @@ def counted(rows: DataFrame, names: tuple[str, ...], folds: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(cols, names=["token", "fold", *names])
 
     schema = T.StructType([T.StructField("token", T.BinaryType()), T.StructField("fold", T.IntegerType())] + [T.StructField(n, T.IntegerType()) for n in names])
-    each = rows.select(*[f"`{n}`" for n in names], "text").mapInArrow(run, schema)
+    each = rows.select(*[f"`{n}`" for n in names], "text").mapInArrow(released(run), schema)
     sums = []
     for k in range(folds):
         sums.append(F.count_if(F.col("fold") == k).alias(f"n{k}"))
@@ -240,7 +240,7 @@ def numbered(rows: DataFrame, names: tuple[str, ...], features: int, folds: int)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=["doc_id", *names, "features", "fold"])
 
     schema = T.StructType([rows.schema[n] for n in ("doc_id", *names)] + [T.StructField("features", T.ArrayType(T.IntegerType())), T.StructField("fold", T.IntegerType())])
-    got = rows.select("doc_id", *[f"`{n}`" for n in names], "text").mapInArrow(run, schema).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    got = rows.select("doc_id", *[f"`{n}`" for n in names], "text").mapInArrow(released(run), schema).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     labels = np.array([[r[n] for n in names] for r in got], dtype=float).reshape(len(got), len(names))
     return Sample([np.array(r["features"], dtype=np.int32) for r in got], labels, np.array([r["fold"] for r in got], dtype=np.int64), chosen), order
 
@@ -270,7 +270,7 @@ def train(rows: DataFrame, names: tuple[str, ...], features: int = FEATURES, fol
                     m, p = trained(shared.value, k, category, earlier)
                     yield pa.RecordBatch.from_pydict({"k": [k], "words": [m.words], "chain": [m.chain], "bias": [m.bias], "p": [p]})
 
-        fits = spark.range(0, folds + 1, 1, folds + 1).mapInArrow(run, "k long, words array<double>, chain array<double>, bias double, p array<double>")
+        fits = spark.range(0, folds + 1, 1, folds + 1).mapInArrow(released(run), "k long, words array<double>, chain array<double>, bias double, p array<double>")
         out_of_fold = np.zeros(len(sample.rows))
         for r in fits.collect():
             if r["k"] < folds:
