@@ -2,21 +2,22 @@
 
 Input is a table of text boxes: ``doc_id``, ``ord`` (the reader's order, which decides ties),
 ``text``, ``confidence``, ``x1``, ``y1``, ``x2``, ``y2`` and the page's ``width`` and ``height``.
-All joins and windows are by ``doc_id``; no document is gathered anywhere else.
+All joins and windows are by ``doc_id``; no document is gathered anywhere else. What needs a page as a
+whole (values next to labels, all fields) shuffles the boxes once, by document, and works on one array
+of boxes a page.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidoc.functions.refdata import LABELS, SEX_TOKENS
 from evidoc.functions.text import caseless, let, literal_map, sql_literal, visual_date
 from evidoc.operators.labels import with_matches
-from evidoc.storage import cut
 
 #: Labels by field, or a label table's index.
 Labels = Mapping[str, Sequence[str]] | DataFrame
@@ -25,6 +26,10 @@ Labels = Mapping[str, Sequence[str]] | DataFrame
 NUMBER = r"^(?=[A-Z0-9]{6,12}$)(?=.*[0-9])[A-Z0-9]+$"
 NAME_LETTER = "[A-Za-zÀ-ÖÙ-öù-üÇçĞğİıÖöŞşÜü]"
 DATES = ("date_of_birth", "date_of_issue", "date_of_expiry")
+#: Columns of a marked box.
+BOX = ("ord", "text", "confidence", "x1", "y1", "x2", "y2", "width", "height", "m", "label")
+#: Of a value box and its label box, what a chain of values needs.
+PLACE = ("ord", "x1", "x2", "y1", "y2", "l_y1", "l_y2")
 
 
 def with_bounds(boxes: DataFrame, box: str = "box") -> DataFrame:
@@ -129,16 +134,15 @@ def accepted(df: DataFrame, keep: Sequence[str], field: Column, raw: Column) ->
 def inline_values(boxes: DataFrame, labels: Labels = LABELS) -> DataFrame:
     """doc_id, field, value, confidence: values between a label and the next one in the same box. Of
     repeated fields the last wins."""
-    return _inline(marked(boxes, labels))
+    last = F.max_by(F.struct("value", "confidence"), F.struct("ord", "k"))
+    return _inline(marked(boxes, labels)).groupBy("doc_id", "field").agg(last.alias("v")).select("doc_id", "field", "v.*")
 
 
 def _inline(rows: DataFrame) -> DataFrame:
     each = rows.select("doc_id", "ord", "text", "confidence", "m", F.posexplode("m").alias("k", "own"))
     following = F.coalesce(F.get("m", F.col("k") + 1)["start"], F.length("text"))
     raw = F.substr(F.col("text"), F.col("own.stop") + 1, following - F.col("own.stop"))
-    values = accepted(each, ["doc_id", "ord", "k", "confidence"], F.col("own.field"), raw)
-    last = F.max_by(F.struct("value", "confidence"), F.struct("ord", "k"))
-    return values.groupBy("doc_id", "field").agg(last.alias("v")).select("doc_id", "field", "v.*")
+    return accepted(each, ["doc_id", "ord", "k", "confidence"], F.col("own.field"), raw)
 
 
 def adjacent_candidates(marked_boxes: DataFrame) -> DataFrame:
@@ -149,34 +153,48 @@ def adjacent_candidates(marked_boxes: DataFrame) -> DataFrame:
         "doc_id", F.col("label").alias("field"), F.col("ord").alias("l_ord"), *[F.col(c).alias(f"l_{c}") for c in ("x1", "y1", "x2", "y2")], "width", "height"
     )
     values = rows.filter("label is null").select("doc_id", "ord", "text", "confidence", "x1", "y1", "x2", "y2")
-    col = F.col
-    high, wide = col("l_y2") - col("l_y1"), col("l_x2") - col("l_x1")
-    drop, shift, gap = col("y1") - col("l_y2"), F.abs(col("x1") - col("l_x1")), col("x1") - col("l_x2")
-    over_x = F.least(col("l_x2"), col("x2")) - F.greatest(col("l_x1"), col("x1"))
-    over_y = F.least(col("l_y2"), col("y2")) - F.greatest(col("l_y1"), col("y1"))
-    below = drop.between(0, F.greatest(high * 3.0, col("height") * 0.06)) & ((over_x > 0) | (shift < F.greatest(F.lit(80.0), col("width") * 0.06)))
-    right = gap.between(0, F.greatest(wide * 1.5, col("width") * 0.15)) & (F.greatest(F.lit(0), over_y) > high * 0.3)
-    page = F.greatest(F.lit(1), col("width"))
-    score_below = 0.7 / (1.0 + drop / F.greatest(F.lit(1), high)) + 0.3 / (1.0 + shift / page * 10)
-    score_right = 0.9 / (1.0 + gap / page * 20)
-    pairs = anchors.join(values, "doc_id").filter(below | right)
-    ways = F.array(F.struct(F.lit(0).alias("way"), F.when(below, score_below).alias("score")), F.struct(F.lit(1).alias("way"), F.when(right, score_right).alias("score")))
+    return near(anchors.join(values, "doc_id"))
+
+
+def beside(label: Callable[[str], Column], value: Callable[[str], Column]) -> Column:
+    """Two structs of ``way`` (0: the value box is below the label box, 1: right of it) and ``score``, which is
+    null where it is not. The functions give a box's columns."""
+    high, wide = label("y2") - label("y1"), label("x2") - label("x1")
+    drop, shift, gap = value("y1") - label("y2"), F.abs(value("x1") - label("x1")), value("x1") - label("x2")
+    over_x = F.least(label("x2"), value("x2")) - F.greatest(label("x1"), value("x1"))
+    over_y = F.least(label("y2"), value("y2")) - F.greatest(label("y1"), value("y1"))
+    below = drop.between(0, F.greatest(high * 3.0, label("height") * 0.06)) & ((over_x > 0) | (shift < F.greatest(F.lit(80.0), label("width") * 0.06)))
+    right = gap.between(0, F.greatest(wide * 1.5, label("width") * 0.15)) & (F.greatest(F.lit(0), over_y) > high * 0.3)
+    score_below = 0.7 / (1.0 + drop / F.greatest(F.lit(1), high)) + 0.3 / (1.0 + shift / F.greatest(F.lit(1), label("width")) * 10)
+    score_right = 0.9 / (1.0 + gap / F.greatest(F.lit(1), label("width")) * 20)
+    return F.array(F.struct(F.lit(0).alias("way"), F.when(below, score_below).alias("score")), F.struct(F.lit(1).alias("way"), F.when(right, score_right).alias("score")))
+
+
+def near(pairs: DataFrame) -> DataFrame:
+    """The pairs of a label box (columns l_*) and a value box that lie below or right of each other, with
+    the ``way`` and its score; a pair may be both."""
+    ways = beside(lambda c: F.col(f"l_{c}" if c not in ("width", "height") else c), F.col)
     return pairs.select("*", F.inline(ways)).filter("score is not null")
 
 
-def neighbours(candidates: DataFrame, marked_boxes: DataFrame) -> DataFrame:
-    """Per candidate the boxes right of it on its line that no other field's column claims, chained
-    while gaps are small: appends ``value`` and ``joined_confidence``."""
-    anchors = marked_boxes.filter("label is not null").select("doc_id", F.struct(F.col("label").alias("field"), "x1", "y1").alias("a"))
-    values = marked_boxes.filter("label is null").select("doc_id", F.struct("x1", "ord", "x2", "y1", "y2", "text", "confidence").alias("v"))
-    page = values.groupBy("doc_id").agg(F.array_sort(F.collect_list("v")).alias("__values"))  # the boxes of one page
-    heads = anchors.groupBy("doc_id").agg(F.collect_list("a").alias("__heads"))
-    rows = candidates.join(page, "doc_id").join(heads, "doc_id")
+def pages(marked_boxes: DataFrame) -> DataFrame:
+    """doc_id, ``__heads`` (its boxes with a label) and ``__values`` (the others, from left to right): a row a
+    page, by one shuffle."""
+    box = lambda *names: F.struct(*names, *[n for n in BOX if n not in names])
+    head = F.when(F.col("label").isNotNull(), box("ord"))
+    value = F.when(F.col("label").isNull(), box("x1", "ord"))
+    return marked_boxes.groupBy("doc_id").agg(F.collect_list(head).alias("__heads"), F.array_sort(F.collect_list(value)).alias("__values"))
+
+
+def chained(rows: DataFrame) -> DataFrame:
+    """Per pair of a label and a value box the boxes of the page right of the latter on its line that no
+    other field's column claims, chained while gaps are small: appends ``chain``, their texts and mean
+    confidence."""
     line_high, middle = F.col("y2") - F.col("y1"), (F.col("y1") + F.col("y2")) / 2.0
     label_high = F.greatest(F.lit(1), F.col("l_y2") - F.col("l_y1"))
     claimed = lambda v: F.exists(
         F.col("__heads"),
-        lambda a: (a["field"] != F.col("field")) & (a["x1"] > F.col("x1")) & (a["x1"] <= v["x1"]) & (F.abs(a["y1"] - F.col("l_y1")) < label_high),
+        lambda a: (a["label"] != F.col("of")) & (a["x1"] > F.col("x1")) & (a["x1"] <= v["x1"]) & (F.abs(a["y1"] - F.col("l_y1")) < label_high),
     )
     free = F.filter(
         F.col("__values"),
@@ -193,53 +211,81 @@ def neighbours(candidates: DataFrame, marked_boxes: DataFrame) -> DataFrame:
         over = F.struct(s["text"].alias("text"), s["total"].alias("total"), s["n"].alias("n"), s["right"].alias("right"), F.lit(True).alias("stop"))
         return F.when(near, take).otherwise(over)
 
-    end = F.aggregate(free, start, chain, lambda s: F.struct(F.trim(s["text"]).alias("value"), (s["total"] / s["n"]).alias("joined_confidence")))
-    return rows.select(*candidates.columns, F.inline(F.array(end)))  # generated, so it is folded once
+    end = F.aggregate(free, start, chain, lambda s: F.struct(F.trim(s["text"]).alias("chain"), (s["total"] / s["n"]).alias("joined_confidence")))
+    kept = [c for c in rows.columns if c not in ("__values", "__heads")]
+    return rows.select(*kept, F.inline(F.array(end)))  # generated, so it is folded once
 
 
 def adjacent_values(boxes: DataFrame, labels: Labels = LABELS) -> DataFrame:
     """doc_id, field, value, confidence: per field the best acceptable value next to its labels, the
     first label first."""
-    return _adjacent(marked(boxes, labels))
+    # the first label, its best box, the first of equals
+    order = F.struct("l_ord", (-F.col("score")).alias("score"), "ord", "way")
+    best = F.min_by(F.struct("value", F.col("joined_confidence").alias("confidence")), order)
+    return _adjacent(pages(marked(boxes, labels))).groupBy("doc_id", "field").agg(best.alias("v")).select("doc_id", "field", "v.*")
+
+
+def _adjacent(page: DataFrame) -> DataFrame:
+    heads = page.select("doc_id", "__heads", "__values", F.explode("__heads").alias("l"))
+    pairs = heads.select("doc_id", "__heads", "__values", "l", F.explode("__values").alias("v"))
+    sides = [F.col(f"l.{c}").alias(f"l_{c}") for c in ("ord", "x1", "y1", "x2", "y2")] + [F.col(f"v.{c}") for c in ("ord", "text", "confidence", "x1", "y1", "x2", "y2")]
+    found = chained(near(pairs.select("doc_id", "__heads", "__values", F.col("l.label").alias("of"), "l.width", "l.height", *sides)))
+    return accepted(found, ["doc_id", "l_ord", "score", "ord", "way", "joined_confidence"], F.col("of"), F.col("chain"))
 
 
-def _adjacent(rows: DataFrame) -> DataFrame:
-    found = neighbours(adjacent_candidates(rows), rows).withColumnRenamed("field", "of")
-    found = accepted(found, ["doc_id", "l_ord", "score", "ord", "way", "joined_confidence"], F.col("of"), F.col("value"))
-    order = Window.partitionBy("doc_id", "field").orderBy("l_ord", F.desc("score"), "ord", "way")
-    best = found.withColumn("__k", F.row_number().over(order)).filter("__k = 1")
-    return best.select("doc_id", "field", "value", F.col("joined_confidence").alias("confidence"))
+def number_shape(text: Column) -> tuple[Column, Column, Column]:
+    """A text without blanks, whether it is a typical document number, and whether it could be one."""
+    bare = F.replace(F.trim(text), F.lit(" "), F.lit(""))
+    return bare, bare.rlike("^[A-Z]{1,2}[0-9]{6,9}$"), bare.rlike("^[A-Z0-9]{8,10}$") & bare.rlike("[0-9]") & bare.rlike("[A-Z]")
 
 
 def standalone_numbers(boxes: DataFrame, labels: Labels = LABELS) -> DataFrame:
     """doc_id, field, value, confidence: the first value box that looks like a document number; for
     a generic shape at nine tenths of its confidence."""
-    return _standalone(marked(boxes, labels))
+    first = _standalone(marked(boxes, labels)).groupBy("doc_id", "field").agg(F.min_by(F.struct("value", "confidence"), "ord").alias("v"))
+    return first.select("doc_id", "field", "v.*")
 
 
 def _standalone(boxes: DataFrame) -> DataFrame:
-    text = F.replace(F.trim("text"), F.lit(" "), F.lit(""))
-    typical = text.rlike("^[A-Z]{1,2}[0-9]{6,9}$")
-    generic = text.rlike("^[A-Z0-9]{8,10}$") & text.rlike("[0-9]") & text.rlike("[A-Z]")
+    text, typical, generic = number_shape(F.col("text"))
     rows = boxes.filter("label is null").filter(typical | generic)
-    own = F.struct(text.alias("value"), F.when(typical, F.col("confidence")).otherwise(F.col("confidence") * 0.9).alias("confidence"))
-    first = rows.groupBy("doc_id").agg(F.min_by(own, "ord").alias("v"))
-    return first.select("doc_id", F.lit("passport_number").alias("field"), "v.*")
+    sure = F.when(typical, F.col("confidence")).otherwise(F.col("confidence") * 0.9)
+    return rows.select("doc_id", F.lit("passport_number").alias("field"), text.alias("value"), sure.alias("confidence"), "ord")
 
 
 def extract(boxes: DataFrame, labels: Labels = LABELS) -> DataFrame:
     """doc_id, field, value, confidence of all visual fields: values in label boxes first, then those
     next to labels, then a number that stands alone.
 
-    The boxes are dealt by document, marked once and written to the shared folder; all three ways read
-    them there.
+    Boxes are marked where they are read and shuffled once, by document; all three ways work on the
+    page's array.
     """
-    page = boxes.select("doc_id", "ord", "text", "confidence", "x1", "y1", "x2", "y2", "width", "height").repartition("doc_id")
-    rows = cut(marked(page, labels))
-    ways = [_inline(rows), _adjacent(rows), _standalone(rows)]
-    found = None
-    for k, way in enumerate(ways):
-        own = way.withColumn("__way", F.lit(k))
-        found = own if found is None else found.unionByName(own)
-    best = found.groupBy("doc_id", "field").agg(F.min_by(F.struct("value", "confidence"), "__way").alias("v"))
-    return best.select("doc_id", "field", "v.*")
+    page = pages(marked(boxes, labels))
+    chance = lambda of, text, sure, by, order, place: F.struct(
+        of.alias("of"), text.alias("text"), sure.alias("confidence"),
+        F.struct(F.lit(by).alias("by"), *[F.coalesce(o.cast("double"), F.lit(0.0)).alias(f"o{k}") for k, o in enumerate(order)]).alias("key"),
+        *[(place[c] if place else F.lit(None)).cast("long").alias(c) for c in PLACE],
+    )
+    none = F.lit(0.0)
+
+    def inside(b: Column) -> Column:
+        following = lambda k: F.coalesce(F.get(b["m"], k + 1)["start"], F.length(b["text"]))
+        raw = lambda x, k: F.substr(b["text"], x["stop"] + 1, following(k) - x["stop"])
+        return F.transform(b["m"], lambda x, k: chance(x["field"], raw(x, k), b["confidence"], 0, (-b["ord"], -k, none, none), None))
+
+    def next_to(b: Column) -> Column:
+        place = lambda v: {c: b[c[2:]] if c.startswith("l_") else v[c] for c in PLACE}
+        ways = lambda v: F.filter(beside(b.__getitem__, v.__getitem__), lambda w: w["score"].isNotNull())
+        one = lambda v: F.transform(ways(v), lambda w: chance(b["label"], v["text"], v["confidence"], 1, (b["ord"], -w["score"], v["ord"], w["way"]), place(v)))
+        return F.flatten(F.transform("__values", one))
+
+    def alone(v: Column) -> Column:
+        text, typical, generic = number_shape(v["text"])
+        sure = F.when(typical, v["confidence"]).otherwise(v["confidence"] * 0.9)
+        return F.when(typical | generic, F.array(chance(F.lit("passport_number"), text, sure, 2, (v["ord"], none, none, none), None))).otherwise(F.array())
+
+    all_ = F.concat(F.flatten(F.transform("__heads", inside)), F.flatten(F.transform("__heads", next_to)), F.flatten(F.transform("__values", alone)))
+    rows = chained(page.select("doc_id", "__heads", "__values", F.inline(all_)))  # without a place, nothing is chained
+    found = accepted(rows, ["doc_id", "key", "joined_confidence"], F.col("of"), F.col("chain"))
+    best = F.min_by(F.struct("value", F.col("joined_confidence").alias("confidence")), "key")
+    return found.groupBy("doc_id", "field").agg(best.alias("v")).select("doc_id", "field", "v.*")
