@@ -90,19 +90,36 @@ def fresh(taken: Sequence[str], base: str) -> str:
     return name
 
 
-def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+#: What Python workers remember from task to task; dealt with below by name, so that no closure carries it.
+CACHES: list[dict] = []
+
+
+def forget() -> None:
+    for cache in CACHES:
+        cache.clear()
+
+
+def give_back() -> None:
+    """Return memory that is no longer used to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], remembers: bool = False) -> Callable:
     """``run``, after which a worker gives the memory that it no longer uses back to the system. Workers
-    live on between tasks, and what one stage had needed would else count beside the next one's."""
+    live on between tasks, and what one stage had needed would else count beside the next one's; so a
+    task that does not use what earlier ones remembered (``remembers``) drops it."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not remembers:
+            forget()
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-            if trim:
-                trim(0)
+            give_back()
 
     return wrapped
 

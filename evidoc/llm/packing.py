@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidoc.llm import ranks
-from evidoc.llm.common import ROWS_PER_STEP, cut, released, values
+from evidoc.llm.common import CACHES, ROWS_PER_STEP, cut, released, values
 
 CAPACITY = 1024
 END_ID = 2
@@ -106,6 +106,7 @@ class Memory(dict):
 
 
 _memories: dict[str, Memory] = {}
+CACHES.append(_memories)
 
 
 class Encoder:
@@ -113,7 +114,7 @@ class Encoder:
 
     The byte-level pre-tokenizer never joins a non-space to a space after it, so a text's ids are
     those of its chunks (white space and the word behind it) in turn; chunks that came before are
-    remembered for as long as the Python worker lives. A text that has the name of one of the
+    remembered until the Python worker gets a task of something else. A text that has the name of one of the
     tokenizer's added tokens goes to the tokenizer whole.
     """
 
@@ -181,7 +182,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
                     cols.append(pa.array(ids, type=pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run, remembers=True), schema)
 
 
 # --- the plan: patterns, least squares, rounding, residuals -----------------------------------
@@ -400,7 +401,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
             own = [b.column(b.schema.get_field_index(c)) for c in PIECES.names]
             yield pa.RecordBatch.from_arrays([*own, *map(pa.array, places.look_up(length, rank))], names=schema.names)
 
-    return ranked.mapInArrow(released(run), schema)
+    return ranked.mapInArrow(released(run, remembers=True), schema)
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
