@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows handled at once inside a Python task; bounds what one step of a task holds.
-ROWS_PER_STEP = 512
+ROWS_PER_STEP = 256
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
