@@ -45,6 +45,8 @@ BLOCK = 256
 #: Characters that a task parses side by side, which bounds the arrays that it holds.
 AT_ONCE = 1 << 19
 PIECE, WINDOW = 192, 8
+#: Free slots that are tried for a state's transitions before new ones are taken.
+TRIES = 64
 #: Mean characters of a phrase below which a text is in none of the learned languages. A script that
 #: no labelled text has costs a phrase a letter; prose of a learned language has phrases of five.
 MIN_PHRASE = 2.0
@@ -90,8 +92,45 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return to
 
 
+def interleaved(states: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Transitions (letter code -> state) with the rows of all states pushed into each other: the
+    transition of state s under c, if any, is in slot ``base[s] + c``, and ``owner`` tells whose it is.
+
+    States of many transitions take their slots first; the many states of one fill what is left
+    between. Slots grow with the transitions, not with states times letters.
+    """
+    base = np.zeros(len(states), dtype=np.int64)
+    taken, free = bytearray(b"\1" * width), width  # the first slots are no one's, so no base is negative
+    for s in sorted(range(len(states)), key=lambda s: -len(states[s])):
+        if not states[s]:
+            break  # its base is 0, where nothing is owned
+        low, *others = sorted(states[s])
+        gaps = [c - low for c in others]
+        at = free
+        for _ in range(TRIES):
+            at = taken.find(b"\0", at)
+            if at < 0 or not any(taken[at + g] for g in gaps if at + g < len(taken)):
+                break
+            at += 1
+        else:
+            at = -1
+        at = len(taken) if at < 0 else at
+        taken.extend(bytes(max(0, at + (gaps[-1] if gaps else 0) + 1 - len(taken))))
+        for g in (0, *gaps):
+            taken[at + g] = 1
+        base[s] = at - low
+        hole = taken.find(b"\0", free)
+        free = len(taken) if hole < 0 else hole
+    owner = np.full(len(taken) + width, -1, dtype=np.int32)
+    target = np.zeros(len(owner), dtype=np.int32)
+    for s, own in enumerate(states):
+        for c, to in own.items():
+            owner[base[s] + c], target[base[s] + c] = s, to
+    return base, owner, target
+
+
 class CrossParser:
-    """The automata of all languages in one transition table."""
+    """The automata of all languages in one table of interleaved transitions."""
 
     #: Codes of characters: past the end, blank, a letter that no labelled text has.
     END, BLANK, UNKNOWN = 0, 1, 2
@@ -103,24 +142,26 @@ class CrossParser:
         alphabet = sorted({c for t in texts.values() for c in t} - {" "})
         self.width = len(alphabet) + 3
         code = {c: k + 3 for k, c in enumerate(alphabet)} | {" ": self.BLANK}
-        self.codes = np.array([self.UNKNOWN if chr(c).isalpha() else self.BLANK for c in range(self.PLANE)], dtype=np.uint16)
+        self.codes = np.array([self.UNKNOWN if chr(c).isalpha() else self.BLANK for c in range(self.PLANE)], dtype=np.uint16 if self.width < 1 << 16 else np.int32)
         self.beyond = {ord(c): k for c, k in code.items() if ord(c) >= self.PLANE}
         for c, k in code.items():
             if ord(c) < self.PLANE:
                 self.codes[ord(c)] = k
-        tables, self.roots, first = [], [], 0
+        self.roots, parts, first, slots = [], [], 0, 0
         for name in self.languages:
-            states = suffix_automaton(texts[name])
-            table = np.full((len(states), self.width), -1, dtype=np.int32)
-            for s, own in enumerate(states):
-                for c, t in own.items():
-                    table[s, code[c]] = (first + t) * self.width
-            tables.append(table)
-            self.roots.append(first * self.width)
-            first += len(states)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            base, owner, target = interleaved([{code[c]: t for c, t in own.items()} for own in suffix_automaton(texts[name])], self.width)
+            parts.append((base + slots, np.where(owner < 0, -1, owner + first).astype(np.int32), target + np.int32(first)))
+            self.roots.append(first)
+            first, slots = first + len(base), slots + len(owner)
+        none = np.zeros(0, np.int64)
+        self.base, self.owner, self.target = map(np.concatenate, zip(*parts, strict=True)) if parts else (none, none, none)
         self.scale = np.log2(max([2, *map(len, texts.values())]))
 
+    def step(self, state: np.ndarray | int, letter: np.ndarray) -> np.ndarray:
+        """The states after ``state`` under ``letter``, or -1."""
+        slot = self.base[state] + letter
+        return np.where(self.owner[slot] == state, self.target[slot], np.int32(-1))
+
     def encode(self, text: str) -> np.ndarray:
         """Codes of a lower-cased text, runs of blanks as one."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -177,7 +218,7 @@ class CrossParser:
         opens[pos] = True
         state = np.full(len(who), root, dtype=np.int32)
         while len(who):
-            new = self.table[state + flat[pos]]
+            new = self.step(state, flat[pos])
             stuck = np.flatnonzero(new < 0)
             if len(stuck):
                 # The match so far is a phrase, and so is a letter that the language lacks.
@@ -186,7 +227,7 @@ class CrossParser:
                 if known is not None:
                     over |= known[p]
                 opens[p[~over]] = True
-                again = self.table[root + flat[p]]
+                again = self.step(root, flat[p])
                 new[stuck] = np.where(again < 0, root, again)
                 pos += 1
                 pos[stuck] = p + (again >= 0)

@@ -42,6 +42,37 @@ def test_automaton_accepts_exactly_the_substrings():
             assert (at is not None) == (probe in text)
 
 
+def test_interleaved_transitions_are_those_of_the_automaton():
+    r = random.Random(4)
+    for letters in ("ab", "abcdefgh", [chr(0x4E00 + k) for k in range(400)]):
+        texts = {k: "".join(r.choice(letters) for _ in range(300)) for k in "xyz"}
+        parser = langid.CrossParser(texts)
+        code = {c: k + 3 for k, c in enumerate(sorted({c for t in texts.values() for c in t}))}
+        for k, root in zip(parser.languages, parser.roots, strict=True):
+            states = langid.suffix_automaton(texts[k])
+            for c in range(parser.width):
+                want = [next((root + t for x, t in own.items() if code[x] == c), -1) for own in states]
+                assert parser.step(root + np.arange(len(states)), c).tolist() == want
+
+
+def test_large_alphabets_and_many_languages_stay_small():
+    """Memory grows with the labelled text, and verdicts stay those of brute force."""
+    r = random.Random(6)
+    wide = [chr(0x4E00 + k) for k in range(3000)]
+    labelled = {f"l{k}": " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(1700))[:12_000] for k in range(4)}
+    labelled["wide"] = "".join(r.choice(wide) for _ in range(12_000))
+    parser = langid.CrossParser(labelled)
+    assert sum(x.nbytes for x in (parser.base, parser.owner, parser.target)) < 20_000_000
+    probes = [v[500:640] for v in labelled.values()]
+    assert parser.predict(probes)[0] == list(labelled)
+    many = {f"n{k:03}": "".join(r.choice("abcdefgh ") for _ in range(200)).strip() for k in range(100)}
+    parser = langid.CrossParser(many)
+    probes = [v[40:90].strip() for v in many.values()]
+    names, scores, _ = parser.predict(probes)
+    want = [naive_verdict(p, many) for p in probes]
+    assert names == [w[0] for w in want] and np.allclose(scores, [w[1] for w in want])
+
+
 def test_phrases_are_longest_matches():
     """Blocks of any size give the phrases of whole texts, also where phrases span several blocks."""
     r = random.Random(5)
