@@ -3,7 +3,8 @@
 Records are range-sorted by page id and payload digest. Running byte counts over the sorted keys cut
 them into shards of about ``shard_bytes``: shard k begins where k times that many bytes are passed, so
 the cut depends on the records alone. A key of more bytes than a shard (one page repeated without end)
-takes several shards; its repeated rows travel as one row and a count. The driver sees a key per shard.
+takes several shards; its repeated rows travel as one row and a count. The driver sees a key per shard,
+of which there are some ``MOST_SHARDS`` at any size: beyond, shards grow with the bytes of all records.
 A task writes a shard's records in order, one gzip member each, and starts the next file when the
 compressed size reaches ``roll_bytes``. Headers, record ids and digests are made anew from the record
 alone, dates come from a parameter and gzip members carry no time, so equal input gives equal bytes
@@ -43,6 +44,7 @@ MIN_REVISIT = 100
 HEADER_BYTES = 300
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 16 << 20
+MOST_SHARDS = 10_000
 DATE = "2000-01-01T00:00:00Z"
 SPACE_OF_IDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public namespace for URLs
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -152,14 +154,15 @@ NO_ID = -(1 << 63)
 BOUNDS = T.StructType([T.StructField(c, t) for c, t in (("place", T.LongType()), ("digest", T.StringType()), ("shard", T.LongType()), ("ways", T.LongType()))])
 
 
-def bounds(keys: DataFrame, shard_bytes: int) -> list[tuple[int, str, int, int]]:
+def bounds(keys: DataFrame, shard_bytes: int, most_shards: int = MOST_SHARDS) -> list[tuple[int, str, int, int]]:
     """Where shards begin: (place, digest, shard, ways) of the first key of each shard, and of each key
     that takes ``ways`` shards, in order. ``keys`` has each ``place`` and ``digest`` once with ``weight``,
-    its bytes, in sorted partitions."""
+    its bytes, in sorted partitions. Shards are of ``shard_bytes``, or of more if these were over ``most_shards``."""
     part = keys.select("place", "digest", "weight", F.spark_partition_id().alias("part"))
     at, starts = 0, {}
     for r in part.groupBy("part").agg(F.sum("weight").alias("weight")).orderBy("part").collect():
         starts[r["part"]], at = at, at + r["weight"]
+    shard_bytes = max(shard_bytes, -(-at // most_shards))
 
     def run(batches):
         end = last = None
@@ -196,7 +199,7 @@ def finder(cuts: list[tuple[int, str, int, int]]):
     return shard
 
 
-def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, date: str = DATE) -> DataFrame:
+def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, date: str = DATE, most_shards: int = MOST_SHARDS) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to WARC files in ``folder``; return the manifest, which
     is committed as Parquet in ``folder/_manifest``."""
     spark = pages.sparkSession
@@ -210,7 +213,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_by
         F.sum(F.col("bytes") + HEADER_BYTES).alias("weight"), F.max("bytes").alias("bytes"), F.min("page_id").alias("page_id"), F.min("url").alias("url")
     )
     keys = cut(keys.repartitionByRange("place", "digest").sortWithinPartitions("place", "digest"))
-    cuts = bounds(keys, shard_bytes)
+    cuts = bounds(keys, shard_bytes, most_shards)
     if not cuts:
         spark.createDataFrame([], MANIFEST).write.mode("overwrite").parquet(f"{folder}/_manifest")
         return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")

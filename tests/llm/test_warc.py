@@ -42,6 +42,16 @@ def test_same_bytes_whatever_the_partitions(spark, tmp_path):
     assert digests[0] == digests[1] and len(digests[0]) > 3
 
 
+def test_shards_are_bounded_in_number(spark, tmp_path):
+    digests = []
+    for k in (1, 7):
+        manifest = warc.write(pages(spark).repartition(k), f"{tmp_path}/w{k}", shard_bytes=1_000, most_shards=6).collect()
+        digests.append(sorted((r["file"], r["sha256"]) for r in manifest))
+        assert 4 <= len({r["shard"] for r in manifest}) <= 7
+        assert warc.read(spark, f"{tmp_path}/w{k}").count() == pages(spark).count()
+    assert digests[0] == digests[1]
+
+
 def ranges(spark, folder, manifest):
     """Per file, in the order of names, the first and last (page id, digest)."""
     names = sorted(r["file"] for r in manifest.collect())
