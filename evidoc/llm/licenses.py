@@ -24,12 +24,16 @@ from evidoc.llm.native import blanks, let, spaced, word_count
 #: Phrases and labels of the query's contract. Fixed values.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
+#: Licences whose acronym and version are enough to name them.
+ACRONYMS = ("mpl", "epl", "cddl", "eupl", "osl", "afl", "ofl", "gfdl", "odbl", "busl", "sspl")
+
 INTERVALS = "array<struct<start:int,end:int,priority:int,label:string>>"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Every signature demands one of these; most texts have none and are done.
 GATE = (
     "licen", "copyright", "reserved", "public domain", "spdx", "warrant", "redistribution", " cc", "creative", "proprietary", "unauthorized",
     "permission", "noninfringement", "bsd", "apache", "gpl", " mit ", "endorse", "advertising materials", "free documentation",
+    *(f" {x} " for x in ACRONYMS),
 )
 
 
@@ -67,6 +71,13 @@ def _rules() -> list[Rule]:
             add(f"{short}-{n}", "gnu", f"{name}( as published by the free software foundation)?( either)?{v}{w}", priority=95)
             add(f"{short}-{n}", short, f"licensed under( the)?( gnu)? {short}{v}{w}", f"spdx license identifier {short} {w}( only)?", priority=95)
             add(f"{short}-{n}-or-later", short, f"spdx license identifier {short} {w} or later", priority=98)
+            # the acronym and a version: GPL v3, GPL-2.0-only, LGPLv2.1 or later
+            major, minor = n.split(".")
+            glued = f"{short}v{major}" + (f" {minor}" if minor != "0" else "( 0)?")
+            later = "( and| or)?( at your option)? (any )?later( version)?"
+            for keyword, spelled in ((short, f"{short}{v}{w}"), (f"{short}v{major}", glued)):
+                add(f"{short}-{n}", keyword, f"(gnu )?{spelled}( only)?", priority=90)
+                add(f"{short}-{n}-or-later", keyword, f"(gnu )?{spelled}{later}", priority=93)
         add(f"{short}-unversioned", "gnu", name, priority=70)
         add(f"{short}-unversioned", short, f"licensed under( the)?( gnu)? {short}", f"(released|distributed|available) under( the)?( terms of the)?( gnu)? {short}( licen[cs]e)?", priority=70)
     add("mit", "mit", "(the )?mit licen[cs]e", "(licensed|released|distributed|available) under( the)?( terms of the)? mit", "spdx license identifier mit", "opensource org licenses mit", priority=92)
@@ -125,6 +136,8 @@ def _rules() -> list[Rule]:
             words = _number(n) if n.count(".") < 2 else n.replace(".", " ")
             add(f"{short}-{n}", keyword, f"{name}{v}{words}", priority=95)
             add(f"{short}-{n}", spdx.split()[0], f"spdx license identifier {spdx} {words}", f"licensed under( the)? {spdx} {words}", priority=95)
+            if short in ACRONYMS:
+                add(f"{short}-{n}", short, f"{short}{v}{words}", priority=88)
         add(short, keyword, name, priority=75)
     for code, name in (
         ("by", "attribution"),
@@ -155,6 +168,8 @@ def _rules() -> list[Rule]:
     add("reserved-some", "reserved", "some rights reserved", priority=70)
     add("no-warranty", "warranty", "without (any )?warranty( of any kind)?", priority=50)
     add("no-warranty", "warranties", "without warranties( or conditions)? of any kind", priority=50)
+    # What a text denies contains, and so suppresses, the licence that it names.
+    add("not-licensed", "not", "not( [a-z]+)? (licensed|released|distributed|available) under( the)?( terms of the)?( [a-z0-9]+){1,6}? licen[cs]e", priority=99)
     add("eula", "agreement", "end user licen[cs]e agreement", priority=80)
     add("royalty-free", "royalty", "royalty free licen[cs]e", priority=60)
     return out

@@ -47,7 +47,7 @@ TEXTS = [
 
 
 def test_scan_equals_brute_force(spark, docs):
-    texts = TEXTS + [r["text"] for r in docs.select("text").collect()] + [" ".join(TEXTS) * 3]
+    texts = TEXTS + list(HEADERS) + [r["text"] for r in docs.select("text").collect()] + [" ".join(TEXTS) * 3]
     frame = spark.createDataFrame([(k, t, "x", "y") for k, t in enumerate(texts)], "doc_id long, text string, labels string, __row string")
     got = {r["doc_id"]: r for r in licenses.scan(frame).collect()}
     assert len(got) == len(texts)
@@ -71,6 +71,30 @@ def test_labels(spark):
     assert got[TEXTS[1]] == "gpl,gpl-3.0-or-later"
 
 
+HEADERS = {
+    "This project is GPL v3.": "gpl-3.0",
+    "GPL-2.0-only": "gpl-2.0",
+    "License: GPLv3": "gpl-3.0",
+    "under LGPLv2.1 or later": "lgpl-2.1-or-later",
+    "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0-or-later",
+    "AGPL-3.0": "agpl-3.0",
+    "LGPL 2.1": "lgpl-2.1",
+    "MPL-2.0": "mpl-2.0",
+    "dual licence, EPL 2.0 here": "epl-2.0",
+    "This software is not licensed under the MIT license.": "not-licensed",
+    "It is not released under the terms of the GNU General Public License": "gpl,not-licensed",
+    "It is licensed under the MIT license.": "mit",
+    "a simple example of an epl that is no licence": "",
+}
+
+
+def test_headers_and_short_forms(spark):
+    frame = spark.createDataFrame(list(enumerate(HEADERS)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(frame).collect()}
+    assert {t: got[k] for k, t in enumerate(HEADERS)} == HEADERS
+    assert all(brute(t)[5] == want for t, want in HEADERS.items())
+
+
 def test_priority_resolves_overlaps(spark):
     """Runs of detections that overlap in part: the stronger ones stay, whatever their order."""
     rules = (licenses.Rule("a", "licence", "one two licence", 50), licenses.Rule("b", "licence", "licence three four", 90), licenses.Rule("c", "five", "four five", 70), licenses.Rule("d", "five", "five six seven", 60))
