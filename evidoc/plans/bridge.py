@@ -140,4 +140,5 @@ def scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
         x.alias("x1"), y.alias("y1"), (x + 40 + c("l_quantity").cast("int")).alias("x2"), (y + 20).alias("y2"),
         F.lit(PAGE_W).alias("width"), F.lit(PAGE_H).alias("height"),
     )
-    return rows.dropDuplicates(["doc_id", "ord"])
+    # Two line items of an order may have the same part and number, and still lie at different places.
+    return rows.dropDuplicates(["doc_id", "ord", "label", "x1", "y1", "x2", "y2"])
