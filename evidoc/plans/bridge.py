@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to all cores by ``key``: where a few bytes of a table grow to images or profiles, its files
+    are too small for Spark to split them by size."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def lettered(s: Column) -> Column:
     return F.translate(s, "0123456789_", "ABCDEFGHIJ ")
 

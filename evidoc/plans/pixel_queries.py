@@ -6,22 +6,40 @@ components are reached run by run.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidoc.operators import imaging, pixels, shapes
-from evidoc.plans.bridge import table
+from evidoc.plans.bridge import spread, table
 
 c = F.col
 
+#: Images that are drawn for one batch.
+DRAWN = 64
 
-def drawn(spark: SparkSession, sf_dir: str, width: int, height: int, rule: Callable[[Column, Column, Column], Column], top: int = 0) -> DataFrame:
-    """An image (doc_id, width, height, gray) a supplier: ``rule(key, x, y)`` is the pixel's level."""
-    at = lambda i: F.lpad(F.hex(rule(c("s_suppkey"), i % width, F.floor(i / width) + top)), 2, "0")
-    hexed = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width * height - 1).cast("long")), at), "")
-    return table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("doc_id"), F.lit(width).alias("width"), F.lit(height).alias("height"), F.unhex(hexed).alias("gray"))
+
+def between(v: np.ndarray, low: int, high: int) -> np.ndarray:
+    return (v >= low) & (v <= high)
+
+
+def drawn(spark: SparkSession, sf_dir: str, width: int, height: int, rule: Callable[[int, np.ndarray, np.ndarray], np.ndarray | int], top: int = 0) -> DataFrame:
+    """An image (doc_id, width, height, gray) a supplier: ``rule(key, x, y)`` gives the pixels' levels."""
+    x, y = np.arange(width, dtype=np.int64), np.arange(top, top + height, dtype=np.int64)[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            for own in (keys[k : k + DRAWN] for k in range(0, len(keys), DRAWN)):
+                gray = [np.broadcast_to(rule(s, x, y), (height, width)).astype(np.uint8).tobytes() for s in own]
+                sizes = (pa.array([n] * len(own), pa.int32()) for n in (width, height))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *sizes, pa.array(gray, pa.binary())], names=["doc_id", "width", "height", "gray"])
+
+    keys = table(spark, sf_dir, "supplier").select(c("s_suppkey").cast("long").alias("doc_id"))
+    return spread(keys, "doc_id").mapInArrow(run, pixels.PLANE)
 
 
 def sql_pixels(width: int, height: int, rule: str) -> str:
@@ -81,9 +99,12 @@ def sql_components(name: str, mask: str) -> str:
 def gray_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of 24 by 16 pixels, each cut into two strips: of many tones, of two, and of one."""
 
-    def rule(s: Column, x: Column, y: Column) -> Column:
-        many = (s * 31 + x * x * s + y * 7 * x + y * y) % (F.lit(90) + s % 160)
-        return F.when(s % 5 == 0, s % 256).when(s % 5 == 1, F.when((x + y * s) % 3 == 0, s % 200).otherwise(s % 50 + 205)).otherwise(many + s % 7)
+    def rule(s: int, x: np.ndarray, y: np.ndarray) -> np.ndarray | int:
+        if s % 5 == 0:
+            return s % 256
+        if s % 5 == 1:
+            return np.where((x + y * s) % 3 == 0, s % 200, s % 50 + 205)
+        return (s * 31 + x * x * s + y * 7 * x + y * y) % (90 + s % 160) + s % 7
 
     strips = drawn(spark, sf_dir, 24, 8, rule).union(drawn(spark, sf_dir, 24, 8, rule, top=8))
     return pixels.thresholds(strips)
@@ -106,9 +127,9 @@ GLYPH_W, GLYPH_H = 104, 24
 def glyph_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ragged dark marks on an uneven light ground, as components of dark spots."""
 
-    def rule(s: Column, x: Column, y: Column) -> Column:
-        ink = y.between(5, 15) & (x % 9 < 6) & ((s * 13 + F.floor(x / 9) * 3 + x * y * (s % 3 + 1) + y * y) % 7 < 4)
-        return F.when(ink, 20 + (s + x * 5 + y) % 40).otherwise(190 + (x * 3 + y * 5 + s) % 20)
+    def rule(s: int, x: np.ndarray, y: np.ndarray) -> np.ndarray | int:
+        ink = between(y, 5, 15) & (x % 9 < 6) & ((s * 13 + x // 9 * 3 + x * y * (s % 3 + 1) + y * y) % 7 < 4)
+        return np.where(ink, 20 + (s + x * 5 + y) % 40, 190 + (x * 3 + y * 5 + s) % 20)
 
     rows = pixels.glyphs(drawn(spark, sf_dir, GLYPH_W, GLYPH_H, rule))
     return rows.select("doc_id", "left", "top", "width", "height", "area", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
@@ -130,10 +151,10 @@ ZONE_W, ZONE_H = 120, 80
 def zone_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Printed areas in the lower part of pages with two lines of marks, some of them interrupted."""
 
-    def rule(s: Column, x: Column, y: Column) -> Column:
-        line = y.between(57, 61) | y.between(68, 72)
-        ink = line & ((x * 7 + s * 5 + y * (s % 4)) % 11 < 6) & ~x.between(40, F.lit(38) + s % 60) & (x > s % 13)
-        return F.when(ink, 30 + (x * s + y) % 25).otherwise(200 + (x * 5 + y * 3 + s * 7) % 12)
+    def rule(s: int, x: np.ndarray, y: np.ndarray) -> np.ndarray | int:
+        line = between(y, 57, 61) | between(y, 68, 72)
+        ink = line & ((x * 7 + s * 5 + y * (s % 4)) % 11 < 6) & ~between(x, 40, 38 + s % 60) & (x > s % 13)
+        return np.where(ink, 30 + (x * s + y) % 25, 200 + (x * 5 + y * 3 + s * 7) % 12)
 
     return pixels.zone_boxes(drawn(spark, sf_dir, ZONE_W, ZONE_H, rule))
 
@@ -162,11 +183,10 @@ STRIP_W, STRIP_H = 104, 60
 def row_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of strips of noise, of one band of text and of three."""
 
-    def rule(s: Column, x: Column, y: Column) -> Column:
-        three = y.between(4, 14) | y.between(24, F.lit(34) + s % 3) | y.between(45, 55)
-        band = F.when(s % 3 == 0, F.lit(False)).when(s % 3 == 1, y.between(10, F.lit(40) + s % 9)).otherwise(three)
-        ink = band & ((x * 5 + y * (s % 7) + s) % 8 < 4)
-        return F.when(ink, 25 + (x + y) % 30).otherwise(180 + (x * x * 3 + y * y * 7 + x * y * s) % 40)
+    def rule(s: int, x: np.ndarray, y: np.ndarray) -> np.ndarray | int:
+        bands = ((), ((10, 40 + s % 9),), ((4, 14), (24, 34 + s % 3), (45, 55)))[s % 3]
+        ink = sum((between(y, *b) for b in bands), np.zeros_like(y, dtype=bool)) & ((x * 5 + y * (s % 7) + s) % 8 < 4)
+        return np.where(ink, 25 + (x + y) % 30, 180 + (x * x * 3 + y * y * 7 + x * y * s) % 40)
 
     rows = pixels.row_profiles(drawn(spark, sf_dir, STRIP_W, STRIP_H, rule))
     return rows.select("doc_id", F.posexplode("profile").alias("row", "v")).select("doc_id", "row", F.round("v", 6).alias("v"))
@@ -241,7 +261,7 @@ SKEW_W, SKEW_H = 160, 64
 
 def page_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of slanting bars: the lines that their edges vote for, and the turn that these make."""
-    rule = lambda s, x, y: F.when(F.pmod(y * 40 - x * (s % 13 - 6), F.lit(600)) < 160, 30 + s % 20).otherwise(220)
+    rule = lambda s, x, y: np.where((y * 40 - x * (s % 13 - 6)) % 600 < 160, 30 + s % 20, 220)
     lines = shapes.segments(drawn(spark, sf_dir, SKEW_W, SKEW_H, rule))
     return imaging.skew(lines).select("doc_id", "segments", F.round("angle", 6).alias("angle"))
 
