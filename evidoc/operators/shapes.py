@@ -13,7 +13,7 @@ from math import cos, radians, sin
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidoc.functions import raster
@@ -132,16 +132,12 @@ HALF_DEGREES, SCALE = 39, 65_536
 CHANGE, VOTES, SHARE_OF_BEST = 50, 100, 0.75
 
 
-def edge_points(images: DataFrame, change: int = CHANGE) -> DataFrame:
-    """doc_id, x, y of the places where the level changes most from above to below."""
-
-    def find(pixels: np.ndarray) -> dict[str, object]:
-        down = raster.across(pixels.T).T
-        near = np.pad(down, ((1, 1), (0, 0)))
-        y, x = np.nonzero((down > 16 * change) & (down >= near[:-2]) & (down > near[2:]))
-        return {"x": x.astype(np.int32), "y": y.astype(np.int32)}
-
-    return per_image(images, "x int, y int", find)
+def edges(pixels: np.ndarray, change: int = CHANGE) -> tuple[np.ndarray, np.ndarray]:
+    """x and y of the places where the level changes most from above to below."""
+    down = raster.across(pixels.T).T
+    near = np.pad(down, ((1, 1), (0, 0)))
+    y, x = np.nonzero((down > 16 * change) & (down >= near[:-2]) & (down > near[2:]))
+    return x, y
 
 
 def turns() -> list[tuple[float, int, int]]:
@@ -160,7 +156,22 @@ def votes(points: DataFrame) -> DataFrame:
 
 def segments(images: DataFrame, least: int = VOTES, share: float = SHARE_OF_BEST) -> DataFrame:
     """doc_id, angle and votes of the lines with ``least`` votes and ``share`` of those of their page's
-    best line, as ``imaging.skew`` takes them."""
-    cells = votes(edge_points(images)).filter(F.col("votes") >= least)
-    best = cells.withColumn("best", F.max("votes").over(Window.partitionBy("doc_id")))
-    return best.filter(F.col("votes") >= F.col("best") * share).select("doc_id", "angle", "votes")
+    best line, as ``imaging.skew`` takes them. An image's votes are counted where it is, an angle at a
+    time, as ``votes`` counts them; only lines leave it."""
+
+    def lines(pixels: np.ndarray) -> dict[str, object] | None:
+        x, y = edges(pixels)
+        angles, counts = [], []
+        for angle, co, si in turns() if len(x) >= least else ():
+            distance = (y * co - x * si + SCALE // 2) // SCALE
+            cells = np.bincount(distance - distance.min())
+            cells = cells[cells >= least]
+            angles.append(np.full(len(cells), angle))
+            counts.append(cells)
+        found = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
+        if not len(found):
+            return None
+        kept = found >= found.max() * share
+        return {"angle": np.concatenate(angles)[kept], "votes": found[kept]}
+
+    return per_image(images, "angle double, votes long", lines)
