@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from evidoc.operators.mrz import build_lines
 
 PAGE_W, PAGE_H = 1400, 1000
+#: Keys that one task makes rows from.
+KEYS_A_TASK = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """Rows dealt to all cores by ``key``: where a few bytes of a table grow to images or profiles, its files
-    are too small for Spark to split them by size."""
-    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+    are too small for Spark to split them by size. A task has no more than about ``KEYS_A_TASK``, however many
+    there are; they are counted in the files' footers."""
+    tasks = max(4 * rows.sparkSession.sparkContext.defaultParallelism, rows.count() // KEYS_A_TASK + 1)
+    return rows.repartition(tasks, key)
 
 
 def lettered(s: Column) -> Column:

@@ -11,7 +11,7 @@ from evidoc.functions.refdata import WEIGHTS
 from evidoc.operators import imaging, reconcile, review
 from evidoc.operators.mrz import parse, resolve_date
 from evidoc.plans import process
-from evidoc.plans.bridge import LINES, holders, lines, table
+from evidoc.plans.bridge import LINES, holders, lines, spread, table
 from evidoc.plans.zone_queries import _sql_date
 from evidoc.sources import records, samples, uploads
 from evidoc.storage import shared_folder
@@ -20,6 +20,11 @@ from evidoc.streaming import sessions
 c = F.col
 
 
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of customers that profiles, images and marks are made from, dealt to all cores."""
+    return spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+
+
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, parsed: every fifth number has a wrong check digit, every eleventh page no zone."""
     wrong = F.concat(F.substring("line2", 1, 9), ((F.substring("line2", 10, 1).cast("int") + 1) % 10).cast("string"), F.substring("line2", 11, 34))
@@ -483,7 +488,7 @@ def zone_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two lines of glyphs per page: an even pitch, or an uneven one for odd pages; few for some."""
     k = c("c_custkey")
     each = F.transform(F.sequence(F.lit(0), F.when(k % 5 == 0, F.lit(8)).otherwise(39)), lambda i: F.struct((20 + i * 30 + F.when(k % 2 == 1, (i * i) % 17).otherwise(0)).cast("double").alias("x"), i.alias("i")))
-    rows = table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.inline(each)).withColumn("y", F.explode(F.array(F.lit(50.0), F.lit(120.0))))
+    rows = customers(spark, sf_dir).select(k.alias("doc_id"), F.inline(each)).withColumn("y", F.explode(F.array(F.lit(50.0), F.lit(120.0))))
     return imaging.zone_presence(rows.withColumns({"height": F.lit(30), "area": F.lit(100), "page_w": F.lit(1400), "page_h": F.lit(200)})).select("doc_id", "lines", F.round("presence", 6).alias("presence"))
 
 
