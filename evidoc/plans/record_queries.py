@@ -374,7 +374,7 @@ def page_contour(spark: SparkSession, sf_dir: str) -> DataFrame:
             n.alias("ord"), ((k * (n + 7)) % 997 * 100).cast("double").alias("area"), (3 + (k + n) % 3).cast("int").alias("corners"), (1 + (k * (n + 1)) % 100 / 100.0).alias("aspect")
         ),
     )
-    rows = table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.inline(each)).withColumn("page_area", F.lit(120_000.0))
+    rows = customers(spark, sf_dir).select(k.alias("doc_id"), F.inline(each)).withColumn("page_area", F.lit(120_000.0))
     return imaging.page_contour(rows)
 
 
