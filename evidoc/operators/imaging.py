@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidoc.functions.text import let
 from evidoc.settings import DEFAULTS
 
 
@@ -103,8 +104,9 @@ def _bands(profiles: DataFrame) -> DataFrame:
     high = F.size("profile")
     top = F.array_max("profile")
     mean = F.aggregate("profile", F.lit(0.0), lambda a, v: a + v) / high
-    limit = F.greatest(mean * 0.3, top * 0.15)
-    rows = profiles.select("doc_id", "profile", high.alias("h"), F.transform("profile", lambda v: v > limit).alias("on"))
+    # The limit is bound once a row, not worked out at each place.
+    on = let(F.greatest(mean * 0.3, top * 0.15), lambda limit: F.transform("profile", lambda v: v > limit))
+    rows = profiles.select("doc_id", "profile", high.alias("h"), on.alias("on"))
     edge = lambda i, other: F.coalesce(F.get(F.col("on"), other), F.lit(False))
     places = F.sequence(F.lit(0), F.col("h") - 1)
     starts = F.filter(places, lambda i: F.get(F.col("on"), i) & ((i == 0) | ~edge(i, i - 1)))

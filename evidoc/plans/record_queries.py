@@ -458,7 +458,7 @@ def line_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     hair = lambda i: F.when(i.isin(20, 70), F.lit(100.0)).otherwise(F.lit(2.0))
     three = lambda i: F.when(i.between(0, 19) | i.between(40, 59) | i.between(80, 99), F.lit(100.0)).otherwise(F.lit(2.0))
     profile = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.when(k == 0, two(i)).when(k == 1, dip(i)).when(k == 2, hair(i)).otherwise(three(i)))
-    rows = imaging.line_crops(table(spark, sf_dir, "customer").select(key.alias("doc_id"), profile.alias("profile")))
+    rows = imaging.line_crops(customers(spark, sf_dir).select(key.alias("doc_id"), profile.alias("profile")))
     return rows.select("doc_id", F.array_join(F.transform("crops", lambda b: F.concat(b["a"].cast("string"), F.lit("-"), b["b"].cast("string"))), ",").alias("crops"))
 
 
