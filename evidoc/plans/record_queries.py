@@ -442,7 +442,7 @@ def line_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = lambda i: (k % 2 == 1) & i.between(20, 22)
     on = lambda i: ((i >= 10) & (i < 30 + k % 5) & ~gap(i)) | i.between(50, 74) | (i == 90)
     profile = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.when(on(i), F.lit(100.0)).otherwise(2.0))
-    rows = imaging.line_bands(table(spark, sf_dir, "customer").select(k.alias("doc_id"), profile.alias("profile")))
+    rows = imaging.line_bands(customers(spark, sf_dir).select(k.alias("doc_id"), profile.alias("profile")))
     return rows.select("doc_id", F.array_join(F.transform("bands", lambda b: F.concat(b["a"].cast("string"), F.lit("-"), b["b"].cast("string"))), ",").alias("bands"))
 
 
