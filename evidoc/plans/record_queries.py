@@ -473,7 +473,7 @@ def pixel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), 3 * w * h // 2)
     data = F.unhex(F.concat(half(key % 100), half(100 + key % 156)))
     image = F.struct(F.lit(h).alias("height"), F.lit(w).alias("width"), F.lit(3).alias("nChannels"), data.alias("data"))
-    rows = imaging.measured(table(spark, sf_dir, "customer").select(key.alias("doc_id"), image.alias("image")))
+    rows = imaging.measured(customers(spark, sf_dir).select(key.alias("doc_id"), image.alias("image")))
     return rows.select("doc_id", "width", "height", F.round("variance", 6).alias("variance"), F.round("glare_ratio", 6).alias("glare_ratio"), F.round("brightness", 6).alias("brightness"))
 
 
