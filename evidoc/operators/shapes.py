@@ -8,7 +8,7 @@ points as corners; equal points are points like any other; a page without edges
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from math import cos, radians, sin
 
 import numpy as np
@@ -91,22 +91,28 @@ def corners(x: np.ndarray, y: np.ndarray, tolerance: float) -> list[int]:
 SHARE = 0.02  # of the perimeter, that an outline may be off
 
 
-def simplified(outlines: DataFrame, share: float = SHARE) -> DataFrame:
-    """Outlines (doc_id, ord, points of whole numbers) with perimeter, area and ``quad``, the corners."""
+def simplified(outlines: DataFrame, share: float = SHARE, keep: Sequence[str] = ()) -> DataFrame:
+    """Outlines (doc_id, ord, points of whole numbers, and the columns ``keep``) with perimeter, area and
+    ``quad``, the corners."""
     measured = outlines.withColumns({"perimeter": perimeter(F.col("points")), "area": area(F.col("points"))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            quads = []
-            for points, around in zip(b.column("points").to_pylist(), b.column("perimeter").to_pylist(), strict=True):
-                if points is None or around is None:  # no outline, or one with a missing point
-                    quads.append(points)
-                    continue
-                x, y = (np.array([p[n] for p in points], dtype=np.int64) for n in "xy")
-                quads.append([points[k] for k in corners(x, y, share * around)])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(quads, b.column("points").type)], names=[*b.schema.names, "quad"])
-
-    src = measured.select("doc_id", "ord", "points", "perimeter", "area")
+            points, around = b.column("points"), b.column("perimeter").to_pylist()
+            flat, there, bounds = points.values, points.is_valid().to_pylist(), points.offsets.to_pylist()
+            x, y = (flat.field(n).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for n in "xy")
+            kept, stops = [], [0]
+            for k, length in enumerate(around):
+                low, high = bounds[k], bounds[k + 1] if there[k] else bounds[k]
+                # An outline that has no length, as one with a missing point, keeps all its points.
+                own = range(high - low) if length is None else corners(x[low:high], y[low:high], share * length)
+                kept += [low + i for i in own]
+                stops.append(len(kept))
+            places = pa.array([s if ok else None for s, ok in zip(stops, there, strict=False)] + stops[-1:], pa.int32())
+            quads = pa.ListArray.from_arrays(places, flat.take(pa.array(kept, pa.int64())), type=points.type)
+            yield pa.RecordBatch.from_arrays([*b.columns, quads], names=[*b.schema.names, "quad"])
+
+    src = measured.select("doc_id", "ord", "points", "perimeter", "area", *keep)
     kind = src.schema["points"].dataType.simpleString()
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields) + f", quad {kind}"
     return src.mapInArrow(run, schema)
@@ -115,7 +121,7 @@ def simplified(outlines: DataFrame, share: float = SHARE) -> DataFrame:
 def contours(outlines: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, ord, area, corners (how many), aspect of the quadrilateral (null for others) and page_area
     of outlines (doc_id, ord, points, page_area)."""
-    rows = simplified(outlines, share).join(outlines.select("doc_id", "ord", "page_area"), ["doc_id", "ord"])
+    rows = simplified(outlines, share, ["page_area"])
     q = ordered_quad(F.col("quad"))
     side = lambda a, b: F.sqrt(F.pow((a["x"] - b["x"]).cast("double"), 2.0) + F.pow((a["y"] - b["y"]).cast("double"), 2.0))
     four = rows.withColumn("q", F.when(F.size("quad") == 4, q))

@@ -215,7 +215,7 @@ def outline_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
         dent = F.when((k % 3 == 0) & (i == 9), 150 + k % 40).otherwise(0)
         return F.struct((on(xs) + (k * 7 + i * i) % 5 - 2 - dent).cast("int").alias("x"), (on(ys) + (k * 3 + i * 5) % 5 - 2).cast("int").alias("y"))
 
-    rows = table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.lit(0).alias("ord"), F.transform(F.sequence(F.lit(0), F.lit(23)), point).alias("points"), F.lit(620_000.0).alias("page_area"))
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(k.alias("doc_id"), F.lit(0).alias("ord"), F.transform(F.sequence(F.lit(0), F.lit(23)), point).alias("points"), F.lit(620_000.0).alias("page_area"))
     out = shapes.contours(rows)
     return out.select("doc_id", "corners", F.round("area", 3).alias("area"), F.round("aspect", 6).alias("aspect"))
 
