@@ -20,11 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
+def spread(rows: DataFrame, key: str, keys: int | None = None) -> DataFrame:
     """Rows dealt to all cores by ``key``: where a few bytes of a table grow to images or profiles, its files
     are too small for Spark to split them by size. A task has no more than about ``KEYS_A_TASK``, however many
-    there are; they are counted in the files' footers."""
-    tasks = max(4 * rows.sparkSession.sparkContext.defaultParallelism, rows.count() // KEYS_A_TASK + 1)
+    there are; unless ``keys`` says how many, they are counted in the files' footers."""
+    tasks = max(4 * rows.sparkSession.sparkContext.defaultParallelism, (rows.count() if keys is None else keys) // KEYS_A_TASK + 1)
     return rows.repartition(tasks, key)
 
 
@@ -115,7 +115,7 @@ noise AS (SELECT * EXCLUDE (w1, w2), CASE WHEN doc_id % 4 > 2 THEN {_sql_swap('w
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A form of text boxes per holder: labels with values inside, below and beside them, a value in
     two boxes beside another column, a number without a label on every fourth, and the zone."""
-    rows = lines(spark, sf_dir)
+    rows = spread(lines(spark, sf_dir), "doc_id", table(spark, sf_dir, "customer").count())
     c, lit = F.col, F.lit
     birth, expiry = (F.to_date(F.concat(lit("19"), c("birth")), "yyyyMMdd"), F.to_date(F.concat(lit("20"), c("expiry")), "yyyyMMdd"))
     sex = F.when(c("sex") == "M", "MALE").when(c("sex") == "F", "FEMALE").otherwise("X")
