@@ -36,12 +36,14 @@ class Sessions(StatefulProcessor):
         for part in rows:  # a session's rows come in parts
             low = int(part["ts"].min().value // 1000)
             first, n = low if first is None else min(first, low), n + len(part)
-        new = not self.created.exists()
+        # Each call asks Spark for the state anew, so none asks first whether there is one.
+        created = self.created.get()
+        new = created is None
         if new:
             self.created.update((first,))
         else:
-            first = self.created.get()[0]
-            n += self.count.get()[0] if self.count.exists() else 0
+            first = created[0]
+            n += (self.count.get() or (0,))[0]
         self.count.update((n,))
         yield pd.DataFrame({"session_id": [key[0]], "state": ["created" if new else "updated"], "created_at": [pd.Timestamp(first, unit="us")], "n_events": [n]})
 
