@@ -3,7 +3,7 @@
 A label table (field, label, ord) becomes an index: each label stands under that of its words which the
 fewest labels have. A text's words meet the index in an equality join, and only labels under one of the
 text's words are compared with it, so work grows with the texts and with what they share with labels, not
-with the number of labels. Spark broadcasts the index if it is small by its own measure, or shuffles.
+with the number of labels. Both sides are shuffled, words without their texts.
 
 Defined results: labels without a letter or digit are left out; a label stands as whole words, in any case,
 with the dotted and dotless i alike; of overlapping labels the longer one takes its place, of equally long
@@ -51,20 +51,31 @@ def index(labels: DataFrame) -> DataFrame:
     rows = once.select("field", "ord", "low", F.length("low").alias("n"), F.inline(words(F.col("low"))))
     often = rows.groupBy("word").agg(F.countDistinct("ord").alias("labels"))
     rank = Window.partitionBy("ord", "field", "low").orderBy("labels", F.desc(F.length("word")), "at")
-    best = rows.join(often, "word").withColumn("k", F.row_number().over(rank)).filter("k = 1")
+    best = rows.join(often.hint("merge"), "word").withColumn("k", F.row_number().over(rank)).filter("k = 1")
     return best.select("word", "at", "low", "n", "field", "ord")
 
 
 def places(texts: DataFrame, keys: Sequence[str], idx: DataFrame, text: str = "text") -> DataFrame:
     """Columns ``keys``, start, stop, field and ``rank`` (the label's ord) of every place of every label,
-    overlaps included."""
+    overlaps included.
+
+    Words travel without their text: each text's distinct words meet the index, and the labels met come back
+    to the text by its keys. Files say little about how many words they hold, so Spark may not send either
+    side of these joins through the driver.
+    """
     own = idx.select(*[F.col(n).alias(f"__l_{n}") for n in ("word", "at", "low", "n", "field", "ord")])
-    tokens = texts.select(*keys, caseless(F.col(text)).alias("__low")).select(*keys, "__low", F.inline(words(F.col("__low"))).alias("__word", "__at"))
-    met = tokens.join(own, F.col("__word") == F.col("__l_word"))
-    start, n = F.col("__at") - F.col("__l_at"), F.col("__l_n")
+    rows = texts.select(*keys, caseless(F.col(text)).alias("__low")).withColumn("__words", words(F.col("__low")))
+    met = rows.select(*keys, F.explode(F.array_distinct(F.col("__words.word"))).alias("__word")).hint("merge").join(own, F.col("__word") == F.col("__l_word"))
+    back = [f"__k{i}" for i in range(len(keys))]
+    few = met.groupBy(*[F.col(k).alias(b) for k, b in zip(keys, back, strict=True)]).agg(F.collect_set(F.struct(*own.columns)).alias("__labels"))
+    same = [rows[k].eqNullSafe(few[b]) for k, b in zip(keys, back, strict=True)]
+    each = rows.join(few.hint("merge"), same).select(*[rows[k] for k in keys], "__low", "__words", F.inline("__labels"))
+    n = F.col("__l_n")
     clear = lambda place: ~F.rlike(F.substr(F.col("__low"), place, F.lit(1)), F.lit(EDGE))
-    whole = (start >= 0) & (F.substr(F.col("__low"), start + 1, n) == F.col("__l_low")) & ((start == 0) | clear(start)) & clear(start + n + 1)
-    return met.filter(whole).select(*keys, start.cast("int").alias("start"), (start + n).cast("int").alias("stop"), F.col("__l_field").alias("field"), F.col("__l_ord").alias("rank"))
+    whole = lambda start: (start >= 0) & (F.substr(F.col("__low"), start + 1, n) == F.col("__l_low")) & ((start == 0) | clear(start)) & clear(start + n + 1)
+    starts = F.filter(F.transform(F.filter("__words", lambda w: w["word"] == F.col("__l_word")), lambda w: w["at"] - F.col("__l_at")), whole)
+    found = each.select(*keys, n.alias("__n"), F.col("__l_field").alias("field"), F.col("__l_ord").alias("rank"), F.explode(starts).alias("__start"))
+    return found.select(*keys, F.col("__start").cast("int").alias("start"), (F.col("__start") + F.col("__n")).cast("int").alias("stop"), "field", "rank")
 
 
 def chosen(found: Column) -> Column:
@@ -78,4 +89,4 @@ def chosen(found: Column) -> Column:
 def with_matches(texts: DataFrame, keys: Sequence[str], idx: DataFrame, text: str = "text", out: str = "m") -> DataFrame:
     """``texts``, one row for each of ``keys``, with ``out``: its labels, as ``visual.label_matches`` has them."""
     found = places(texts, keys, idx, text).groupBy(*keys).agg(chosen(F.collect_list(F.struct("start", "stop", "field", "rank"))).alias(out))
-    return texts.join(found, list(keys), "left").withColumn(out, F.coalesce(F.col(out), F.array().cast(MATCHES)))
+    return texts.join(found.hint("merge"), list(keys), "left").withColumn(out, F.coalesce(F.col(out), F.array().cast(MATCHES)))

@@ -29,3 +29,9 @@ def test_a_profile_is_summed_once_a_row(spark, sf):
 
 def test_outlines_are_not_joined_to_themselves(spark, sf):
     assert "Join" not in plan(spark, sf, "outline_contours")
+
+
+def test_words_do_not_go_through_the_driver_nor_carry_texts(spark, sf):
+    made = plan(spark, sf, "indexed_labels")
+    assert "BroadcastHashJoin" not in made and "SortMergeJoin" in made
+    assert "array_distinct" in made
