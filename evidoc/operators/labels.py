@@ -64,12 +64,14 @@ def places(texts: DataFrame, keys: Sequence[str], idx: DataFrame, text: str = "t
     side of these joins through the driver.
     """
     own = idx.select(*[F.col(n).alias(f"__l_{n}") for n in ("word", "at", "low", "n", "field", "ord")])
-    rows = texts.select(*keys, caseless(F.col(text)).alias("__low")).withColumn("__words", words(F.col("__low")))
-    met = rows.select(*keys, F.explode(F.array_distinct(F.col("__words.word"))).alias("__word")).hint("merge").join(own, F.col("__word") == F.col("__l_word"))
+    rows = texts.select(*keys, caseless(F.col(text)).alias("__low"))
+    own_words = F.array_distinct(F.transform(words(F.col("__low")), lambda w: w["word"]))
+    met = rows.select(*keys, F.explode(own_words).alias("__word")).hint("merge").join(own, F.col("__word") == F.col("__l_word"))
     back = [f"__k{i}" for i in range(len(keys))]
     few = met.groupBy(*[F.col(k).alias(b) for k, b in zip(keys, back, strict=True)]).agg(F.collect_set(F.struct(*own.columns)).alias("__labels"))
     same = [rows[k].eqNullSafe(few[b]) for k, b in zip(keys, back, strict=True)]
-    each = rows.join(few.hint("merge"), same).select(*[rows[k] for k in keys], "__low", "__words", F.inline("__labels"))
+    back_at_text = rows.join(few.hint("merge"), same).select(*[rows[k] for k in keys], "__low", words(F.col("__low")).alias("__words"), "__labels")
+    each = back_at_text.select(*keys, "__low", "__words", F.inline("__labels"))
     n = F.col("__l_n")
     clear = lambda place: ~F.rlike(F.substr(F.col("__low"), place, F.lit(1)), F.lit(EDGE))
     whole = lambda start: (start >= 0) & (F.substr(F.col("__low"), start + 1, n) == F.col("__l_low")) & ((start == 0) | clear(start)) & clear(start + n + 1)
