@@ -4,7 +4,8 @@ Each round shuffles links by one end and keeps only links to the smallest neighb
 of links never grows and every component becomes a star round its smallest node after a number of
 rounds that grows with the logarithm of its diameter. Links and components stay in Spark; the
 driver sees a few numbers a round. A node that has more than a thousandth of all links, as the root of
-a large component does, gets its smallest neighbour by broadcast, so its links are in no single task.
+a large component does, gets its smallest neighbour by broadcast, so its links are in no single task;
+up to ``FEW`` links are joined at once, which a task can hold and which keeps the driver's plans small.
 """
 
 from __future__ import annotations
@@ -15,9 +16,15 @@ from pyspark.sql import functions as F
 from evidoc.llm.common import cut, join_counted
 
 
+#: Links that may meet in one task.
+FEW = 100_000
+
+
 def _star(links: DataFrame, total: int) -> DataFrame:
     """Rounds of (node, neighbour): neighbour -> smallest of the node and its neighbours."""
     low = links.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    if total <= FEW:
+        return links.join(low.select("a", F.least("a", "m").alias("m")), "a")
     return join_counted(links, low.select("a", F.least("a", "m").alias("m"), "n"), "a", "n", total)
 
 

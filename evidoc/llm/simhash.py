@@ -11,7 +11,9 @@ variant meet, and the full distance is verified.
 shingles have a Jaccard similarity of 0.8 or more: 192 bits, of which texts of exactly 0.8 differ in 29
 on average, 11 segments of 17 or 18 bits. A candidate is found if some segment differs by at most one
 bit, which is likely, not certain; the README states the recall by similarity. Candidates become
-links only if the similarity of their sets of shingles, which is then worked out, is 0.8 or more.
+links only if the similarity of their sets of shingles, which is then worked out, is 0.8 or more. Forests
+of the closest candidates are verified first; where one of these fails, all texts that candidates connect
+are compared exactly (``missed``), so none goes unverified.
 
 Only distinct fingerprints are indexed, so copies cost nothing. Up to ``SMALL`` fingerprints under
 a variant are compared with each other, each pair under the first variant it shares; more of them are
@@ -76,6 +78,8 @@ NEAR = Scheme(3, 5, 44, cut_up(3, 11), nearest=True)
 SIMILAR = (4, 5)
 #: Edge-disjoint forests of least distance that a small group gives.
 FORESTS = 2
+#: Shingles of the texts in a block, of which each two meet in a task.
+BLOCK = 200_000
 
 
 def shingle_hashes(text: bytes | None, shingle: int) -> list[int]:
@@ -393,21 +397,95 @@ def shingle_sets(rows: DataFrame, keep: list[str], scheme: Scheme) -> DataFrame:
     return per_row(rows, keep, ["text"], [("shingles", T.ArrayType(T.LongType()))], make)
 
 
-def verified(candidates: DataFrame, texts: DataFrame, nodes: DataFrame, scheme: Scheme = NEAR) -> DataFrame:
-    """The candidates ``a``, ``b`` (fingerprints) whose texts have a similarity of ``SIMILAR`` or more.
-    ``texts`` has ``key`` and ``text``, ``nodes`` the key of one text of each fingerprint ``fp``. Only
-    texts with a candidate are shuffled."""
+def candidate_sets(candidates: DataFrame, texts: DataFrame, nodes: DataFrame, scheme: Scheme = NEAR) -> DataFrame:
+    """``fp`` and ``shingles`` of the fingerprints in candidates ``a``, ``b``. ``texts`` has ``key`` and
+    ``text``, ``nodes`` the key of one text of each fingerprint ``fp``. Only texts with a candidate are
+    shuffled."""
     ends = candidates.select(F.col("a").alias("fp")).union(candidates.select("b")).distinct()
     wanted = nodes.join(ends, "fp", "left_semi")
     own = texts.join(wanted, "key").dropDuplicates(["key"])
-    sets = cut(shingle_sets(own, ["fp"], scheme))
+    return cut(shingle_sets(own, ["fp"], scheme))
+
+
+def compared(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidates ``a``, ``b`` once each, and ``ok``, whether their texts have a similarity of ``SIMILAR``
+    or more."""
     side = lambda end: sets.select(F.col("fp").alias(end), F.col("shingles").alias(f"s{end}"))
     rows = candidates.distinct().join(side("a"), "a").join(side("b"), "b")
     least, of = SIMILAR
     low, both = F.least(F.size("sa"), F.size("sb")), F.size("sa") + F.size("sb")
     # common / (both - common) >= least / of; the smaller set bounds what is common
     can = low * (least + of) >= both * least
-    return rows.filter(can & (F.size(F.array_intersect("sa", "sb")) * (least + of) >= both * least)).select("a", "b")
+    ok = F.when(can, F.size(F.array_intersect("sa", "sb")) * (least + of) >= both * least).otherwise(F.lit(False))
+    return rows.select("a", "b", ok.alias("ok"))
+
+
+def similar_roots(root: np.ndarray, side: np.ndarray, shingles: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of roots that texts of a similarity of ``SIMILAR`` or more link. Texts of side 0 meet those
+    of side 1, or all meet all if there is one side only; text k has the shingles up to ``ends[k]``."""
+    least, of = SIMILAR
+    root, links = root.copy(), []
+    starts = np.concatenate([[0], ends[:-1]])
+    words = np.unique(shingles, return_inverse=True)[1]
+    there = np.zeros(words.max(initial=0) + 1, dtype=bool)
+    sizes = ends - starts
+    most = np.bincount(root).argmax()  # pairs within it are none
+    halves = []
+    for k in np.unique(side):
+        rows = np.flatnonzero(side == k)
+        halves.append((rows, np.concatenate([words[starts[r] : ends[r]] for r in rows]), np.concatenate([[0], np.cumsum(sizes[rows])])))
+    for k, (mine, _, _) in enumerate(halves):
+        rows, of_rows, edges = halves[1 - k] if len(halves) > 1 else halves[0]
+        for i in mine[root[mine] != most]:
+            if (root[rows] == root[i]).all():
+                continue
+            own = words[starts[i] : ends[i]]
+            there[own] = True
+            common = np.diff(np.concatenate([[0], np.cumsum(there[of_rows])])[edges])
+            there[own] = False
+            near = rows[(common * (least + of) >= (sizes[rows] + sizes[i]) * least) & (root[rows] != root[i])]
+            for other in np.unique(root[near]):
+                links.append((int(root[i]), int(other)))
+            # From here on these roots are one; the largest keeps its name, as it is left out above.
+            joined_up = np.unique(np.append(root[near], root[i]))
+            root[np.isin(root, joined_up)] = most if most in joined_up else joined_up[0]
+    return links
+
+
+def missed(named: DataFrame, failed: DataFrame, sets: DataFrame, scheme: Scheme = NEAR) -> DataFrame:
+    """Links ``a``, ``b`` between roots that the forests' verified links leave apart although texts under
+    them have a similarity of ``SIMILAR`` or more.
+
+    ``named`` has the root of each fingerprint with a candidate, ``failed`` the candidates whose texts are
+    less similar. Forests span all candidates, so two roots with any candidate between them are linked by
+    failed ones: these make clusters of roots, and within a cluster all texts of different roots are
+    compared, in blocks of about ``BLOCK`` shingles of which each two meet in a task. Clusters of two
+    texts have no other pair than the failed one.
+    """
+    end = lambda e: named.select(F.col("fp").alias(e), F.col("root").alias(f"r{e}"))
+    apart = cut(failed.join(end("a"), "a").join(end("b"), "b").filter("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    clusters = components(apart, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("cluster"))
+    members = cut(named.join(clusters, "root").join(sets, "fp").select("cluster", "root", "fp", "shingles"))
+    weigh = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.size("shingles")).alias("shingles")).filter("texts > 2")
+    blocks = weigh.select("cluster", F.ceil(F.col("shingles") / F.lit(BLOCK)).cast("long").alias("blocks"))
+    dealt = members.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    meet = other.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "root", "shingles")
+    names = WORDS[: scheme.words]
+    schema = T.StructType([T.StructField(f"{e}{n}", T.LongType()) for e in "ab" for n in names])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        struct, lists = (rows.column(c).combine_chunks() for c in ("root", "shingles"))
+        found, root = np.unique(np.stack([struct.field(n).to_numpy(zero_copy_only=False) for n in names], axis=1), axis=0, return_inverse=True)
+        own, low = (rows.column(c).to_numpy() for c in ("own", "low"))
+        sizes = lists.value_lengths().to_numpy()
+        made = similar_roots(root.reshape(-1), (own != low).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes))
+        a, b = (found[[x[k] for x in made]].reshape(-1, len(names)) for k in (0, 1))
+        return pa.table([pa.array(np.ascontiguousarray(v[:, k]), pa.int64()) for v in (a, b) for k in range(len(names))], names=schema.names)
+
+    made = meet.groupBy("cluster", "low", "high").applyInArrow(run, schema)
+    return made.select(*[F.struct(*[F.col(f"{e}{n}").alias(n) for n in names]).alias(e) for e in "ab"]).distinct()
 
 
 def near_roots(docs: DataFrame, scheme: Scheme = NEAR) -> DataFrame:
@@ -420,9 +498,15 @@ def near_roots(docs: DataFrame, scheme: Scheme = NEAR) -> DataFrame:
     marked = fingerprints(texts, ["doc_id", "key"], scheme)
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
     nodes = cut(marked.groupBy("fp").agg(F.min(order).alias("first")))
-    near = verified(cut(links(nodes.select("fp"), scheme)), texts.select("key", "text"), nodes.select("fp", "first.key"), scheme)
-    roots = components(near, "a", "b")
-    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select(nodes["fp"], "first", F.coalesce("root", "fp").alias("root"))
+    candidates = cut(links(nodes.select("fp"), scheme))
+    sets = candidate_sets(candidates, texts.select("key", "text"), nodes.select("fp", "first.key"), scheme)
+    pairs = cut(compared(candidates, sets))
+    roots = components(pairs.filter("ok"), "a", "b")
+    linked = sets.select("fp")
+    named = cut(linked.join(roots, linked["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    later = components(missed(named, pairs.filter("not ok").select("a", "b"), sets, scheme), "a", "b").withColumnRenamed("root", "last")
+    every = named.join(later, named["root"] == later["node"], "left").select("fp", F.coalesce("last", "root").alias("root"))
+    return nodes.join(every, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
 def deduplicate(docs: DataFrame, scheme: Scheme = NEAR) -> DataFrame:
