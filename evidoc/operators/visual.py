@@ -10,6 +10,7 @@ of boxes a page.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -49,28 +50,38 @@ def label_matches(text: Column, labels: Mapping[str, Sequence[str]] = LABELS) ->
     label stands as whole words, in any case."""
     pairs = sorted(((field, label) for field, own in labels.items() for label in own), key=lambda x: -len(x[1]))
     plain = lambda x: x.replace("İ", "i").lower().replace("ı", "i")
-    rows = [f"named_struct('k', {k}, 'label', {sql_literal(plain(v))}, 'n', {len(v)}, 'field', {sql_literal(f)})" for k, (f, v) in enumerate(pairs)]
-    table = F.expr(f"array({', '.join(rows)})")
-    any_label = r"(?U)(?<!\w)(?:" + "|".join(sorted({re.sub(r"([^\w ])", r"\\\1", plain(v)) for _, v in pairs}, key=lambda x: (-len(x), x))) + r")(?!\w)"
+    rows = [(k, plain(v), len(v), f) for k, (f, v) in enumerate(pairs)]
+    texts = sorted({v for _, v, _, _ in rows}, key=lambda x: (-len(x), x))
+    # At a place where the longest label stands, the others that stand there are its beginnings that end with a word.
+    in_word = lambda x: re.match(r"\w", x) or unicodedata.category(x[0])[0] == "M" if x else False
+    begins = lambda long, v: long.startswith(v) and not in_word(long[len(v) :])
+    struct = lambda k, v, n, f: f"named_struct('k', {k}, 'n', {n}, 'field', {sql_literal(f)})"
+    entries = [f"{sql_literal(x)}, array({', '.join(struct(*r) for r in rows if begins(x, r[1]))})" for x in texts]
+    standing = F.expr(f"map({', '.join(entries)})" if entries else "cast(map() as map<string,array<struct<k:int,n:int,field:string>>>)")
+    escaped = lambda x: re.sub(r"([^\w ])", r"\\\1", x)
+    # Labels of the same first letter are tried only where it stands; of these the longest comes first.
+    longest = "|".join(f"{escaped(c)}(?:{'|'.join(escaped(x[1:]) for x in texts if x[:1] == c)})" for c in sorted({x[:1] for x in texts}))
+    # From the end of the last match on: what is before a place, the longest label there, and one character of it.
+    place = F.lit(rf"(?Us)\G.*?(?<!\w)(?=({longest})(?!\w)).")
     none = F.array().cast("array<struct<start:int,stop:int,field:string>>")
+    seen = F.array().cast("array<struct<k:int,start:int,stop:int,field:string>>")
 
-    def at(low: Column, start: Column, present: Column) -> Column:
-        rest = F.substr(low, start + 1)
-        fits = F.filter(present, lambda x: F.startswith(rest, x["label"]) & ~F.rlike(F.substr(rest, x["n"] + 1, F.lit(1)), F.lit(r"(?U)^\w")))
-        return F.transform(fits, lambda x: F.struct(x["k"].alias("k"), start.alias("start"), (start + x["n"]).alias("stop"), x["field"].alias("field")))
+    def add(s: Column, x: Column) -> Column:
+        """One more place: ``end`` is behind its first character."""
+        end = s["end"] + F.length(x["upto"])
+        own = F.transform(F.element_at(standing, x["label"]), lambda v: F.struct(v["k"].alias("k"), (end - 1).alias("start"), (end - 1 + v["n"]).alias("stop"), v["field"].alias("field")))
+        return F.struct(end.alias("end"), F.concat(s["all"], own).alias("all"))
 
     def found(low: Column) -> Column:
-        opens = lambda i: (i == 0) | ~F.rlike(F.substr(low, i, F.lit(1)), F.lit(r"(?U)^\w"))
-        starts = F.filter(F.sequence(F.lit(0), F.length(low) - 1), opens)
-        # Few labels stand anywhere in a text; only they are tried at its words.
-        present = F.filter(table, lambda x: F.contains(low, x["label"]))
-        in_turn = let(present, lambda few: F.array_sort(F.flatten(F.transform(starts, lambda i: at(low, i, few)))))
+        parts = F.zip_with(F.regexp_extract_all(low, place, F.lit(0)), F.regexp_extract_all(low, place, F.lit(1)), lambda u, v: F.struct(u.alias("upto"), v.alias("label")))
+        in_turn = F.array_sort(F.aggregate(parts, F.struct(F.lit(0).alias("end"), seen.alias("all")), add, lambda s: s["all"]))
         clear = lambda done, x: ~F.exists(done, lambda d: (x["start"] < d["stop"]) & (x["stop"] > d["start"]))
         own = lambda x: F.array(F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["field"].alias("field")))
         return F.array_sort(F.aggregate(in_turn, none, lambda done, x: F.when(clear(done, x), F.concat(done, own(x))).otherwise(done)))
 
     # One expression tells most boxes apart; only those with a label look for its place.
-    return let(caseless(text), lambda low: F.when(F.rlike(low, F.lit(any_label)), found(low)).otherwise(none))
+    any_label = F.lit(rf"(?U)(?<!\w)(?:{longest})(?!\w)")
+    return let(caseless(text), lambda low: F.when(F.rlike(low, any_label), found(low)).otherwise(none))
 
 
 def label_field(text: Column, labels: Mapping[str, Sequence[str]] = LABELS) -> Column:

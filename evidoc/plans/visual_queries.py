@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidoc.functions.text import fold, same_transliterated, visual_date
 from evidoc.operators import labels, visual
-from evidoc.plans.bridge import LINES, boxes, scattered, table
+from evidoc.plans.bridge import LINES, boxes, scattered, spread, table
 
 
 def visual_date_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,9 @@ def label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 6, F.lit("(Passport No.) 12"))
         .otherwise(F.lit("STAATSANGEHÖRIGKEIT"))
     )
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", visual.label_matches(text).alias("m"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    # A file of few row groups keeps few cores busy; a row takes some 10 us, so a task has more of them than of pages.
+    rows = spread(lines, "l_orderkey", keys=lines.count() // 20).select("l_orderkey", "l_linenumber", visual.label_matches(text).alias("m"))
     fields = F.array_join(F.transform("m", lambda x: F.concat(x["field"], F.lit("@"), x["start"].cast("string"), F.lit("-"), x["stop"].cast("string"))), ",")
     return rows.select("l_orderkey", "l_linenumber", fields.alias("labels"))
 

@@ -35,3 +35,7 @@ def test_words_do_not_go_through_the_driver_nor_carry_texts(spark, sf):
     made = plan(spark, sf, "indexed_labels")
     assert "BroadcastHashJoin" not in made and "SortMergeJoin" in made
     assert "array_distinct" in made
+
+
+def test_labels_are_looked_for_on_all_cores(spark, sf):
+    assert "REPARTITION_BY_NUM" in plan(spark, sf, "label_match")

@@ -96,6 +96,14 @@ def test_labels_are_whole_words_and_longest_first(spark):
     assert match("") == []
 
 
+def test_labels_that_begin_alike_stand_in_for_each_other(spark):
+    own = {"a": ("no.", "no", "date"), "b": ("date of", "no.", "\u00e9tat"), "c": ("of issue place",)}
+    made = spark.range(1).select(visual.label_matches(F.lit("Date of issue place \U0001f600 No. 1 \u00c9TAT nos"), own))
+    assert [tuple(m) for m in made.first()[0]] == [(0, 4, "a"), (5, 19, "c"), (22, 25, "a"), (28, 32, "b")]
+    table = repr(made._jdf.queryExecution().toString())
+    assert "contains(" not in table  # labels are not tried one by one
+
+
 def test_labels_are_a_parameter(spark):
     own = {"surname": ("sukunimi",)}
     got = visual.inline_values(page(spark, ("Sukunimi: VIRTANEN",), ("Surname: X Y",)), own).collect()
