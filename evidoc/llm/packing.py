@@ -15,6 +15,7 @@ columns are ignored; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import sys
@@ -34,8 +35,8 @@ from evidoc.llm.common import CACHES, ROWS_PER_STEP, cut, released, values
 
 CAPACITY = 1024
 END_ID = 2
-#: Chunks of text in a generation of what a Python worker remembers the ids of (about 60 MB).
-REMEMBERED = 300_000
+#: Chunks of text in a generation of what a Python worker remembers the ids of (about 120 MB).
+REMEMBERED = 600_000
 
 #: White space as the tokenizer's pattern has it (Unicode White_Space).
 OTHER_SPACE = "\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -48,6 +49,8 @@ WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 #: Unicode agree on them. Fixed value but for its white space, spelled out.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\t-\r \x85\xa0\p{L}\p{N}]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+")
 SETTLED = "\u0250"
+#: Marks that stand behind words.
+MARKS = ".,;:!?"
 
 
 def byte_letters() -> dict[int, str]:
@@ -74,12 +77,18 @@ class Memory(dict):
         plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         self.model = tokenizer.model if plain and tokenizer.normalizer is None else None
         self.letters = byte_letters()
+        self.space = self.letters[0x20]
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.get(chunk)
         if ids is None:
             if self.model is None:
                 ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            elif chunk.isascii() and (core := chunk.rstrip(MARKS))[core[:1] == " " :].isalpha():  # most are, so nothing else is asked
+                if len(core) == len(chunk):
+                    ids = self.part(self.space + core[1:] if core[0] == " " else core)
+                else:
+                    ids = self[core] + self[chunk[len(core) :]]
             elif chunk.isascii() or max(chunk) < SETTLED:
                 parts = self.parts(chunk)
                 ids = self.part(chunk.encode().decode("latin-1").translate(self.letters)) if len(parts) == 1 else b"".join(map(self.__getitem__, parts))
@@ -94,7 +103,7 @@ class Memory(dict):
     @staticmethod
     def parts(chunk: str) -> list[str]:
         """What PARTS finds; a word with or without common marks behind it is told without it."""
-        core = chunk.rstrip(".,;:!?")
+        core = chunk.rstrip(MARKS)
         if core[core[:1] == " " :].isalpha():
             return [core] if len(core) == len(chunk) else [core, chunk[len(core) :]]
         return PARTS.findall(chunk)
@@ -164,6 +173,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
 
     def run(batches):
         encoder = Encoder(tokenizer_path)
+        gc.disable()  # nothing below refers to itself, and the collector would walk all that is remembered
+        try:
+            yield from cut_up(encoder, batches)
+        finally:
+            gc.enable()
+
+    def cut_up(encoder, batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS_PER_STEP):
                 part = batch.slice(lo, ROWS_PER_STEP)

@@ -7,6 +7,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from evidoc.llm import packing
+from evidoc.llm.queries import tokenizer_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -126,3 +127,15 @@ def test_sequences_hold_their_ids(spark, docs):
 
 def test_empty(spark, empty):
     assert packing.pack(empty, PATH).count() == 0
+
+
+def test_plain_words_are_told_by_their_letters_alone(monkeypatch):
+    encoder = packing.Encoder(tokenizer_path())
+    encoder.memory.clear()
+    encoder.memory.older = {}
+    asked = []
+    monkeypatch.setattr(packing.Memory, "parts", staticmethod(lambda chunk: asked.append(chunk) or packing.PARTS.findall(chunk)))
+    text = "Plain words, some of them with marks! and 7 others?! A.b it's"
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == want
+    assert not any(x.strip(" .,;:!?").isalpha() for x in asked)
