@@ -147,19 +147,23 @@ def word(fp: Column, scheme: Scheme, k: int) -> Column:
 
 def variants(fps: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     """``fp`` under its one-wildcard keys: wildcard bit (``bit``, numbered through the segments), and
-    segment value with it cleared."""
-    keys, number = [], 0
+    segment value with it cleared. Segments become rows first and bits after them: an expression for each
+    bit makes code that takes some 250 MB of the driver's heap to compile."""
+    segments, number = [], 0
     mask = lambda n: F.lit((1 << n) - 1).cast("long")
     for pieces in scheme.segments:
         value, width = F.lit(0).cast("long"), 0
         for w, lo, n in pieces:
             own = F.shiftrightunsigned(word(F.col("fp"), scheme, w), lo).bitwiseAND(mask(n))
             value, width = value.bitwiseOR(F.shiftleft(own, width)), width + n
-        for k in range(width):
-            cleared = value.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << k)).cast("long"))
-            keys.append(cleared.bitwiseOR(F.lit((number + k) << 40).cast("long")))
+        segments.append(F.struct(value.alias("value"), F.lit(number).alias("first"), F.lit(number + width - 1).alias("last")))
         number += width
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key")).withColumn("bit", F.shiftrightunsigned("key", 40).cast("long"))
+    rows = fps.select("fp", F.inline(F.array(*segments)))
+    bits = rows.select("fp", "value", "first", F.explode(F.sequence("first", "last")).alias("bit"))
+    wildcard = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") - F.col("first"))
+    bit = F.col("bit").cast("long")
+    key = F.col("value").bitwiseAND(F.bitwise_not(wildcard)).bitwiseOR(F.shiftleft(bit, 40))
+    return bits.select("fp", key.alias("key"), bit.alias("bit"))
 
 
 def distance(x: np.ndarray) -> np.ndarray:

@@ -92,6 +92,34 @@ def test_components_of_hubs_chains_and_cycles(spark):
     assert got == {x: root(x) for x in parent}
 
 
+def test_variants_by_brute_force_and_small_code(spark, capsys):
+    """Each key is a segment with one bit cleared; code for them must not grow with the bits (the driver
+    compiled 223,000 characters for 192 bits once, which took it over its memory)."""
+    r = random.Random(5)
+    for scheme in (simhash.EXACT, simhash.NEAR):
+        fps = [tuple(r.getrandbits(64) for _ in range(scheme.words)) for _ in range(20)]
+        fps += [(0,) * scheme.words, ((1 << 64) - 1,) * scheme.words]
+        want = set()
+        for fp in fps:
+            number = 0
+            for pieces in scheme.segments:
+                value = width = 0
+                for w, lo, n in pieces:
+                    value |= (fp[w] >> lo & (1 << n) - 1) << width
+                    width += n
+                want |= {(tuple(map(simhash.signed, fp)), number + k << 40 | value & ~(1 << k), number + k) for k in range(width)}
+                number += width
+        names = simhash.WORDS[: scheme.words]
+        rows = [(tuple(map(simhash.signed, fp)) if scheme.words > 1 else simhash.signed(fp[0]),) for fp in fps]
+        kind = f"struct<{','.join(f'{n}:bigint' for n in names)}>" if scheme.words > 1 else "bigint"
+        got = simhash.variants(spark.createDataFrame(rows, f"fp {kind}"), scheme)
+        found = [(tuple(x["fp"]) if scheme.words > 1 else (x["fp"],), x["key"], x["bit"]) for x in got.collect()]
+        assert len(found) == len(want) and set(found) == want
+        capsys.readouterr()
+        got.explain("codegen")
+        assert len(capsys.readouterr().out) < 60_000
+
+
 def test_segments_cover_all_bits():
     for scheme, widths in ((simhash.EXACT, [21, 21, 22]), (simhash.NEAR, [17, 17, 18, 17, 18, 17, 18, 17, 18, 17, 18])):
         assert scheme.widths() == widths
