@@ -51,13 +51,15 @@ SMALL, LARGE = 256, 20_000
 @dataclass(frozen=True)
 class Scheme:
     """How texts become fingerprints of some 64-bit words, and which of these are linked: in stars, or
-    by trees of least distance (``nearest``)."""
+    by trees of least distance (``nearest``). ``first`` segments are searched before the others, whose
+    search then leaves out pairs that links of the first ones connect."""
 
     words: int
     shingle: int
     bits: int
     segments: tuple[tuple[tuple[int, int, int], ...], ...]  # pieces (word, lowest bit, width) of each
     nearest: bool = False
+    first: int = 0
 
     def widths(self) -> list[int]:
         return [sum(w for _, _, w in own) for own in self.segments]
@@ -73,7 +75,7 @@ def cut_up(words: int, count: int) -> tuple[tuple[tuple[int, int, int], ...], ..
 
 
 EXACT = Scheme(1, 4, 4, cut_up(1, 3))
-NEAR = Scheme(3, 5, 44, cut_up(3, 11), nearest=True)
+NEAR = Scheme(3, 5, 44, cut_up(3, 11), nearest=True, first=1)
 #: The least similarity of near copies, as a fraction.
 SIMILAR = (4, 5)
 #: Edge-disjoint forests of least distance that a small group gives.
@@ -145,10 +147,11 @@ def word(fp: Column, scheme: Scheme, k: int) -> Column:
     return fp[WORDS[k]] if scheme.words > 1 else fp
 
 
-def variants(fps: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
-    """``fp`` under its one-wildcard keys: wildcard bit (``bit``, numbered through the segments), and
-    segment value with it cleared. Segments become rows first and bits after them: an expression for each
-    bit makes code that takes some 250 MB of the driver's heap to compile."""
+def variants(fps: DataFrame, scheme: Scheme = EXACT, wanted: slice = slice(None)) -> DataFrame:
+    """``fp`` (and other columns) under its one-wildcard keys in the segments ``wanted``: wildcard bit
+    (``bit``, numbered through all segments), and segment value with it cleared. Segments become rows
+    first and bits after them: an expression for each bit makes code that takes some 250 MB of the
+    driver's heap to compile."""
     segments, number = [], 0
     mask = lambda n: F.lit((1 << n) - 1).cast("long")
     for pieces in scheme.segments:
@@ -158,12 +161,12 @@ def variants(fps: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
             value, width = value.bitwiseOR(F.shiftleft(own, width)), width + n
         segments.append(F.struct(value.alias("value"), F.lit(number).alias("first"), F.lit(number + width - 1).alias("last")))
         number += width
-    rows = fps.select("fp", F.inline(F.array(*segments)))
-    bits = rows.select("fp", "value", "first", F.explode(F.sequence("first", "last")).alias("bit"))
+    rows = fps.select(*fps.columns, F.inline(F.array(*segments[wanted])))
+    bits = rows.select(*fps.columns, "value", "first", F.explode(F.sequence("first", "last")).alias("bit"))
     wildcard = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") - F.col("first"))
     bit = F.col("bit").cast("long")
     key = F.col("value").bitwiseAND(F.bitwise_not(wildcard)).bitwiseOR(F.shiftleft(bit, 40))
-    return bits.select("fp", key.alias("key"), bit.alias("bit"))
+    return bits.select(*fps.columns, key.alias("key"), bit.alias("bit"))
 
 
 def distance(x: np.ndarray) -> np.ndarray:
@@ -210,21 +213,34 @@ def forest(fps: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarra
     return a, b
 
 
-def nearest_tree(fps: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links of a spanning forest of least distances, grown node by node."""
-    left, place = fps[1:].copy(), np.arange(1, len(fps))
+def one_node(key: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """For each row the first one that has its key and its part; a part of zero is each row's own."""
+    first, rows = np.arange(len(key)), np.flatnonzero(part)
+    if len(rows):
+        rows = rows[np.lexsort((part[rows], key[rows]))]
+        new = np.concatenate([[True], (np.diff(key[rows]) != 0) | (np.diff(part[rows]) != 0)])
+        first[rows] = rows[new][np.cumsum(new) - 1]
+    return first
+
+
+def nearest_tree(fps: np.ndarray, bits: int, part: np.ndarray | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links of a spanning forest of least distances, grown node by node. Rows of the same ``part`` are
+    linked already."""
+    part = np.arange(len(fps)) if part is None else part
+    left, place, mine = fps[1:].copy(), np.arange(1, len(fps)), part[1:].copy()
     best, by = np.full(len(left), 64 * fps.shape[1] + 1), np.zeros(len(left), dtype=np.int64)
     own, a, b = 0, [], []
     for n in range(len(left), 0, -1):
         far = distance(left[:n] ^ fps[own])
         closer = np.flatnonzero(far < best[:n])
         best[closer], by[closer] = far[closer], own
+        best[:n][mine[:n] == part[own]] = -1
         k = int(best[:n].argmin())
         own = int(place[k])
-        if best[k] <= bits:
+        if 0 <= best[k] <= bits:
             a.append(by[k])
             b.append(own)
-        for column in (left, place, best, by):
+        for column in (left, place, mine, best, by):
             column[k] = column[n - 1]
     return ([fps[a]], [fps[b]]) if a else ([], [])
 
@@ -264,20 +280,23 @@ def nearest_forests(low: np.ndarray, high: np.ndarray, far: np.ndarray, n: int)
 
 def _links(sorted_rows: DataFrame, scheme: Scheme, large: int | None) -> DataFrame:
     """Links of rows (key, bit, fp) that come sorted by key and fp. A group of over ``large`` gives a row
-    with its key and size instead."""
+    with its key and size instead. Rows may have a ``part``, within which all is linked already."""
     names = WORDS[: scheme.words]
+    held = ["part"] if "part" in sorted_rows.columns else []
     ends = [f"{side}{n}" for side in "ab" for n in names]
     schema = T.StructType([T.StructField(c, T.LongType()) for c in (*ends, "key", "n")])
 
-    def pairs(key, bit, fp):
+    def pairs(key, bit, fp, part):
         """Links of small groups: all pairs are compared, and of each tree they make every node is
         linked to the first, or the closest pairs are taken, so a group never gives more links than
         it has rows (in each forest)."""
         a, b, d = [], [], []
+        node = one_node(key, part)
         for lag in range(1, SMALL):
             same = np.flatnonzero(key[lag:] == key[:-lag]) if len(key) > lag else ()
             if not len(same):
                 break
+            same = same[node[same] != node[same + lag]]
             x = fp[same] ^ fp[same + lag]
             far = distance(x)
             ok = far <= scheme.bits
@@ -289,7 +308,7 @@ def _links(sorted_rows: DataFrame, scheme: Scheme, large: int | None) -> DataFra
             return [], []
         low, high = np.concatenate(a), np.concatenate(b)
         if scheme.nearest:
-            own = nearest_forests(low, high, np.concatenate(d), len(key))
+            own = nearest_forests(node[low], node[high], np.concatenate(d), len(key))
             return [fp[low[own]]], [fp[high[own]]]
         first = joined(low, high, len(key))
         own = np.flatnonzero(first != np.arange(len(key)))
@@ -302,7 +321,7 @@ def _links(sorted_rows: DataFrame, scheme: Scheme, large: int | None) -> DataFra
         cols = [pa.concat_arrays([c, gone]) for c in cols] + [pa.concat_arrays([none, pa.array(v, pa.int64())]) for v in (key, n)]
         return pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    def groups(key, bit, fp):
+    def groups(key, bit, fp, part):
         """Whole groups: the small ones at once, the others one by one."""
         if not len(key):
             return
@@ -316,15 +335,15 @@ def _links(sorted_rows: DataFrame, scheme: Scheme, large: int | None) -> DataFra
             if large is not None and e - s > large:
                 yield batch([], [], [int(key[s])], [int(e - s)])
             else:
-                yield batch(*(nearest_tree if scheme.nearest else forest)(fp[s:e], scheme.bits))
-        yield batch(*pairs(key[keep], bit[keep], fp[keep]))
+                yield batch(*(nearest_tree(fp[s:e], scheme.bits, one_node(key[s:e], part[s:e])) if scheme.nearest else forest(fp[s:e], scheme.bits)))
+        yield batch(*pairs(key[keep], bit[keep], fp[keep], part[keep]))
 
     def run(batches):
         rest = None  # rows of the last group so far
         over = 0  # rows of it that were dropped, once it is too large
         for b in batches:
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(2 + scheme.words)]
-            own = [cols[0], cols[1], np.stack(cols[2:], axis=1).view(np.uint64)]
+            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
+            own = [cols[0], cols[1], np.stack(cols[2 : 2 + scheme.words], axis=1).view(np.uint64), cols[-1] if held else np.zeros(len(cols[0]), np.int64)]
             if rest is not None:
                 own = [np.concatenate(x) for x in zip(rest, own, strict=True)]
             if not len(own[0]):
@@ -345,15 +364,14 @@ def _links(sorted_rows: DataFrame, scheme: Scheme, large: int | None) -> DataFra
             else:
                 yield from groups(*rest)
 
-    made = sorted_rows.select("key", "bit", *[word(F.col("fp"), scheme, k).alias(n) for k, n in enumerate(names)]).mapInArrow(released(run), schema)
+    made = sorted_rows.select("key", "bit", *[word(F.col("fp"), scheme, k).alias(n) for k, n in enumerate(names)], *[F.coalesce(c, F.lit(0).cast("long")) for c in held]).mapInArrow(released(run), schema)
     fp = lambda side: (F.struct(*[F.col(f"{side}{n}").alias(n) for n in names]) if scheme.words > 1 else F.col(f"{side}w0")).alias(side)
     return made.select(fp("a"), fp("b"), "key", "n")
 
 
-def links(fps: DataFrame, scheme: Scheme = EXACT, large: int = LARGE) -> DataFrame:
-    """Links ``a``, ``b`` between distinct fingerprints (column ``fp``), with the components of all
-    pairs that share a variant and differ in at most ``scheme.bits`` bits."""
-    keyed = variants(fps, scheme)
+def searched(fps: DataFrame, scheme: Scheme, own: slice, large: int) -> DataFrame:
+    """Links ``a``, ``b`` under the variants of the segments ``own``."""
+    keyed = variants(fps, scheme, own)
     found = cut(_links(keyed.repartition("key").sortWithinPartitions("key", "fp"), scheme, large))
     made = found.filter("key is null").select("a", "b")
     over = found.filter("key is not null").select("key", "n")
@@ -365,10 +383,26 @@ def links(fps: DataFrame, scheme: Scheme = EXACT, large: int = LARGE) -> DataFra
     other = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
     meet = F.xxhash64("key", F.least("__own", "__other"), F.greatest("__own", "__other"))
     # A chance collision of two groups' hashes joins them; the distance is verified all the same.
-    again = other.select(meet.alias("key"), "bit", "fp").distinct()
+    again = other.select(meet.alias("key"), "bit", *fps.columns).distinct()
     return made.union(_links(again.repartition("key").sortWithinPartitions("key", "fp"), scheme, None).select("a", "b"))
 
 
+def links(fps: DataFrame, scheme: Scheme = EXACT, large: int = LARGE) -> DataFrame:
+    """Links ``a``, ``b`` between distinct fingerprints (column ``fp``), with the components of all
+    pairs that share a variant and differ in at most ``scheme.bits`` bits.
+
+    A large family gives a forest under each variant, some hundred links a fingerprint. So where the
+    scheme has ``first`` segments, what their links connect is one node (``part``) to all later variants.
+    """
+    if not scheme.first:
+        return searched(fps, scheme, slice(None), large)
+    made = cut(searched(fps, scheme, slice(scheme.first), large).distinct())
+    parts = components(made, "a", "b")
+    # Two parts of one 64-bit hash would have to be candidates of each other to lose a link.
+    held = fps.join(parts, fps["fp"] == parts["node"], "left").select("fp", F.when(F.col("root").isNotNull(), F.xxhash64("root")).alias("part"))
+    return made.union(searched(held, scheme, slice(scheme.first, None), large))
+
+
 def rooted(nodes: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     """``nodes``, which has each fingerprint ``fp`` once, and the ``root`` of its component."""
     roots = components(links(nodes.select("fp"), scheme), "a", "b")

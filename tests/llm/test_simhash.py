@@ -240,6 +240,46 @@ def test_a_large_group_of_near_copies_is_one(spark):
     assert [x["doc_id"] for x in simhash.deduplicate(frame).collect()] == [0]
 
 
+def test_links_of_a_large_family_are_few_and_connect_all(spark, monkeypatch):
+    """Four hundred texts, most pairs of them candidates and few similar: forests under each variant by
+    itself gave 42 links a text, each of which carries two sets of shingles through a join."""
+    r = random.Random(6)
+    base = prose(78, 150)
+    fps = {simhash.fingerprint(edited(base, r, r.uniform(0.003, 0.06)).encode(), simhash.NEAR) for _ in range(400)}
+    nodes = sorted(tuple(map(simhash.signed, f)) for f in fps)
+    frame = spark.createDataFrame([(n,) for n in nodes], "fp struct<w0:bigint,w1:bigint,w2:bigint>")
+    whole = [sum((w & (1 << 64) - 1) << 64 * k for k, w in enumerate(n)) for n in nodes]
+    low, high = np.array([(i, j) for i in range(len(nodes)) for j in range(i) if near_linked(whole[i], whole[j])]).T
+    want = simhash.joined(low, high, len(nodes))
+    for small, large in ((simhash.SMALL, simhash.LARGE), (40, 100)):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        found = {(tuple(x["a"]), tuple(x["b"])) for x in simhash.links(frame, simhash.NEAR, large).collect()}
+        at = {n: k for k, n in enumerate(nodes)}
+        a, b = np.array([(at[x], at[y]) for x, y in found]).T
+        assert (simhash.joined(a, b, len(nodes)) == want).all()
+        assert len(low) > 40 * len(nodes) and len(found) < 12 * len(nodes)
+
+
+def test_parts_are_one_node():
+    """Trees over rows that parts connect already: no link within a part, and the same groups with them."""
+    r = np.random.default_rng(9)
+    for n in (2, 20, 60):
+        fps = np.unique(r.integers(0, 1 << 9, (n, 3)).astype(np.uint64), axis=0)
+        n = len(fps)
+        key, part = np.zeros(n, np.int64), r.integers(0, 1 + n // 4, n)
+        node = simhash.one_node(key, part)
+        assert all((node[i] == node[j]) == (i == j or part[i] == part[j] > 0) for i in range(n) for j in range(n))
+        assert (simhash.one_node(np.arange(n), part) == np.arange(n)).all()
+        low, high = np.triu_indices(n, 1)
+        near = simhash.distance(fps[low] ^ fps[high]) <= 9
+        own = np.arange(n)
+        want = simhash.joined(np.concatenate([low[near], node]), np.concatenate([high[near], own]), n)
+        at = {tuple(f): k for k, f in enumerate(fps)}
+        a, b = (np.array([at[tuple(f)] for x in side for f in x], dtype=np.int64) for side in simhash.nearest_tree(fps, 9, node))
+        assert (node[a] != node[b]).all() and len(a) < len(set(node))
+        assert (simhash.joined(np.concatenate([a, node]), np.concatenate([b, own]), n) == want).all()
+
+
 def test_no_pair_goes_unverified_where_close_candidates_fail(spark):
     """Sixty texts about the limit of similarity: forests of the closest candidates leave groups apart that
     other pairs link (``FORESTS`` alone gave 21 and 20 groups)."""
