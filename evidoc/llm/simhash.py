@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidoc.llm.common import cut, fresh, join_counted, per_row, released, row_key, signed
-from evidoc.llm.components import components
+from evidoc.llm.components import components, joined
 
 SEED = 42
 #: Fingerprints under one variant that are compared pair by pair, and that one task may search.
@@ -245,18 +245,6 @@ def nearest_tree(fps: np.ndarray, bits: int, part: np.ndarray | None = None) ->
     return ([fps[a]], [fps[b]]) if a else ([], [])
 
 
-def joined(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
-    """The smallest of ``n`` nodes that links reach from each."""
-    first = np.arange(n)
-    while True:
-        before = first.copy()
-        np.minimum.at(first, high, first[low])
-        np.minimum.at(first, low, first[high])
-        first = first[first]
-        if (first == before).all():
-            return first
-
-
 def nearest_forests(low: np.ndarray, high: np.ndarray, far: np.ndarray, n: int) -> np.ndarray:
     """Which of the pairs make forests of least distance: each tree takes its shortest pair to another
     until none is left, and each further forest is made of pairs that earlier ones have not."""

@@ -90,6 +90,20 @@ def test_components_of_hubs_chains_and_cycles(spark):
     frame = spark.createDataFrame(edges, "x long, y long")
     got = {n["node"]: n["root"] for n in components.components(frame, "x", "y").collect()}
     assert got == {x: root(x) for x in parent}
+    for few in (150, 7):  # several tasks' stars, which rounds then join, and links within one batch
+        parts = components.components(frame.repartition(5), "x", "y", few).collect()
+        assert len(parts) == len(parent) and {n["node"]: n["root"] for n in parts} == got
+
+
+def test_components_of_few_links_take_no_rounds(spark):
+    """Up to ``FEW`` links are one task's; rounds over them were some hundred stages of the pipeline."""
+    frame = spark.createDataFrame([((k, 0, -k), (k + 1, 0, -k - 1)) for k in range(-300, 300)], "x struct<w0:bigint,w1:bigint,w2:bigint>, y struct<w0:bigint,w1:bigint,w2:bigint>")
+    spark.sparkContext.setJobGroup("few links", "components")
+    got = {tuple(n["node"]): tuple(n["root"]) for n in components.components(frame, "x", "y").collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few links")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {(k, 0, -k): (-300, 0, 300) for k in range(-300, 301)}
+    assert len(jobs) <= 6
 
 
 def test_variants_by_brute_force_and_small_code(spark, capsys):
