@@ -129,7 +129,7 @@ def acceptable(field: Column, value: Column) -> Column:
 def marked(boxes: DataFrame, labels: Labels = LABELS) -> DataFrame:
     """Boxes outside the machine-readable zone with ``m``, the labels in their text, and ``label``, the
     field of the first one. A mapping of labels is looked for within the row; a table of labels, as
-    ``labels.index`` makes it, is joined to the boxes' words."""
+    ``labels.index`` makes it, is joined to the boxes' pieces."""
     rows = boxes.filter(not_machine_zone(F.col("text")))
     rows = with_matches(rows, ["doc_id", "ord"], labels) if isinstance(labels, DataFrame) else rows.withColumn("m", label_matches(F.col("text"), labels))
     return rows.withColumn("label", F.get("m", 0)["field"])

@@ -54,3 +54,38 @@ def test_no_labels(spark):
     frame = spark.createDataFrame([(1, 0, "a b")], "doc_id long, ord int, text string")
     none = labels.index(spark.createDataFrame([], "field string, label string, ord int"))
     assert labels.with_matches(frame, ["doc_id", "ord"], none).first()["m"] == []
+
+
+def nodes(node):
+    yield node
+    for k in range(node.children().length()):
+        yield from nodes(node.children().apply(k))
+
+
+def test_a_text_meets_no_label_but_those_that_stand_in_it(spark):
+    """All labels share words with all texts; what they were compared with grew as their product."""
+    r = random.Random(2)
+    common = ["to", "the", "of", "in", "on", "at"]
+    table = [(f"f{k % 3}", f"{a} {b} {c}", k) for k, (a, b, c) in enumerate((a, b, c) for a in common for b in common for c in common)]
+    texts = [" ".join(r.choice(common) for _ in range(30)) for _ in range(40)]
+    frame = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "doc_id long, ord int, text string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan with its counts is hidden
+    try:
+        found = labels.places(frame, ["doc_id", "ord"], labels.index(spark.createDataFrame(table, "field string, label string, ord int")))
+        assert len(found.collect()) == 40 * 28
+        met = [n.metrics().apply("numOutputRows").value() for n in nodes(found._jdf.queryExecution().executedPlan()) if "Join" in n.nodeName()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert met and max(met) == 40 * 28
+
+
+def test_labels_with_signs_around_their_words_need_them(spark):
+    table = spark.createDataFrame([("a", "no.", 0), ("b", "(no", 1), ("c", "--no", 2), ("d", "no", 3)], "field string, label string, ord int")
+    texts = ["no.", "no.x", "x no. ", "(no", "x(no", "x (no)", "--no", "---no", "x--no", "no", "no..", "\U0001f600 no. \U0001f600"]
+    frame = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "doc_id long, ord int, text string")
+    got = {}
+    for x in labels.places(frame, ["doc_id", "ord"], labels.index(table)).collect():
+        got.setdefault(texts[x["doc_id"]], set()).add(x["field"])
+    want = {t: {f for f, v, _ in (("a", "no.", 0), ("b", "(no", 0), ("c", "--no", 0), ("d", "no", 0)) for m in range(len(t)) if t.startswith(v, m) and not re.match(r"\w", t[m - 1 : m] if m else "") and not re.match(r"\w", t[m + len(v) :])} for t in texts}
+    assert got == want
