@@ -117,7 +117,11 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     two boxes beside another column, a number without a label on every fourth, and the zone."""
     rows = spread(lines(spark, sf_dir), "doc_id", table(spark, sf_dir, "customer").count())
     c, lit = F.col, F.lit
-    birth, expiry = (F.to_date(F.concat(lit("19"), c("birth")), "yyyyMMdd"), F.to_date(F.concat(lit("20"), c("expiry")), "yyyyMMdd"))
+    # Printed as the digits say: the day of a real order, 29 February 2000, is none in 1900.
+    part = lambda name, start: F.substring(name, start, 2)
+    month = F.upper(F.date_format(F.to_date(F.concat(lit("2000-"), part("birth", 3), lit("-01"))), "MMM"))
+    birth = F.concat_ws(" ", part("birth", 5), month, F.concat(lit("19"), part("birth", 1)))
+    expiry = F.concat_ws(".", part("expiry", 5), part("expiry", 3), F.concat(lit("20"), part("expiry", 1)))
     sex = F.when(c("sex") == "M", "MALE").when(c("sex") == "F", "FEMALE").otherwise("X")
     number = F.when(c("doc_id") % 4 == 3, c("number")).otherwise(F.concat(lit("Passport No.: "), c("number")))
     texts = [
@@ -126,9 +130,9 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (lit("Given names"), 100, 200, 110), (F.substring("given_names", 1, 4), 100, 225, 60), (F.substring("given_names", 5, 5), 175, 225, 70),
         (lit("Nationality"), 300, 200, 100), (c("nationality"), 300, 225, 60),
         (number, 700, 100, 300),
-        (lit("Date of birth"), 100, 300, 130), (F.upper(F.date_format(birth, "dd MMM yyyy")), 100, 325, 150),
+        (lit("Date of birth"), 100, 300, 130), (birth, 100, 325, 150),
         (F.concat(lit("Sex: "), sex), 700, 300, 120),
-        (lit("Date of expiry"), 100, 420, 140), (F.date_format(expiry, "dd.MM.yyyy"), 260, 420, 140),
+        (lit("Date of expiry"), 100, 420, 140), (expiry, 260, 420, 140),
         (lit("Authority"), 100, 560, 90), (F.concat(lit("OFFICE "), c("nationality")), 100, 585, 160),
         (c("line1"), 100, 900, 1200), (c("line2"), 100, 940, 1200),
     ]

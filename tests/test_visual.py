@@ -1,8 +1,10 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from evidoc.functions.text import visual_date
 from evidoc.operators import visual
+from evidoc.plans import catalog
 
 SCHEMA = "doc_id long, ord int, text string, confidence double, x1 int, y1 int, x2 int, y2 int, width int, height int"
 
@@ -122,3 +124,21 @@ def test_spatial_join_is_no_nested_loop(spark):
 
 def test_empty(spark):
     assert visual.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_birth_date_that_does_not_exist_ends_no_form(spark, sf, tmp_path):
+    """The first order of customer 7 is on 2000-02-29, so the form says 29 FEB 1900."""
+    for name in ("nation", "customer", "orders"):
+        rows = spark.read.parquet(f"{sf}/{name}.parquet")
+        if name == "orders":
+            rows = rows.withColumn("o_orderdate", F.when(F.col("o_custkey") == 7, F.lit("2000-02-29").cast(rows.schema["o_orderdate"].dataType)).otherwise(F.col("o_orderdate")))
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("nation", "customer", "orders"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    for query in ("visual_fields", "adjacent_values"):
+        got = {tuple(r) for r in catalog.QUERIES[query](spark, str(tmp_path)).select("doc_id", "field", "value", "confidence").collect()}
+        want = set(con.execute(f"SELECT doc_id, field, value, confidence FROM ({catalog.ORACLE_SQL[query]})").fetchall())
+        assert not got - want and [r[:3] for r in want - got] == [(7, "date_of_birth", "1900-02-29")]  # which is no date
+    for query in ("inline_values", "number_fallback"):
+        assert [r["field"] for r in catalog.QUERIES[query](spark, str(tmp_path)).filter("doc_id = 7").collect()] == ["sex" if query == "inline_values" else "passport_number"]
