@@ -90,12 +90,17 @@ def visual_date(s: Column) -> Column:
     def tried(x: Column) -> Column:
         text, up = x["text"], x["up"]
         year = lambda shape, k: let(number(up, shape, k), _year)
+        # Only a text of a shape is taken apart: a cast of what is no number costs Spark an exception.
+        shaped = lambda source, shape, *dates: F.when(F.rlike(source, F.lit(shape)), F.coalesce(*dates))
         return F.coalesce(
-            _date(number(text, DAY_FIRST, 3), number(text, DAY_FIRST, 2), number(text, DAY_FIRST, 1)),
-            _date(number(text, YEAR_FIRST, 1), number(text, YEAR_FIRST, 2), number(text, YEAR_FIRST, 3)),
-            _date(year(MONTH_NAME, 3), month(part(up, MONTH_NAME, 2)), number(up, MONTH_NAME, 1)),
-            _date(year(TWO_MONTHS, 4), three(part(up, TWO_MONTHS, 2)), number(up, TWO_MONTHS, 1)),
-            _date(year(TWO_MONTHS, 4), three(part(up, TWO_MONTHS, 3)), number(up, TWO_MONTHS, 1)),
-        )
+            shaped(text, DAY_FIRST, _date(number(text, DAY_FIRST, 3), number(text, DAY_FIRST, 2), number(text, DAY_FIRST, 1))),
+            shaped(text, YEAR_FIRST, _date(number(text, YEAR_FIRST, 1), number(text, YEAR_FIRST, 2), number(text, YEAR_FIRST, 3))),
+            shaped(up, MONTH_NAME, _date(year(MONTH_NAME, 3), month(part(up, MONTH_NAME, 2)), number(up, MONTH_NAME, 1))),
+            shaped(
+                up, TWO_MONTHS,
+                _date(year(TWO_MONTHS, 4), three(part(up, TWO_MONTHS, 2)), number(up, TWO_MONTHS, 1)),
+                _date(year(TWO_MONTHS, 4), three(part(up, TWO_MONTHS, 3)), number(up, TWO_MONTHS, 1)),
+            ),
+        )
 
     return let(F.struct(F.trim(s).alias("text"), F.upper(F.trim(s)).alias("up")), tried)
